@@ -4,7 +4,8 @@ A window is ``WINDOW`` consecutive words.  Its fingerprint is the least hash of
 ``PART``-word parts in it, so equal windows have equal fingerprints and neighbouring
 windows mostly share one: the index holds about a fifth of what all window hashes
 would need.  Each batch becomes a sorted immutable run of ``(fp, doc_id)``.  A new
-batch is merge-joined with the runs; only windows whose fingerprint is in another
+batch is merge-joined with the runs; exact copies of an earlier text are settled by
+text hashes beforehand and stay out of the index; only windows whose fingerprint is in another
 document too are then verified by 96-bit hashes of their whole word sequences, taken
 from the texts, on both sides.  When ``fan_out`` runs of a level have come together
 they are compacted into one sorted run of the next level.
@@ -117,6 +118,16 @@ def _text_key(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 31) - 1))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(t1, t2, doc_id): 128-bit text hashes."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.where("doc_id is not null").select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(3), text).alias("t2"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t1"))
+
+
 @dataclass
 class FingerprintIndex:
     """Runs by level; ``history`` holds the documents behind them, for verification."""
@@ -124,8 +135,9 @@ class FingerprintIndex:
     spark: SparkSession
     window: int = WINDOW
     part: int = PART
-    fan_out: int = 2
+    fan_out: int = 4
     runs: list[tuple[int, str]] = field(default_factory=list)
+    texts: DataFrame | None = None
     history: DataFrame | None = None
 
     def _write(self, rows: DataFrame, level: int) -> str:
@@ -136,37 +148,53 @@ class FingerprintIndex:
     def _read(self, path: str) -> DataFrame:
         return self.spark.read.schema("fp long, doc_id long").parquet(path)
 
-    def ingest(self, batch: DataFrame) -> DataFrame:
-        """Add a batch; (doc_id, of, starts): windows of its documents that an earlier document has too."""
+    def _copies(self, batch: DataFrame, low: int) -> DataFrame:
+        """(doc_id, t1) of the batch's documents whose text an earlier document has."""
+        every = _texts(batch) if self.texts is None else self.texts.unionByName(_texts(batch))
+        self.texts = storage.materialise(every, "texts")
+        first = self.texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
+        first = storage.materialise(first.drop("last"), "first")
+        return storage.materialise(self.texts.join(first, ["t1", "t2"]).where((F.col("doc_id") > F.col("rep")) & (F.col("doc_id") >= F.lit(low))).select("doc_id", "t1").distinct(), "copies")
+
+    def ingest(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Add a batch; (doc_id, of, starts), the windows of its documents that an earlier document has
+        too, and (doc_id, t1), its documents that are copies of an earlier text as a whole."""
+        low = batch.agg(F.min("doc_id")).first()[0]
+        low = 0 if low is None else int(low)
+        copies = self._copies(batch, low)
+        # Spark broadcasts the copies' ids while they are small and sorts and merges beyond that.
+        own = _hashed(batch).join(copies, ["doc_id", "t1"], "left_anti").select("doc_id", "text")
         old = [self._read(p) for _, p in self.runs]
-        path = self._write(postings(batch, self.window, self.part), 0)
+        path = self._write(postings(own, self.window, self.part), 0)
         self.runs.append((0, path))
         storage.release(self.spark)
         new = self._read(path)
         touched = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        own = touched.where("lo < hi").select("fp")
-        every = new
-        shared = own
-        for run in old:
-            met = run.join(touched.select("fp").hint("merge"), "fp", "left_semi")
-            shared = shared.union(met.select("fp"))
-            every = every.unionByName(met)
-        wanted = every.join(shared.distinct().hint("merge"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-        docs = batch if self.history is None else self.history.unionByName(batch)
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        seen = storage.materialise(_windows(docs.join(wanted, "doc_id"), self.window, self.part), "windows")
+        shared, every = touched.where("lo < hi").select("fp"), new
+        if old:
+            before = old[0]
+            for run in old[1:]:
+                before = before.unionByName(run)
+            met = storage.materialise(before.join(new.select("fp").hint("merge"), "fp", "left_semi"), "met")
+            shared, every = shared.union(met.select("fp")).distinct(), new.unionByName(met)
+        wanted = storage.materialise(every.join(shared.hint("merge"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "wanted")
+        storage.release(self.spark)
+        docs = own if self.history is None else self.history.unionByName(own)
+        windows = storage.new_path(self.spark, "windows")
+        seen = storage.materialise(_windows(docs.join(wanted, "doc_id"), self.window, self.part), "windows", windows)
         storage.release(self.spark)
         firsts = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        later = seen.join(firsts.drop("last"), ["h1", "h2"]).where("doc_id > first")
-        cut = later.groupBy("doc_id", F.shiftright("place", 32).alias("of")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit((1 << 32) - 1))).alias("starts"))
-        if self.history is not None:
-            mine = batch.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-            cut = cut.join(mine, "doc_id", "left_semi")
-        self.history = docs
+        # A table of its own, so that both sides of the join are plain shuffles and Spark can split a hot window.
+        firsts = storage.materialise(firsts.drop("last"), "firsts")
+        storage.release(self.spark)
+        later = seen.where(F.col("doc_id") >= F.lit(low)).join(firsts, ["h1", "h2"]).where("doc_id > first")
+        cut = later.groupBy("doc_id", F.shiftright("place", 32).alias("of")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("starts"))
         out = storage.materialise(cut, "cuts")
+        storage.drop(self.spark, windows)
         storage.release(self.spark)
+        self.history = docs
         self.compact()
-        return out
+        return out, copies
 
     def compact(self) -> None:
         """Merge the runs of each level that has ``fan_out`` of them into one sorted run of the next."""
@@ -195,32 +223,32 @@ def batches(docs: DataFrame, n: int) -> list[DataFrame]:
     return [docs.where((known >= a if a is not None else F.lit(True)) & (known < b if b is not None else F.lit(True))) for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
 
 
-def cuts_of(docs: DataFrame, n_batches: int = 2, window: int = WINDOW) -> DataFrame:
-    """Ingest ``docs`` in batches; (doc_id, of, starts) of every document that loses words."""
-    index = FingerprintIndex(docs.sparkSession, window)
-    parts = [index.ingest(b.select("doc_id", "text")) for b in batches(docs, n_batches)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _with_cuts(docs: DataFrame, n_batches: int, window: int) -> DataFrame:
-    cuts = cuts_of(docs, n_batches, window).withColumnsRenamed({"doc_id": "__id", "of": "__of"})
-    return docs.join(cuts, (F.col("doc_id").cast("long") == F.col("__id")) & (_text_key("text") == F.col("__of")), "left")
+    """``docs`` ingested in batches, plus ``__starts`` (windows to remove; all of them for a copy)."""
+    index = FingerprintIndex(docs.sparkSession, window)
+    cuts, copies = None, None
+    for b in batches(docs, n_batches):
+        cut, copy = index.ingest(b.select("doc_id", "text"))
+        cuts = cut if cuts is None else cuts.unionByName(cut)
+        copies = copy if copies is None else copies.unionByName(copy)
+    whole = copies.select("doc_id", F.col("t1").bitwiseAND(F.lit((1 << 31) - 1)).alias("of"), F.array(F.lit(-1)).alias("starts"))
+    gone = cuts.unionByName(whole).withColumnsRenamed({"doc_id": "__id", "of": "__of", "starts": "__starts"})
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (_text_key("text") == F.col("__of")), "left")
 
 
 def _kept(text: str | None, starts: list[int] | None, window: int) -> tuple[int, list[bytes]]:
     words = (text or "").encode().split()
     if not starts:
         return len(words), words
+    if starts[0] < 0:
+        return len(words), words if len(words) < window else []
     gone = tk.covered(len(words), np.asarray(starts, dtype=np.int64), window)
     return len(words), [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
 def report(docs: DataFrame, n_batches: int = 2, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    rows = _with_cuts(docs.select("doc_id", "text"), n_batches, window).select("doc_id", "text", "starts")
+    rows = _with_cuts(docs.select("doc_id", "text"), n_batches, window).select("doc_id", "text", "__starts")
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +266,7 @@ def report(docs: DataFrame, n_batches: int = 2, window: int = WINDOW) -> DataFra
 def dedup(docs: DataFrame, n_batches: int = 2, window: int = WINDOW) -> DataFrame:
     """``docs`` without the covered words (a cut text's other words are joined by one space)."""
     names = docs.columns
-    rows = _with_cuts(docs, n_batches, window).select(*names, "starts")
+    rows = _with_cuts(docs, n_batches, window).select(*names, "__starts")
     at = names.index("text")
     schema = storage.fields_of(docs)
 

@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 from ..kernels import curves as kc
 from ..kernels import image
 
-BY_CURVE = Window.partitionBy("oid").orderBy("z")
-
-
 def subslice_peak(curves: DataFrame) -> DataFrame:
     """(oid, z, v, refined): the first highest slice of each curve and its parabola's place."""
-    w = curves.withColumn("before", F.lag("v").over(BY_CURVE)).withColumn("after", F.lead("v").over(BY_CURVE))
+    by_curve = Window.partitionBy("oid").orderBy("z")
+    w = curves.withColumn("before", F.lag("v").over(by_curve)).withColumn("after", F.lead("v").over(by_curve))
     best = w.groupBy("oid").agg(F.max_by(F.struct("z", "v", "before", "after"), F.struct("v", -F.col("z"))).alias("p")).select("oid", "p.*")
     bottom = F.col("before") - 2 * F.col("v") + F.col("after")
     move = F.when(F.abs(bottom) < 1e-12, F.lit(0.0)).otherwise(F.least(F.greatest(0.5 * (F.col("before") - F.col("after")) / F.when(F.abs(bottom) >= 1e-12, bottom), F.lit(-1.0)), F.lit(1.0)))

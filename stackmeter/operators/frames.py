@@ -168,13 +168,18 @@ def segmented(frames: DataFrame, segmenter=None, min_area: int = 30) -> DataFram
 
 
 def detections(labels: np.ndarray, n_theta: int = 64) -> list[tuple]:
-    """(label, cx, cy, area, radius, circularity, contour) of each labelled region."""
+    """(label, cx, cy, area, radius, circularity, contour) of each labelled region.
+
+    The contour has a point for each two cells of the edge, ``n_theta`` at most.
+    """
+    most = n_theta
     out = []
     for k in range(1, int(labels.max()) + 1):
         ys, xs = np.nonzero(labels == k)
         if len(xs) < 8:
             continue
         cx, cy, area = xs.mean(), ys.mean(), float(len(xs))
+        n_theta = int(np.clip(round(np.pi * np.sqrt(area / np.pi)), 8, most))
         angle = np.floor((np.arctan2(ys - cy, xs - cx) % (2 * np.pi)) / (2 * np.pi) * n_theta).astype(int) % n_theta
         reach = np.zeros(n_theta)
         np.maximum.at(reach, angle, np.hypot(ys - cy, xs - cx))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..params import Acquisition, Params
 from ..storage import materialise
-from .scalars import edge_distance, inside_tile
+from ..functions.scalars import edge_distance, inside_tile
 
 #: Tiles are one scan's grid; above this many rows the point-in-tile join is binned.
 SMALL_TILES = 10_000

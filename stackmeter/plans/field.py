@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..kernels import curves as kc
 from ..kernels import image
-from ..operators import catalogue, curves, frames, matching, registration, scalars
+from ..functions import scalars
+from ..operators import catalogue, curves, frames, matching, registration
 from ..params import Acquisition, Params
 from ..storage import materialise
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import catalogue as cat
-from .operators import curves, frames, matching, mesh, registration, scalars
+from .functions import scalars
+from .operators import curves, frames, matching, mesh, registration
 from .params import Acquisition, Dome, Params
 from .plans.views import duck_ctes, table, view
 

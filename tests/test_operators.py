@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stackmeter.operators import catalogue, frames, matching, registration, scalars
+from stackmeter.functions import scalars
+from stackmeter.operators import catalogue, frames, matching, registration
 from stackmeter.params import Acquisition, Dome, Params
 from stackmeter.plans import outputs
 

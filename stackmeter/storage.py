@@ -17,9 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
         return set_dir.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

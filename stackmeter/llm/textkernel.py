@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1

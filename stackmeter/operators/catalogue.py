@@ -22,9 +22,8 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "uid", start:
     Rows are sorted by range and written; each partition's rows are moved on by the
     partitions before it (one row for each partition).
     """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     held = materialise(placed, "numbered")
     before = held.groupBy("__part").count().select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count") + F.lit(start)).alias("__before"))
     return held.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__row")).cast("long")).drop("__part", "__row", "__before")
@@ -66,8 +65,8 @@ def agreement(pairs: DataFrame) -> DataFrame:
 
 
 def with_components(sightings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sightings plus ``comp``."""
-    return sightings.join(matching.components(pairs, sightings.select("sid")), "sid")
+    """Sightings plus ``comp``, as a table: elections, spreads and views all read it."""
+    return materialise(sightings.join(matching.components(pairs, sightings.select("sid")), "sid"), "grouped")
 
 
 def catalogue(grouped: DataFrame, tiles: DataFrame, p: Params = Params()) -> DataFrame:

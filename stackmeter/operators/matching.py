@@ -178,18 +178,19 @@ def assigned(gated: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(sid, comp): least member over pairs (sa, sb) for each of ``nodes`` (sid) (H2).
 
-    Label propagation with pointer jumping; every round is a table in the shared folder.
+    Label propagation with pointer jumping over the nodes that have a pair; every round
+    is a table in the shared folder.
     """
     both = materialise(edges.select("sa", "sb").union(edges.select("sb", "sa")).distinct(), "edges")
-    labels = nodes.select("sid", F.col("sid").alias("comp"))
+    labels = materialise(both.groupBy("sa").agg(F.min("sb").alias("m")).select(F.col("sa").alias("sid"), F.least("sa", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels.withColumnsRenamed({"sid": "sb", "comp": "__c"}), "sb").groupBy("sa").agg(F.min("__c").alias("__m")).withColumnRenamed("sa", "sid")
-        met = labels.join(near, "sid", "left").select("sid", F.col("comp").alias("was"), F.least("comp", "__m").alias("__l"))
+        met = labels.join(near, "sid").select("sid", F.col("comp").alias("was"), F.least("comp", "__m").alias("__l"))
         jump = labels.select(F.col("sid").alias("__l"), F.col("comp").alias("__up"))
-        moved = materialise(met.join(jump, "__l", "left").select("sid", F.least("__l", "__up").alias("comp"), "was"), "labels")
+        moved = materialise(met.join(jump, "__l").select("sid", F.least("__l", "__up").alias("comp"), "was"), "labels")
         labels = moved.drop("was")
         if not moved.where("comp < was").head(1):
-            return labels
+            return nodes.select("sid").join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"))
 
 
 def greedy_suppression(items: DataFrame, conflicts: DataFrame, key: str = "sid") -> DataFrame:

@@ -167,7 +167,7 @@ def run(stack: DataFrame, tiles: DataFrame, a: Acquisition = Acquisition(), p: P
     objects = field.measure(stack, a, p, replace(o, substrate=float(glass)), segmenter)
     seen = materialise(matching.with_clipped(catalogue.with_sid(sightings(objects, placed)), p), "sightings")
     pairs = materialise(catalogue.matched(seen, placed, p, a), "matches")
-    grouped = materialise(catalogue.with_components(seen, pairs), "grouped")
+    grouped = catalogue.with_components(seen, pairs)
     merged = materialise(catalogue.catalogue(grouped, placed, p), "catalogue")
     return {
         "objects": objects, "catalogue": merged, "views": catalogue.views_long(grouped), "seams": catalogue.seam_report(seen, placed, pairs, p),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import chat, decontam, fingerprint_index, html_extract, line_dedup, near_dedup, packing, pii, quality, sharding
+from . import chat, decontam, fingerprint_index, html_extract, line_dedup, near_dedup, oracles, packing, pii, quality, sharding
 
 #: Vocabulary file of ``tokenizers``' byte-level BPE as ranks; only its path is used.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -50,7 +50,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.measures(docs, keep=["doc_id"])
+    found = quality.measures(docs, keep=["doc_id"])
+    return found.withColumn("dup_ngram_chars", F.array_join(F.col("dup_ngram_chars").cast("array<string>"), ","))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -192,7 +192,7 @@ def core_rim_contrast(pixels: DataFrame, by: tuple[str, ...] = ("stack", "z")) -
 
 
 def glcm(pixels: DataFrame, distance: int = 1, by: tuple[str, ...] = ("stack", "z")) -> DataFrame:
-    """Co-occurrence contrast, dissimilarity, homogeneity and energy over four angles.
+    """Co-occurrence contrast, dissimilarity, homogeneity, energy and correlation over four angles.
 
     ``pixels`` has y, x and a grey level ``g``; level 0 is dropped; a group without pairs at some angle has no row.
     """
@@ -206,10 +206,15 @@ def glcm(pixels: DataFrame, distance: int = 1, by: tuple[str, ...] = ("stack", "
     counted = both.groupBy(*keys, "angle", "i", "j").agg(F.count(F.lit(1)).alias("c"))
     p = F.col("c") / F.sum("c").over(Window.partitionBy(*keys, "angle"))
     d = F.col("i") - F.col("j")
+    i, j = F.col("i"), F.col("j")
     per_angle = counted.withColumn("p", p).groupBy(*keys, "angle").agg(
-        F.sum(F.col("p") * d * d).alias("contrast"), F.sum(F.col("p") * F.abs(d)).alias("dissimilarity"), F.sum(F.col("p") / (1 + d * d)).alias("homogeneity"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("energy")
-    )
-    names = ["contrast", "dissimilarity", "homogeneity", "energy"]
+        F.sum(F.col("p") * d * d).alias("contrast"), F.sum(F.col("p") * F.abs(d)).alias("dissimilarity"), F.sum(F.col("p") / (1 + d * d)).alias("homogeneity"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("energy"),
+        F.sum(F.col("p") * i).alias("mi"), F.sum(F.col("p") * i * i).alias("mii"), F.sum(F.col("p") * i * j).alias("mij"),
+    )
+    # Pairs count both ways, so rows and columns have the same mean and variance.
+    var = F.col("mii") - F.col("mi") * F.col("mi")
+    per_angle = per_angle.withColumn("correlation", F.when(var < 1e-12, F.lit(1.0)).otherwise((F.col("mij") - F.col("mi") * F.col("mi")) / F.when(var >= 1e-12, var)))
+    names = ["contrast", "dissimilarity", "homogeneity", "energy", "correlation"]
     return per_angle.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names]).where("n = 4").select(*keys, *names)
 
 

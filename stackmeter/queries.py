@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import catalogue as cat
 from .functions import scalars
-from .operators import curves, frames, matching, mesh, registration
+from .operators import curves, frames, matching, mesh, registration, reports
 from .params import Acquisition, Dome, Params
 from .plans.views import duck_ctes, table, view
 
@@ -516,14 +516,14 @@ def core_rim_contrast(spark, sf):
 _GL = """gl AS (SELECT stack, z, y, x, CAST(floor(round(least(greatest((od+0.3e0)/2.3e0,0e0),1e0)*15,9)) AS INT) AS g FROM od),
  gp AS (SELECT a.stack, a.z, d.ang, a.g AS i, b.g AS j FROM gl a JOIN (VALUES (0,0,1),(1,1,1),(2,1,0),(3,1,-1)) d(ang,dy,dx) ON true JOIN gl b ON a.stack=b.stack AND a.z=b.z AND b.y=a.y+d.dy AND b.x=a.x+d.dx WHERE a.g>0 AND b.g>0),
  gs AS (SELECT * FROM gp UNION ALL SELECT stack, z, ang, j, i FROM gp), gc AS (SELECT stack, z, ang, i, j, count(*)/sum(count(*)) OVER (PARTITION BY stack, z, ang) AS p FROM gs GROUP BY 1,2,3,4,5),
- ga AS (SELECT stack, z, ang, sum(p*(i-j)*(i-j)) AS c, sum(p*abs(i-j)) AS d, sum(p/(1+(i-j)*(i-j))) AS h, sqrt(sum(p*p)) AS e FROM gc GROUP BY 1,2,3)"""
+ ga AS (SELECT stack, z, ang, sum(p*(i-j)*(i-j)) AS c, sum(p*abs(i-j)) AS d, sum(p/(1+(i-j)*(i-j))) AS h, sqrt(sum(p*p)) AS e, sum(p*i) AS mi, sum(p*i*i) AS mii, sum(p*i*j) AS mij FROM gc GROUP BY 1,2,3)"""
 
 
-@query(_with(("v_pixels",), f"SELECT stack, z, {_r('avg(c)','contrast',5)}, {_r('avg(d)','dissimilarity',5)}, {_r('avg(h)','homogeneity',5)}, {_r('avg(e)','energy',5)} FROM ga GROUP BY 1, 2 HAVING count(*) = 4", _OD, _GL))
+@query(_with(("v_pixels",), f"SELECT stack, z, {_r('avg(c)','contrast',7)}, {_r('avg(d)','dissimilarity',7)}, {_r('avg(h)','homogeneity',7)}, {_r('avg(e)','energy',7)}, {_r('avg(CASE WHEN mii-mi*mi < 1e-12 THEN 1e0 ELSE (mij-mi*mi)/(mii-mi*mi) END)','correlation',7)} FROM ga GROUP BY 1, 2 HAVING count(*) = 4", _OD, _GL))
 def glcm_core(spark, sf):
     share = F.least(F.greatest((F.col("od") + 0.3) / 2.3, F.lit(0.0)), F.lit(1.0))
     g = _od(spark, sf).withColumn("g", F.floor(F.round(share * 15, 9)).cast("int"))
-    return rounded(curves.glcm(g, 1), 5)
+    return rounded(curves.glcm(g, 1), 7)
 
 
 @query(_with(("v_pixels",), f"SELECT stack, z, {_r('avg(m) FILTER (core)','core_grad_mean')}, {_r('quantile_cont(m,0.9) FILTER (core)','core_grad_p90')}, {_r('avg(m) FILTER (NOT core)','rim_grad_mean')}, {_r('avg(m) FILTER (NOT core)/greatest(avg(m) FILTER (core),1e-9)','rim_over_core_grad')} FROM (SELECT *, sqrt(gx*gx+gy*gy) AS m FROM gr) GROUP BY 1, 2",
@@ -533,6 +533,31 @@ def gradient_stats(spark, sf):
     return rounded(curves.gradient_stats(_od(spark, sf)))
 
 
+def _glcm_at(distance: int) -> tuple[str, str]:
+    """Offsets of the four angles at a distance, as SQL values, and the co-occurrence tables over them."""
+    at = [(int(round(distance * math.sin(a * math.pi / 4))), int(round(distance * math.cos(a * math.pi / 4)))) for a in range(4)]
+    values = ",".join(f"({n},{dy},{dx})" for n, (dy, dx) in enumerate(at))
+    return _GL.replace("(0,0,1),(1,1,1),(2,1,0),(3,1,-1)", values), values
+
+
+_GLCM_OUT = f"SELECT stack, z, {_r('avg(c)','contrast',7)}, {_r('avg(d)','dissimilarity',7)}, {_r('avg(h)','homogeneity',7)}, {_r('avg(e)','energy',7)}, {_r('avg(CASE WHEN mii-mi*mi < 1e-12 THEN 1e0 ELSE (mij-mi*mi)/(mii-mi*mi) END)','correlation',7)} FROM ga GROUP BY 1, 2 HAVING count(*) = 4"
+
+
+def _grey(spark: SparkSession, sf: str) -> DataFrame:
+    share = F.least(F.greatest((F.col("od") + 0.3) / 2.3, F.lit(0.0)), F.lit(1.0))
+    return _od(spark, sf).withColumn("g", F.floor(F.round(share * 15, 9)).cast("int"))
+
+
+@query(_with(("v_pixels",), _GLCM_OUT, _OD, _glcm_at(2)[0]))
+def glcm_core_d2(spark, sf):
+    return rounded(curves.glcm(_grey(spark, sf), 2), 7)
+
+
+@query(_with(("v_pixels",), _GLCM_OUT, _OD, _glcm_at(4)[0]))
+def glcm_core_d4(spark, sf):
+    return rounded(curves.glcm(_grey(spark, sf), 4), 7)
+
+
 @query()
 def lbp_core(spark, sf):
     return rounded(curves.lbp_histogram(_frames(spark, sf).where("z < 20")))
@@ -730,3 +755,84 @@ def features_wide(spark, sf):
     out = wide.select("uid", "tile", "obj", F.col("x").alias("x_mosaic_px"), F.col("y").alias("y_mosaic_px"), (2 * F.col("r")).alias("diameter_px"), "dome_distance_px", "nn_distance_px")
     three = ("dome_distance_px", "nn_distance_px")
     return rounded(rounded(out, 4, three), 3, tuple(c for c in out.columns if c not in three))
+
+
+# Selections and checks.
+
+
+@query(_with(("v_objects",), f"""SELECT obj, {_r('b','nearest_border_px',3)} FROM (SELECT obj, least(clear, edge) AS b, row_number() OVER (ORDER BY least(clear, edge), obj) AS n, count(*) OVER () AS total FROM sq) WHERE n <= 3 OR n IN (total//2 + 1, total//2 + 2)""", _SPATIAL))
+def near_border_picks(spark, sf):
+    o = scalars.with_spatial_features(_objects_xyz(spark, sf), DOME).select("obj", "nearest_border_px")
+    return rounded(reports.near_border_picks(o), 3)
+
+
+@query(_with(("v_sightings",), "SELECT tile, obj, sharp FROM v_sightings ORDER BY CASE WHEN 2*r > 30 AND sharp > 0.5e0 THEN 1 ELSE 0 END DESC, sharp DESC, tile, obj LIMIT 1"))
+def showcase_object(spark, sf):
+    return reports.showcase(view(spark, sf, "v_sightings"))
+
+
+@query(_with(("v_objects",), f"""SELECT obj, {_r(f'{_CX} + dx/far*ring','ex',3)}, {_r(f'{_CY} + dy/far*ring','ey',3)} FROM (SELECT obj, gx-{_CX} AS dx, gy-{_CY} AS dy, greatest(sqrt((gx-{_CX})*(gx-{_CX}) + (gy-{_CY})*(gy-{_CY})), 1e-6) AS far,
+  sqrt(greatest({_RAD}*{_RAD} - ((gz-{_CZ})*{_AN})*((gz-{_CZ})*{_AN}), 0e0)) AS ring FROM v_objects)"""))
+def border_ends(spark, sf):
+    return rounded(reports.border_ends(_objects_xyz(spark, sf), DOME), 3)
+
+
+@query(_with(_SV, f"SELECT arg_min(ta, row(match_rate, ta, tb)) AS ta, arg_min(tb, row(match_rate, ta, tb)) AS tb, {_r('min(match_rate)','match_rate')}, {_r('max(residual) FILTER (shared >= 6)','worst_residual')} FROM seams", _SEAM, _SEAMS))
+def weakest_seam(spark, sf):
+    return rounded(reports.weakest_seam(cat.seam_report(_sightings(spark, sf), view(spark, sf, "v_tiles"), _matched(spark, sf), PAR)))
+
+
+@query(_with(_SV, "SELECT count(*) AS n, count(DISTINCT uid) AS n_distinct, count(*) = count(DISTINCT uid) AS is_unique FROM objs", _SEAM, _COMP, _CAT))
+def unique_uids(spark, sf):
+    return reports.unique_ids(_catalogue(spark, sf))
+
+
+@query(_with(("v_sightings", "v_tiles"), f"SELECT s.tile, s.obj, {_r('s.x - t.x0','x_px')}, {_r('s.y - t.y0','y_px')} FROM v_sightings s JOIN v_tiles t USING (tile)"))
+def local_coordinates(spark, sf):
+    t = view(spark, sf, "v_tiles").select("tile", "x0", "y0")
+    return rounded(view(spark, sf, "v_sightings").join(t, "tile").select("tile", "obj", (F.col("x") - F.col("x0")).alias("x_px"), (F.col("y") - F.col("y0")).alias("y_px")))
+
+
+@query(_with(("v_tiles",), f"SELECT {_r('regr_slope(x0, 9e6 - x0*3774.4e0)*1e4','scale_x',3)}, {_r('regr_intercept(x0, 9e6 - x0*3774.4e0)','origin_x',2)}, {_r('regr_slope(y0, 1e6 + y0*3774.4e0)*1e4','scale_y',3)}, {_r('regr_intercept(y0, 1e6 + y0*3774.4e0)','origin_y',2)} FROM v_tiles"))
+def stage_affine(spark, sf):
+    t = view(spark, sf, "v_tiles").select("x0", "y0", (9e6 - F.col("x0") * 3774.4).alias("stage_x"), (1e6 + F.col("y0") * 3774.4).alias("stage_y"))
+    f = reports.stage_affine(t)
+    return f.select(*[(F.round(F.col(f"scale_{a}") * 1e4, 3) + 0.0).alias(f"scale_{a}") for a in "xy"], *[(F.round(F.col(f"origin_{a}"), 2) + 0.0).alias(f"origin_{a}") for a in "xy"])
+
+
+@query(_with(("v_pixels",), "SELECT z, arg_max(r, row(round(m,9), -r)) AS r FROM (SELECT z, x AS r, median(v*v) AS m FROM v_pixels WHERE stack = 0 GROUP BY 1, 2) GROUP BY z"))
+def texture_ridge(spark, sf):
+    p = view(spark, sf, "v_pixels").where("stack = 0").select("z", F.col("x").alias("r"), (F.col("v") * F.col("v")).alias("t"))
+    return reports.texture_ridge(p)
+
+
+@query(_with(("v_pixels",), f"SELECT cx, {_r('avg(abs(b-a))','step')} FROM (SELECT cx, cy, (lag(v,1) OVER w + lag(v,2) OVER w)/2 AS b, (v + lead(v,1) OVER w)/2 AS a FROM (SELECT cx, cy, max(v) AS v FROM tp GROUP BY 1, 2) WINDOW w AS (PARTITION BY cy ORDER BY cx)) WHERE cx % 6 = 0 AND b IS NOT NULL AND a IS NOT NULL GROUP BY cx", _TP))
+def seam_steps(spark, sf):
+    return rounded(reports.column_steps(frames.max_composite(_tile_pixels(spark, sf)), F.col("cx") % 6 == 0))
+
+
+_TPT = _TP.replace("tp AS (SELECT", "tq AS (SELECT stack AS tile,").replace("WHERE z = 0", "WHERE z = 0 AND stack < 5")
+
+
+@query(_with(("v_pixels",), f"SELECT count(*) AS n, {_r('avg(abs(a.v-b.v))','gap')} FROM tq a JOIN tq b ON a.cx=b.cx AND a.cy=b.cy AND a.tile+1=b.tile", _TPT))
+def overlap_disagreement(spark, sf):
+    p = view(spark, sf, "v_pixels").where("z = 0 and stack < 5").select(F.col("stack").alias("tile"), ((F.col("stack") % 5) * 6 + F.col("x")).alias("cx"), F.col("y").alias("cy"), (F.col("v") + 128.0).alias("v"))
+    return rounded(reports.overlap_disagreement(p))
+
+
+@query(_with(("v_tiles",), "SELECT tile, x0 + 1e0 AS x0, y0 AS y0 FROM v_tiles"))
+def saved_offsets(spark, sf):
+    t = view(spark, sf, "v_tiles")
+    return reports.with_saved_offsets(t, t.select("tile", (F.col("x0") + 1.0).alias("x0"), "y0"))
+
+
+@query("SELECT l_orderkey AS oid, string_agg(CAST(l_linenumber AS VARCHAR), ';' ORDER BY l_linenumber) AS views FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+def view_names(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_orderkey < 500")
+    return li.groupBy(F.col("l_orderkey").alias("oid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda t: t.cast("string")), ";").alias("views"))
+
+
+@query(_with(("v_outlines",), f"SELECT oid, {_r('12.566370614359172e0*sum(r)/power(sum(r)/8,2)','circularity')}, {_r('sqrt(sum(r)/3.141592653589793e0)','radius')} FROM v_outlines GROUP BY oid"))
+def detection_shape(spark, sf):
+    s = view(spark, sf, "v_outlines").groupBy("oid").agg(F.sum("r").alias("area"))
+    return rounded(s.select("oid", scalars.circularity(F.col("area"), F.col("area") / 8).alias("circularity"), F.sqrt(F.col("area") / scalars.PI).alias("radius")))

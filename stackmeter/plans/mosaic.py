@@ -75,24 +75,35 @@ def features(elected: DataFrame, stack: DataFrame, tiles: DataFrame) -> DataFram
     ``elected`` has uid, tile, z, x, y, r.  Each frame is read once for all its objects.
     """
     schema = (
-        "uid long, appearance_measurable boolean, background_dn double, background_clipped_frac double, core_od_mean double, core_od_std double, "
-        "rim_od_mean double, body_od_mean double, rim_minus_core_od double, core_rim_separation double, core_fill_fraction double, core_grad_mean double, rim_over_core_grad double, missing_blocks string"
+        "uid long, appearance_measurable boolean, background_dn double, background_tilt_frac double, background_clipped_frac double, halo_px double, halo_lost_to_neighbours_px double, "
+        "core_od_mean double, core_od_std double, rim_od_mean double, body_od_mean double, rim_minus_core_od double, core_over_rim_od double, core_rim_separation double, core_fill_fraction double, "
+        "core_grad_mean double, core_grad_p90 double, rim_grad_mean double, rim_over_core_grad double, outline_empty double, missing_blocks string"
     )
     names = [c.split(" ")[0] for c in schema.split(", ")]
     local = elected.join(F.broadcast(tiles.select("tile", "x0", "y0")), "tile").select("uid", F.col("tile").alias("stack"), F.bround("z").cast("int").alias("z"), (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "r")
-    grouped = local.groupBy("stack", "z").agg(F.collect_list(F.struct("uid", "x", "y", "r")).alias("items"))
-
-    def one(a: np.ndarray, x: float, y: float, r: float) -> tuple:
-        none = (False, *[None] * 11)
+    widest = elected.agg(F.max("r")).first()[0] or 0.0
+    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
+    apart = F.sqrt(dx * dx + dy * dy)
+    close = matching.near_pairs(elected.select("uid", "x", "y", "r"), (apart > 0) & (apart < 3 * F.col("a_r") + 40), 3 * widest + 40, "uid")
+    near = close.groupBy(F.col("a_uid").alias("uid")).agg(F.collect_list(F.struct((-dx).alias("dx"), (-dy).alias("dy"), F.col("b_r").alias("r"))).alias("near"))
+    local = local.join(near, "uid", "left")
+    grouped = local.groupBy("stack", "z").agg(F.collect_list(F.struct("uid", "x", "y", "r", "near")).alias("items"))
+
+    def one(a: np.ndarray, x: float, y: float, r: float, near) -> tuple:
+        none = (False, *[None] * (len(names) - 3), "appearance")
         pad = int(np.ceil(2.4 * r))
         if r < 6 or x - pad < 0 or y - pad < 0 or x + pad >= a.shape[1] or y + pad >= a.shape[0]:
-            return (*none, "appearance")
+            return none
         yy, xx = np.mgrid[int(y) - pad : int(y) + pad + 1, int(x) - pad : int(x) + pad + 1]
         v, d = a[yy, xx], np.hypot(yy - y, xx - x)
-        rim_half, guard = max(3.0, 0.2 * r), max(2.0, 0.05 * r)
-        rim, core, halo = np.abs(d - r) <= rim_half / 2, d < r - rim_half / 2 - guard, (d > 1.5 * r) & (d < 2.2 * r)
-        if core.sum() < 9 or rim.sum() < 9 or halo.sum() < 60:
-            return (*none, "appearance")
+        # The rim lies inside the outline: a band across it would be half background.
+        shell, guard = max(3.0, 0.2 * r), max(2.0, 0.05 * r)
+        body, rim, core, halo = d <= r, (d <= r) & (d > r - shell), d <= r - shell - guard, (d > 1.5 * r) & (d <= 2.2 * r)
+        before = int(halo.sum())
+        for n in near if near is not None else ():
+            halo &= np.hypot(yy - y - n["dy"], xx - x - n["dx"]) > 1.3 * n["r"]
+        if body.sum() < 9 or core.sum() < 9 or rim.sum() < 9 or halo.sum() < 60:
+            return none
         coef, _ = kc.plane(xx[halo].astype(float), yy[halo].astype(float), v[halo])
         ground = coef[0] + coef[1] * xx + coef[2] * yy
         od = -np.log(np.clip(v / np.maximum(ground, 1e-6), 1 / 255, 4))
@@ -100,10 +111,11 @@ def features(elected: DataFrame, stack: DataFrame, tiles: DataFrame) -> DataFram
         slope = np.hypot(gy, gx)
         c, m = od[core], od[rim]
         pooled = float(np.sqrt(0.5 * (c.var() + m.var())) + 1e-9)
-        level = float(coef[0] + coef[1] * x + coef[2] * y)
+        level, core_slope = float(coef[0] + coef[1] * x + coef[2] * y), float(slope[core].mean())
         return (
-            True, level, float((v[halo] >= 254.5).mean()), float(c.mean()), float(c.std()), float(m.mean()), float(od[d <= r].mean()), float(m.mean() - c.mean()), float((m.mean() - c.mean()) / pooled),
-            float((c > 0.5 * m.mean()).mean()), float(slope[core].mean()), float(slope[rim].mean() / max(slope[core].mean(), 1e-9)), None,
+            True, level, float(np.ptp(ground[body]) / max(level, 1e-6)), float((v[halo] >= 254.5).mean()), float(halo.sum()), float(before - halo.sum()),
+            float(c.mean()), float(c.std()), float(m.mean()), float(od[body].mean()), float(m.mean() - c.mean()), float(c.mean() / m.mean()) if abs(m.mean()) > 1e-6 else None, float((m.mean() - c.mean()) / pooled),
+            float((c > 0.5 * m.mean()).mean()), core_slope, float(np.percentile(slope[core], 90)), float(slope[rim].mean()), float(slope[rim].mean() / max(core_slope, 1e-9)), float(od[body].mean() < 0.06), None,
         )
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +123,7 @@ def features(elected: DataFrame, stack: DataFrame, tiles: DataFrame) -> DataFram
             out = []
             for px, h, w, items in zip(pdf["px"], pdf["height"], pdf["width"], pdf["items"], strict=True):
                 a = np.asarray(px, dtype=float).reshape(h, w)
-                out += [(i["uid"], *one(a, i["x"], i["y"], i["r"])) for i in items]
+                out += [(i["uid"], *one(a, i["x"], i["y"], i["r"], i["near"])) for i in items]
             yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
 
     return stack.join(grouped, ["stack", "z"]).mapInPandas(run, schema)

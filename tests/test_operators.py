@@ -112,3 +112,24 @@ def test_outputs(spark, tmp_path):
     lines = [r.line for r in outputs.ply_lines(v, f, 3).orderBy("part", "place", "n").collect()]
     assert lines[2:] == ["3 0 1 2", "3 3 4 5"] and lines[0].startswith("0.0000 0.0000 0.0000 ") and outputs.ply_header(2, 2).startswith("ply\n")
     assert outputs.as_json(df).first().json == '{"uid":1,"diameter_px":2.5,"views":"a"}'
+
+
+def test_results_listing(spark, tmp_path):
+    import json
+
+    from stackmeter.operators import reports
+
+    for run, units, dome in (("a", {"px_um": 3.7, "z_um": 10.0}, {"radius_px": 5.0}), ("b", {"px_um": None, "z_um": None}, None)):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "organoids.json").write_text(json.dumps({"units": units, "dome": dome, "organoids": [{"id": 1}, {"id": 2}]}, indent=1))
+    got = sorted(map(tuple, reports.results_listing(spark, str(tmp_path)).collect()))
+    assert got == [("a", 2, True, True), ("b", 2, False, False)]
+
+
+def test_missing_saved_offset_stops(spark):
+    from stackmeter.operators import reports
+
+    tiles = spark.createDataFrame([(1,), (2,)], "tile int")
+    saved = spark.createDataFrame([(1, 0.5, 0.0)], "tile int, x0 double, y0 double")
+    with pytest.raises(Exception, match="no saved offset for tile 2"):
+        reports.with_saved_offsets(tiles, saved).collect()

@@ -26,6 +26,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import storage
+
 TEMPLATE = (
     "{% for m in messages %}"
     "{{ '<|turn|>' + m.role + '<|text|>' }}"
@@ -432,7 +434,7 @@ SCHEMA = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return storage.text_batches(rows).select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[dict[str, str]]]]:

@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from . import textkernel as tk
 
 WINDOW = 10
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 100_000
 
 
 def normal_words(text: str | None) -> np.ndarray:
@@ -229,7 +230,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
                 new = [pa.array([_merge(x) for x in ranges], pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(list(b.columns[:-2]) + new, b.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = storage.text_batches(out).mapInArrow(run, schema)
     return out
 
 

@@ -78,7 +78,7 @@ def postings(docs: DataFrame, window: int = WINDOW, part: int = PART) -> DataFra
                 new[1:] = (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(ids[c.rows[doc[new]]].astype(np.int64))], ["fp", "doc_id"])
 
-    known = docs.where(F.col("doc_id").isNotNull())
+    known = storage.text_batches(docs).where(F.col("doc_id").isNotNull())
     return known.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "fp long, doc_id long")
 
 

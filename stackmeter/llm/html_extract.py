@@ -24,6 +24,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import storage
+
 WIDTH = 3
 #: Characters that a window must reach for a stretch outside a marked article.
 SURGE = 80
@@ -197,4 +199,4 @@ def extract(pages: DataFrame, column: str = "html", surge: int = SURGE, width: i
                     [f.name for f in keep] + ["text", "n_chars"],
                 )
 
-    return source.mapInArrow(run, schema)
+    return storage.text_batches(source).mapInArrow(run, schema)

@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, ranks_file: str, text: str = "text", capacity: int =
             kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id"] + [x.split(" ")[0] for x in PIECES.split(", ")])
 
-    return source.mapInArrow(run, f"doc_id {key}, {PIECES}")
+    return storage.text_batches(source).mapInArrow(run, f"doc_id {key}, {PIECES}")
 
 
 def pack(docs: DataFrame, ranks_file: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -1,53 +1,20 @@
-"""Tables between the steps of an operator, in the folder all executors share."""
-
-from __future__ import annotations
-
-import gc
-import os
-import tempfile
-import uuid
+"""Tables between the steps of an operator, in the folder all executors share; batch sizes for texts."""
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import drop, fields_of, materialise, new_path, release, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, as in local tests, a temporary one."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage is cut, and the
-    shuffle files behind it can go at once (executors may be lost later without recomputation)."""
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    schema = df.schema
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["drop", "fields_of", "materialise", "new_path", "release", "shared_dir", "text_batches"]
 
+_ROWS, _DEFAULT, _TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table of a finished step."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session sending at most a thousand rows at a time to Python where it had Spark's default.
 
-def fields_of(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    Rows here are whole texts or packed hashes; ten thousand of them fill a worker's memory.
+    """
+    spark: SparkSession = df.sparkSession
+    if spark.conf.get(_ROWS) == _DEFAULT:
+        spark.conf.set(_ROWS, _TEXTS)
+    return df

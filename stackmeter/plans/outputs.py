@@ -11,6 +11,12 @@ from ..storage import fields_of
 
 LEAD = ["uid", "oid", "stack", "tile", "source"]
 MICROMETRES = ["diameter_um", "z_position_um", "volume_um3"]
+# The curated feature columns, in order.
+CURATED = (
+    "uid tile x_mosaic_px y_mosaic_px z_slice appearance_measurable background_clipped_frac focus_sharpness clipped rim_minus_core_od core_rim_separation core_fill_fraction "
+    "core_od_mean core_od_std core_od_entropy core_glcm_contrast_d2 core_glcm_homogeneity_d2 rim_od_mean rim_over_core_grad diameter_um circularity solidity radius_cv "
+    "outline_empty shape_suspect nearest_border_px dome_radial_frac height_above_glass_slices nn_gap_px"
+).split()
 
 
 def object_table(objects: DataFrame, calibrated: bool) -> DataFrame:
@@ -20,7 +26,7 @@ def object_table(objects: DataFrame, calibrated: bool) -> DataFrame:
 
 
 def ordered(df: DataFrame, curated: list[str] | None = None) -> DataFrame:
-    """Lead columns first; only the curated ones that are present, if a list is given."""
+    """Lead columns first; only the curated ones that are present, if a list (``CURATED``) is given."""
     names = [c for c in LEAD if c in df.columns] + [c for c in df.columns if c not in LEAD]
     return df.select(*[c for c in (curated or names) if c in df.columns])
 

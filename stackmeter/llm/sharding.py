@@ -60,36 +60,27 @@ class Ring:
     def place(self, loads: dict[int, tuple[int, int]]) -> list[Piece]:
         """Pieces of the cells ``{cell: (bytes, rows)}``, so that each shard has an equal share of the bytes.
 
-        First every shard takes, clockwise, what its own arcs bring up to its share; then
-        what is over, the largest first, goes on clockwise to the next shard with room.
+        The largest cells come first.  A cell goes to its own node's shard, or clockwise to
+        the next shard with room; if none has room for all of it, the emptiest takes it.
         A cell is only cut if it is a good part of a share and has several rows.
         """
         total = sum(b for b, _ in loads.values())
         share = -(-total // self.shards)
         room = [share] * self.shards
         pieces: list[Piece] = []
-        over: list[tuple[int, int, int, bool]] = []
-        for cell in sorted(loads):
-            size, rows = loads[cell]
-            shard = self.owner[self.node(cell)]
+        for cell, (size, rows) in sorted(loads.items(), key=lambda x: (-x[1][0], x[0])):
             can_cut = rows > 1 and size > share // 64
-            take = size if size <= room[shard] else max(0, room[shard]) if can_cut else 0
-            if take:
-                pieces.append(Piece(cell, 0, shard))
-                room[shard] -= take
-            if take < size:
-                over.append((size - take, cell, take, can_cut))
-        for size, cell, start, can_cut in sorted(over, key=lambda x: (-x[0], x[1])):
-            node, tried = self.node(cell), 0
-            while size and tried < len(self.owner):
-                node, tried = (node + 1) % len(self.owner), tried + 1
-                shard = self.owner[node]
+            first, start = self.node(cell), 0
+            for turn in range(len(self.owner)):
+                shard = self.owner[(first + turn) % len(self.owner)]
                 take = size if size <= room[shard] else max(0, room[shard]) if can_cut else 0
                 if take:
                     pieces.append(Piece(cell, start, shard))
                     room[shard] -= take
                     start, size = start + take, size - take
-            if size:  # no shard has room for all of it: the emptiest one takes it
+                if not size:
+                    break
+            if size:
                 shard = max(range(self.shards), key=lambda s: (room[s], -s))
                 pieces.append(Piece(cell, start, shard))
                 room[shard] -= size

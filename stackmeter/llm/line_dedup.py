@@ -32,11 +32,9 @@ MIN_WORDS = 5
 def _ranked_pairs(pairs: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct ``columns`` with a dense ``rank`` in their order: sorted by range, numbered in
     each partition, and moved on by the partitions before (one row for each partition)."""
-    spark = pairs.sparkSession
     distinct = pairs.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = storage.materialise(
-        distinct.repartitionByRange(parts, *columns)
+        distinct.repartitionByRange(*columns)
         .sortWithinPartitions(*columns)
         .withColumn("part", F.spark_partition_id())
         .withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
@@ -117,6 +115,8 @@ def deleted(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "__row", tex
     runs = storage.materialise(_runs(table, levels, min_words), "runs")
     place = F.struct("doc", "start")
     firsts = runs.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    # A table of its own, so that both sides of the join are plain shuffles and Spark can split a hot run.
+    firsts = storage.materialise(firsts, "firsts")
     later = runs.join(firsts.drop("times"), ["n", "a", "b"]).where(place > F.col("first"))
     gone = later.select("doc", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at")).distinct()
     return gone.groupBy("doc").agg(F.collect_list("at").alias("drop"))

@@ -13,9 +13,13 @@ the documents that have it.  The steps:
    ``THRESHOLD`` of its weight in shared shingles can have no partner and needs no sample.
 3. Improved consistent weighted sampling (Ioffe): ``BANDS * ROWS`` samples, banded.
 4. Candidates: each bucket's members with its least member and with their neighbours
-   in the order of the remaining samples, so that no bucket emits all its pairs.
-5. Candidates are verified by exact weighted Jaccard similarity, and classes are the
-   connected components of the verified links together with exact copies.
+   in the order of the remaining samples, verified by exact weighted Jaccard similarity.
+   This joins most of a bucket for a few pairs a member.
+5. The rest: in buckets whose members are not yet in one component, every pair of two
+   components is verified too; small buckets as pairs, others as cells of two bounded
+   blocks, whose similarities are a matrix product.  So every similar pair that shares
+   a bucket ends in one class.
+6. Classes are the connected components of the verified links together with exact copies.
 
 Copies of one text are one representative (the least id) from step 4 on.
 
@@ -42,6 +46,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SPREAD = 0.05
 SEED = 20_240_607
+#: Members up to which the rest of a bucket goes as pairs; members and bytes of hashes of a block of a larger one.
+FEW, BLOCK, BLOCK_BYTES = 32, 1024, 16_000_000
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -236,10 +242,14 @@ def _vectors(shared: DataFrame, n_docs: int) -> DataFrame:
     return by_chunk.mapInArrow(run, fields)
 
 
-def _candidates(vectors: DataFrame) -> DataFrame:
+def _bands(vectors: DataFrame) -> DataFrame:
+    """(key, next, doc_id, size): each document in its buckets, with one further sample and the bytes of its hashes."""
+    rows = vectors.select("doc_id", F.posexplode("keys").alias("band", "key"), "order", F.octet_length("hashes").alias("size"))
+    return storage.materialise(rows.select("key", F.col("order")[(F.col("band") + 1) % BANDS].alias("next"), "doc_id", "size"), "bands")
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
     """(a, b), a < b: members of a bucket with its least member, and neighbours in sample order."""
-    rows = vectors.select("doc_id", F.posexplode("keys").alias("band", "key"), "order").withColumn("next", F.col("order")[(F.col("band") + 1) % BANDS]).drop("order")
-    rows = storage.materialise(rows.select("key", "next", "doc_id"), "bands")
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # A table of its own, so that both sides of the join are plain shuffles and Spark can split a hot bucket.
     members = rows.join(storage.materialise(buckets.drop("n"), "buckets"), "key")
@@ -257,7 +267,7 @@ def _candidates(vectors: DataFrame) -> DataFrame:
             one, two = doc[:-1][same], doc[1:][same]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 
-    near = rows.repartitionByRange("key", "next", "doc_id").sortWithinPartitions("key", "next", "doc_id").mapInArrow(neighbours, "a long, b long")
+    near = rows.drop("size").repartitionByRange("key", "next", "doc_id").sortWithinPartitions("key", "next", "doc_id").mapInArrow(neighbours, "a long, b long")
     return star.union(near).distinct()
 
 
@@ -282,6 +292,123 @@ def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "ha", "wa", "tb", "hb", "wb").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _overlaps(hashes: list[bytes], weights: list[bytes]) -> np.ndarray:
+    """For each two documents the sum over their common shingles of the lesser weight."""
+    n = len(hashes)
+    h, w = np.frombuffer(b"".join(hashes), dtype=np.uint64), np.frombuffer(b"".join(weights), dtype=np.float32).astype(np.float64)
+    row = np.repeat(np.arange(n), [len(x) // 8 for x in hashes])
+    order = np.lexsort((w, h))
+    h, w, row = h[order], w[order], row[order]
+    out = np.zeros((n, n))
+    if not len(h):
+        return out
+    new_h = np.append(True, h[1:] != h[:-1])
+    new = new_h | np.append(True, w[1:] != w[:-1])
+    # A column is a shingle and one of its weights; it counts what that weight has over the next lesser one,
+    # and a document stands in the columns up to its own weight.
+    col, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    step = np.where(new_h[first], w[first], w[first] - np.append(0, w[first][:-1]))
+    lowest = col[np.flatnonzero(new_h)][np.cumsum(new_h) - 1]
+    times = col - lowest + 1
+    row = np.repeat(row, times)
+    col = np.repeat(lowest, times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    # Columns of one document add nothing.
+    used = np.bincount(col, minlength=len(step)) > 1
+    row, col, step = row[used[col]], (np.cumsum(used) - 1)[col[used[col]]], step[used]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for at in range(0, len(step), 2048):
+        a, z = np.searchsorted(col, [at, at + 2048])
+        m = np.zeros((n, min(2048, len(step) - at)))
+        m[row[a:z], col[a:z] - at] = 1
+        out += (m * step[at : at + 2048]) @ m.T
+    return out
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric table of links."""
+    left, found = near.any(axis=1), []
+    while left.any():
+        queue = [int(left.argmax())]
+        left[queue[0]] = False
+        while queue:
+            i = queue.pop()
+            more = np.flatnonzero(near[i] & left).tolist()
+            left[more] = False
+            found += [(i, j) for j in more]
+            queue += more
+    return found
+
+
+def _cells(members: DataFrame, parts: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(cell, doc_id, label): members of large buckets, so dealt that each two of different labels meet in a cell.
+
+    A label with a full block of members has blocks of its own, which do not meet each other; all other
+    members of the bucket share blocks.
+    """
+    full = (F.col("n") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES)
+    held = parts.where(full).select("key", "label", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("own"))
+    held = storage.materialise(held.join(buckets.select("key"), "key", "left_semi"), "held")
+    others = parts.where(~full).groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    others = others.select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("shared"))
+    block = lambda label, at: F.struct(label.alias("label"), at.cast("long").alias("at"))
+    of_label = held.groupBy("key").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0).cast("long"), F.col("own") - 1), lambda x: block(F.col("label"), x)))).alias("blocks"))
+    none = F.lit(None).cast("long")
+    shared = F.when(F.col("shared") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("shared") - 1), lambda x: block(none, x)))
+    met = buckets.select("key").join(others, "key", "left").join(of_label, "key", "left")
+    met = storage.materialise(met.select("key", "shared", F.concat(*[F.coalesce(x, F.array().cast("array<struct<label:bigint,at:bigint>>")) for x in (shared, F.col("blocks"))]).alias("blocks")), "blocks")
+    placed = members.join(met, "key").join(held, ["key", "label"], "left")
+    mine = block(F.when(F.col("own").isNotNull(), F.col("label")), F.pmod(F.xxhash64("doc_id"), F.coalesce("own", "shared")))
+    placed = placed.withColumn("mine", mine)
+    partner = F.filter("blocks", lambda x: ~x.eqNullSafe(F.col("mine")) & (x["label"].isNull() | ~x["label"].eqNullSafe(F.col("mine.label"))))
+    placed = placed.select("key", "doc_id", "label", "mine", F.explode(F.when(F.size("blocks") == 1, F.col("blocks")).otherwise(partner)).alias("other"))
+    name = [F.concat_ws(":", F.coalesce(F.col(x)["label"].cast("string"), F.lit("")), F.col(x)["at"]) for x in ("mine", "other")]
+    return placed.select(F.concat_ws("/", F.col("key"), F.least(*name), F.greatest(*name)).alias("cell"), "doc_id", "label")
+
+
+def _rest(bands: DataFrame, pairs: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Verified links (a, b, similarity) that join all similar members of a bucket which ``labels`` keeps apart."""
+    named = bands.join(labels, "doc_id", "left").select("key", "doc_id", "size", F.coalesce("class_id", "doc_id").alias("label"))
+    named = storage.materialise(named, "named")
+    parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    # The one pair of a bucket of two has been verified.
+    buckets = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1 and n > 2")
+    buckets = storage.materialise(buckets, "buckets")
+    few = named.join(buckets.where(F.col("n") <= FEW).select("key"), "key").select("key", "doc_id", "label")
+    both = few.toDF("key", "a", "la").join(few.toDF("key", "b", "lb"), "key").where("a < b and la <> lb").select("a", "b").distinct()
+    found = storage.materialise(_verified(both.join(pairs, ["a", "b"], "left_anti"), vectors), "verified")
+    large = storage.materialise(buckets.where(F.col("n") > FEW).select("key"), "large")
+    if not large.head(1):
+        return found
+    members = named.join(large, "key").select("key", "doc_id", "label")
+    cells = storage.materialise(_cells(members, parts.join(large, "key", "left_semi"), large), "cells")
+
+    def linked(rows: list[tuple]) -> pa.RecordBatch:
+        docs, labels, totals, hashes, weights = zip(*rows, strict=True)
+        doc, label, total = np.array(docs), np.array(labels), np.array(totals)
+        common = _overlaps(hashes, weights)
+        value = common / np.maximum(total[:, None] + total[None, :] - common, 1e-9)
+        links = _forest((value >= THRESHOLD - 1e-6) & (label[:, None] != label[None, :]))
+        i, j = np.array(links, dtype=np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j])), pa.array(value[i, j])], ["a", "b", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+        for b in batches:
+            for row in zip(*(b.column(j).to_pylist() for j in range(6)), strict=True):
+                if row[0] != cell and rows:
+                    yield linked(rows)
+                    rows = []
+                cell = row[0]
+                rows.append(row[1:])
+        if rows:
+            yield linked(rows)
+
+    full = cells.join(vectors.select("doc_id", "total", "hashes", "weights"), "doc_id").select("cell", "doc_id", "label", "total", "hashes", "weights")
+    got = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, similarity double")
+    return found.union(storage.materialise(got.dropDuplicates(["a", "b"]), "verified"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, class_id): the least id that is reached over ``edges`` (a, b), by label propagation with
     pointer jumping; one shared table a round, so no lineage grows."""
@@ -317,11 +444,14 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     copies = storage.materialise(representatives(docs), "copies")
     blobs = _blobs(docs, buckets).repartition("bucket").sortWithinPartitions("bucket")
-    shared = storage.materialise(_shared(blobs), "shared")
+    packed = storage.new_path(spark, "shared")
+    shared = storage.materialise(_shared(blobs), "shared", packed)
     storage.release(spark)
     vectors = storage.materialise(_vectors(shared, n_docs).join(copies.select("doc_id"), "doc_id", "left_anti"), "vectors")
+    storage.drop(spark, packed)
     storage.release(spark)
-    pairs = storage.materialise(_candidates(vectors), "candidates")
+    bands = _bands(vectors)
+    pairs = storage.materialise(_candidates(bands), "candidates")
     # First each document with the least of its partners; then what that did not already join.
     best = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     first = storage.materialise(_verified(best, vectors), "verified")
@@ -337,6 +467,11 @@ def classes(docs: DataFrame) -> DataFrame:
     storage.release(spark)
     links = first.union(second)
     joined = components(links)
+    more = _rest(bands, pairs, joined, vectors)
+    storage.release(spark)
+    if more.head(1):
+        links = links.union(more)
+        joined = components(links)
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("links")).withColumnRenamed("a", "rep")
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     out = ids.join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))

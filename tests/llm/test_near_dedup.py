@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stackmeter.llm import near_dedup as nd
 
@@ -49,6 +50,47 @@ def test_groups_are_found_and_others_left_alone(spark):
     assert out == {i: least[g] for i, g in group.items()}
 
 
+def test_overlaps_are_sums_of_lesser_weights():
+    rng = np.random.default_rng(3)
+    sets = [{int(h): float(np.float32(rng.choice([1.0, 1.05, 2.1]))) for h in rng.choice(5000, 3000, replace=False)} for _ in range(12)] + [{}]
+    keys = [sorted(x) for x in sets]
+    got = nd._overlaps([np.array(k, dtype=np.uint64).tobytes() for k in keys], [np.array([x[h] for h in k], dtype=np.float32).tobytes() for k, x in zip(keys, sets, strict=True)])
+    want = [[sum(min(x[h], y[h]) for h in x.keys() & y.keys()) for y in sets] for x in sets]
+    apart = ~np.eye(len(sets), dtype=bool)
+    assert np.allclose(got[apart], np.array(want)[apart])
+
+
+def edited(base, seed, n=5):
+    rng, words = random.Random(seed), base.split(" ")
+    for at in rng.sample(range(6, len(words) - 6, 6), n):
+        words[at] = f"new{seed}x{at}"
+    return " ".join(words)
+
+
+def test_hot_group_around_a_text_with_a_middle_id(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 200)
+    base, n = prose(300, 77, 100_000), 2000
+    rows = [(i, base if i == n // 2 else edited(base, i)) for i in range(n)]
+    assert similarity(base, rows[0][1]) > 0.83 and similarity(rows[0][1], rows[1][1]) < 0.79
+    other = prose(300, 78, 100_000)
+    rows += [(n + i, other if i == 7 else edited(other, n + i)) for i in range(20)]
+    out = {r.doc_id: r.class_id for r in nd.classes(plain(spark, rows)).collect()}
+    assert out == {i: 0 if i < n else n for i in range(n + 20)}
+
+
+def test_cells_let_members_of_two_labels_meet(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 10)
+    rows = [(1, i, 500 if i < 45 else i, 8) for i in range(80)] + [(2, i, i, 8) for i in range(8)] + [(3, i, 600 + i // 30, 8) for i in range(60)]
+    members = spark.createDataFrame(rows, "key long, doc_id long, label long, size int")
+    parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    got = {}
+    for r in nd._cells(members.drop("size"), parts, members.select("key").distinct()).collect():
+        got.setdefault(r.cell, []).append(r.doc_id)
+    met = {(c.split("/")[0], a, b) for c, ids in got.items() for a in ids for b in ids}
+    assert all((str(k), a, b) in met for k, a, la, _ in rows for j, b, lb, _ in rows if j == k and la != lb)
+    assert max(map(len, got.values())) < 40
+
+
 def test_awkward_rows(spark):
     out = {r.doc_id: r.class_id for r in nd.classes(frame(spark)).collect()}
     assert set(out) == {r[0] for r in awkward() if r[0] is not None}

@@ -489,8 +489,9 @@ def seed_axis(spark, sf):
 _OD = """od AS (SELECT stack, z, y, x, -ln(least(greatest((v+120e0)/130e0, 0.00392156862745098e0), 4e0)) AS od, y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 AS core FROM v_pixels WHERE z < 20)"""
 
 
-def _od(spark: SparkSession, sf: str) -> DataFrame:
-    p = view(spark, sf, "v_pixels").where("z < 20")
+def _od(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Optical density of the first 20 slices, which the SQL of the oracles reads, or of all (the queries named ``_full``)."""
+    p = view(spark, sf, "v_pixels").where(F.lit(True) if whole else F.col("z") < 20)
     od = scalars.optical_density(F.col("v") + 120.0, F.lit(130.0))
     return p.select("stack", "z", "y", "x", od.alias("od"), (F.col("y").between(2, 5) & F.col("x").between(2, 5)).alias("core"))
 
@@ -499,20 +500,30 @@ def _od(spark: SparkSession, sf: str) -> DataFrame:
   {_r('any_value(m3)/power(any_value(m2),1.5e0)','skew',3)}, {_r('any_value(m4)/power(any_value(m2),2)-3','kurtosis',3)}, {_r('any_value(ent)','entropy')} FROM (SELECT stack, z, od FROM od) o
   JOIN (SELECT stack, z, avg(power(od-mu,2)) AS m2, avg(power(od-mu,3)) AS m3, avg(power(od-mu,4)) AS m4 FROM od JOIN (SELECT stack, z, avg(od) AS mu FROM od GROUP BY 1, 2) USING (stack, z) GROUP BY 1, 2) USING (stack, z)
   JOIN (SELECT stack, z, -sum(p*log2(p)) AS ent FROM (SELECT stack, z, bin, count(*)/sum(count(*)) OVER (PARTITION BY stack, z) AS p FROM (SELECT stack, z, least(floor((od+0.3e0)/2.3e0*32), 31) AS bin FROM od WHERE od BETWEEN -0.3e0 AND 2e0) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (stack, z) GROUP BY stack, z""", _OD))
-def od_stats(spark, sf):
-    out = curves.region_stats(_od(spark, sf))
+def od_stats(spark, sf, whole=False):
+    out = curves.region_stats(_od(spark, sf, whole))
     three = ("skew", "kurtosis")
     return rounded(rounded(out, 4, three), 3, tuple(c for c in out.columns if c not in three))
 
 
+@query()
+def od_stats_full(spark, sf):
+    return od_stats(spark, sf, True)
+
+
 @query(_with(("v_pixels",), f"""SELECT stack, z, {_r('rm-cm','rim_minus_core_od')}, {_r('CASE WHEN abs(rm)>1e-6 THEN cm/rm END','core_over_rim_od',3)}, {_r('(rm-cm)/(sqrt(0.5e0*(cv+rv))+1e-9)','core_rim_separation')}, {_r('fill','core_fill_fraction')}, CASE WHEN body < 0.06e0 THEN 1e0 ELSE 0e0 END AS outline_empty FROM cr
   JOIN (SELECT stack, z, avg(CASE WHEN od > 0.5e0*rm THEN 1e0 ELSE 0e0 END) AS fill FROM od JOIN cr USING (stack, z) WHERE core GROUP BY 1, 2) USING (stack, z)""",
   _OD, "cr AS (SELECT stack, z, avg(od) FILTER (core) AS cm, avg(od) FILTER (NOT core) AS rm, var_pop(od) FILTER (core) AS cv, var_pop(od) FILTER (NOT core) AS rv, avg(od) AS body FROM od GROUP BY 1, 2)"))
-def core_rim_contrast(spark, sf):
-    out = curves.core_rim_contrast(_od(spark, sf))
+def core_rim_contrast(spark, sf, whole=False):
+    out = curves.core_rim_contrast(_od(spark, sf, whole))
     return rounded(rounded(out, 4, ("core_over_rim_od",)), 3, tuple(c for c in out.columns if c != "core_over_rim_od"))
 
 
+@query()
+def core_rim_contrast_full(spark, sf):
+    return core_rim_contrast(spark, sf, True)
+
+
 _GL = """gl AS (SELECT stack, z, y, x, CAST(floor(round(least(greatest((od+0.3e0)/2.3e0,0e0),1e0)*15,9)) AS INT) AS g FROM od),
  gp AS (SELECT a.stack, a.z, d.ang, a.g AS i, b.g AS j FROM gl a JOIN (VALUES (0,0,1),(1,1,1),(2,1,0),(3,1,-1)) d(ang,dy,dx) ON true JOIN gl b ON a.stack=b.stack AND a.z=b.z AND b.y=a.y+d.dy AND b.x=a.x+d.dx WHERE a.g>0 AND b.g>0),
  gs AS (SELECT * FROM gp UNION ALL SELECT stack, z, ang, j, i FROM gp), gc AS (SELECT stack, z, ang, i, j, count(*)/sum(count(*)) OVER (PARTITION BY stack, z, ang) AS p FROM gs GROUP BY 1,2,3,4,5),
@@ -533,6 +544,11 @@ def gradient_stats(spark, sf):
     return rounded(curves.gradient_stats(_od(spark, sf)))
 
 
+@query()
+def gradient_stats_full(spark, sf):
+    return rounded(curves.gradient_stats(_od(spark, sf, True)))
+
+
 def _glcm_at(distance: int) -> tuple[str, str]:
     """Offsets of the four angles at a distance, as SQL values, and the co-occurrence tables over them."""
     at = [(int(round(distance * math.sin(a * math.pi / 4))), int(round(distance * math.cos(a * math.pi / 4)))) for a in range(4)]
@@ -543,9 +559,9 @@ def _glcm_at(distance: int) -> tuple[str, str]:
 _GLCM_OUT = f"SELECT stack, z, {_r('avg(c)','contrast',7)}, {_r('avg(d)','dissimilarity',7)}, {_r('avg(h)','homogeneity',7)}, {_r('avg(e)','energy',7)}, {_r('avg(CASE WHEN mii-mi*mi < 1e-12 THEN 1e0 ELSE (mij-mi*mi)/(mii-mi*mi) END)','correlation',7)} FROM ga GROUP BY 1, 2 HAVING count(*) = 4"
 
 
-def _grey(spark: SparkSession, sf: str) -> DataFrame:
+def _grey(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     share = F.least(F.greatest((F.col("od") + 0.3) / 2.3, F.lit(0.0)), F.lit(1.0))
-    return _od(spark, sf).withColumn("g", F.floor(F.round(share * 15, 9)).cast("int"))
+    return _od(spark, sf, whole).withColumn("g", F.floor(F.round(share * 15, 9)).cast("int"))
 
 
 @query(_with(("v_pixels",), _GLCM_OUT, _OD, _glcm_at(2)[0]))
@@ -558,14 +574,29 @@ def glcm_core_d4(spark, sf):
     return rounded(curves.glcm(_grey(spark, sf), 4), 7)
 
 
+@query()
+def glcm_core_full(spark, sf):
+    return rounded(curves.glcm(_grey(spark, sf, True), 1), 7)
+
+
+@query()
+def glcm_core_d2_full(spark, sf):
+    return rounded(curves.glcm(_grey(spark, sf, True), 2), 7)
+
+
+@query()
+def glcm_core_d4_full(spark, sf):
+    return rounded(curves.glcm(_grey(spark, sf, True), 4), 7)
+
+
 @query()
 def lbp_core(spark, sf):
-    return rounded(curves.lbp_histogram(_frames(spark, sf).where("z < 20")))
+    return rounded(curves.lbp_histogram(_frames(spark, sf)))
 
 
 @query()
 def plane_background(spark, sf):
-    return rounded(curves.plane_background(view(spark, sf, "v_pixels").where("z < 20")))
+    return rounded(curves.plane_background(view(spark, sf, "v_pixels")))
 
 
 _HOT = "hot AS (SELECT p.stack, p.z, p.y, p.x FROM v_pixels p JOIN (SELECT stack, z, median(v) AS m, stddev_pop(v) AS s FROM v_pixels GROUP BY 1, 2) USING (stack, z) WHERE v > m + 0.8e0*s)"

@@ -736,9 +736,19 @@ def mesh_vertices(spark, sf):
     return rounded(mesh.spheroid_vertices(view(spark, sf, "v_outlines").where("oid < 50")))
 
 
+@query()
+def mesh_vertices_full(spark, sf):
+    return rounded(mesh.spheroid_vertices(view(spark, sf, "v_outlines")))
+
+
 @query(_with(("v_objects",), "SELECT obj AS oid, CAST(2*cell+t AS INT) AS fid, CAST(CASE t WHEN 0 THEN j*64+k ELSE j*64+(k+1)%64 END AS INT) AS a, CAST(CASE t WHEN 0 THEN j*64+(k+1)%64 ELSE (j+1)*64+(k+1)%64 END AS INT) AS b, CAST((j+1)*64+k AS INT) AS c FROM (SELECT obj, cell, cell//64 AS j, cell%64 AS k, t FROM v_objects, (SELECT unnest(range(0,512)) AS cell), (SELECT unnest([0,1]) AS t) WHERE obj <= 20)"))
-def mesh_faces(spark, sf):
-    return mesh.spheroid_faces(view(spark, sf, "v_objects").where("obj <= 20").select(F.col("obj").alias("oid"))).select("oid", "fid", *[F.col(c).cast("int").alias(c) for c in "abc"])
+def mesh_faces(spark, sf, which="obj <= 20"):
+    return mesh.spheroid_faces(view(spark, sf, "v_objects").where(which).select(F.col("obj").alias("oid"))).select("oid", "fid", *[F.col(c).cast("int").alias(c) for c in "abc"])
+
+
+@query()
+def mesh_faces_full(spark, sf):
+    return mesh_faces(spark, sf, "true")
 
 
 @query(f"SELECT ring, k, {_r(f'{_CX} + ring*{DOME.contact_radius / 8!r}e0*cos(k*{2 * math.pi / 24!r}e0)','x',3)}, {_r(f'{_CY} + ring*{DOME.contact_radius / 8!r}e0*sin(k*{2 * math.pi / 24!r}e0)','y',3)}, {_r(f'{_CZ} - sqrt(greatest({_RAD}*{_RAD} - power(ring*{DOME.contact_radius / 8!r}e0,2),0e0))/{_AN}','z',3)} FROM (SELECT CAST(unnest(range(0,9)) AS INT) AS ring), (SELECT CAST(unnest(range(0,24)) AS INT) AS k)")
@@ -858,11 +868,16 @@ def saved_offsets(spark, sf):
 
 
 @query("SELECT l_orderkey AS oid, string_agg(CAST(l_linenumber AS VARCHAR), ';' ORDER BY l_linenumber) AS views FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
-def view_names(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 500")
+def view_names(spark, sf, which="l_orderkey < 500"):
+    li = table(spark, sf, "lineitem").where(which)
     return li.groupBy(F.col("l_orderkey").alias("oid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda t: t.cast("string")), ";").alias("views"))
 
 
+@query()
+def view_names_full(spark, sf):
+    return view_names(spark, sf, "true")
+
+
 @query(_with(("v_outlines",), f"SELECT oid, {_r('12.566370614359172e0*sum(r)/power(sum(r)/8,2)','circularity')}, {_r('sqrt(sum(r)/3.141592653589793e0)','radius')} FROM v_outlines GROUP BY oid"))
 def detection_shape(spark, sf):
     s = view(spark, sf, "v_outlines").groupBy("oid").agg(F.sum("r").alias("area"))

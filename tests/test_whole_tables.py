@@ -29,3 +29,9 @@ def test_optical_density_of_every_slice(spark, duck, name):  # noqa: F811
 @pytest.mark.parametrize("name", ["lbp_core", "plane_background"])
 def test_every_frame_has_a_row(spark, name):
     assert registry.queries()[name](spark, SF).select("stack", "z").distinct().count() == 500
+
+
+@pytest.mark.parametrize(("name", "bound"), [("mesh_vertices", "WHERE oid < 50"), ("mesh_faces", "WHERE obj <= 20"), ("view_names", "WHERE l_orderkey < 500")])
+def test_every_id_has_rows(spark, duck, name, bound):  # noqa: F811
+    bounded = len(duck.execute(registry.oracle_sql()[name]).fetchall())
+    assert compare(spark, duck, f"{name}_full", name, (bound, "")) > 2 * bounded

@@ -131,19 +131,21 @@ def sampled_slices(depth: int, n: int = 7) -> list[int]:
     return sorted({int(v) for v in np.rint(np.linspace(0, depth - 1, n))})
 
 
-def composite(tile_pixels: DataFrame) -> DataFrame:
+def composite(tile_pixels: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(cx, cy, v, n): feathered weighted mean on the canvas, truncated to 0 .. 255, and the coverage.
 
-    ``tile_pixels`` has (cx, cy, v, weight); means come from two partial sums.
+    ``tile_pixels`` has (cx, cy, v, weight); means come from two partial sums.  ``by`` names
+    columns with a canvas for each of their values, which lead the result.
     """
-    out = tile_pixels.groupBy("cx", "cy").agg(F.sum(F.col("weight") * F.col("v")).alias("s"), F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    by = by or []
+    out = tile_pixels.groupBy(*by, "cx", "cy").agg(F.sum(F.col("weight") * F.col("v")).alias("s"), F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
     mean = F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(F.lit(0.0))
-    return out.select("cx", "cy", F.floor(F.least(F.greatest(F.round(mean, 6), F.lit(0.0)), F.lit(255.0))).cast("int").alias("v"), "n")
+    return out.select(*by, "cx", "cy", F.floor(F.least(F.greatest(F.round(mean, 6), F.lit(0.0)), F.lit(255.0))).cast("int").alias("v"), "n")
 
 
-def max_composite(tile_pixels: DataFrame) -> DataFrame:
-    """(cx, cy, v): brightest value over each canvas cell (F8)."""
-    return tile_pixels.groupBy("cx", "cy").agg(F.max("v").alias("v"))
+def max_composite(tile_pixels: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(cx, cy, v): brightest value over each canvas cell (F8), of each value of ``by``."""
+    return tile_pixels.groupBy(*(by or []), "cx", "cy").agg(F.max("v").alias("v"))
 
 
 def segmented(frames: DataFrame, segmenter=None, min_area: int = 30) -> DataFrame:

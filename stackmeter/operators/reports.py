@@ -52,24 +52,27 @@ def stage_affine(stage: DataFrame) -> DataFrame:
     return stage.agg(*fit("x"), *fit("y"))
 
 
-def texture_ridge(polar: DataFrame) -> DataFrame:
-    """(z, r): the radius at which the median texture over azimuths is highest, the inner one of equals."""
-    mid = polar.groupBy("z", "r").agg(F.median("t").alias("m"))
-    return mid.groupBy("z").agg(F.max_by("r", F.struct(F.round("m", 9), -F.col("r"))).alias("r"))
+def texture_ridge(polar: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(z, r): the radius at which the median texture over azimuths is highest, the inner one of equals (F27), for each ``by``."""
+    by = by or []
+    mid = polar.groupBy(*by, "z", "r").agg(F.median("t").alias("m"))
+    return mid.groupBy(*by, "z").agg(F.max_by("r", F.struct(F.round("m", 9), -F.col("r"))).alias("r"))
 
 
-def column_steps(canvas: DataFrame, at: Column) -> DataFrame:
-    """(cx, step): mean jump between the two columns before and the two from each ``at`` column on."""
-    w = Window.partitionBy("cy").orderBy("cx")
+def column_steps(canvas: DataFrame, at: Column, by: list[str] | None = None) -> DataFrame:
+    """(cx, step): mean jump between the two columns before and the two from each ``at`` column on (F28), for each ``by``."""
+    by = by or []
+    w = Window.partitionBy(*by, "cy").orderBy("cx")
     pairs = canvas.withColumn("before", (F.lag("v", 1).over(w) + F.lag("v", 2).over(w)) / 2).withColumn("after", (F.col("v") + F.lead("v", 1).over(w)) / 2)
-    return pairs.where(at & F.col("before").isNotNull() & F.col("after").isNotNull()).groupBy("cx").agg(F.avg(F.abs(F.col("before") - F.col("after"))).alias("step"))
+    return pairs.where(at & F.col("before").isNotNull() & F.col("after").isNotNull()).groupBy(*by, "cx").agg(F.avg(F.abs(F.col("before") - F.col("after"))).alias("step"))
 
 
-def overlap_disagreement(tile_pixels: DataFrame) -> DataFrame:
-    """(n, gap): mean difference of two tiles at the canvas cells that both see."""
+def overlap_disagreement(tile_pixels: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(n, gap): mean difference of two tiles at the canvas cells that both see (F28), for each ``by``."""
+    by = by or []
     a, b = tile_pixels.alias("a"), tile_pixels.alias("b")
-    met = a.join(b, [F.col("a.cx") == F.col("b.cx"), F.col("a.cy") == F.col("b.cy"), F.col("a.tile") + 1 == F.col("b.tile")])
-    return met.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("a.v") - F.col("b.v"))).alias("gap"))
+    met = a.join(b, [F.col("a.cx") == F.col("b.cx"), F.col("a.cy") == F.col("b.cy"), F.col("a.tile") + 1 == F.col("b.tile"), *[F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]])
+    return met.groupBy(*[F.col(f"a.{c}").alias(c) for c in by]).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("a.v") - F.col("b.v"))).alias("gap"))
 
 
 def with_saved_offsets(tiles: DataFrame, saved: DataFrame) -> DataFrame:

@@ -434,9 +434,13 @@ _TP = """tp AS (SELECT (stack % 5)*6 + x AS cx, y AS cy, v+128e0 AS v, greatest(
 
 
 def _tile_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    p = view(spark, sf, "v_pixels").where("z = 0")
+    return _all_tile_pixels(spark, sf).where("z = 0").drop("z")
+
+
+def _all_tile_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    p = view(spark, sf, "v_pixels")
     w = scalars.feather_weight(F.col("x"), F.col("y"), F.lit(8), F.lit(8), F.lit(2.0))
-    return p.select(((F.col("stack") % 5) * 6 + F.col("x")).alias("cx"), F.col("y").alias("cy"), (F.col("v") + 128.0).alias("v"), w.alias("weight"))
+    return p.select("z", ((F.col("stack") % 5) * 6 + F.col("x")).alias("cx"), F.col("y").alias("cy"), (F.col("v") + 128.0).alias("v"), w.alias("weight"))
 
 
 @query(_with(("v_pixels",), "SELECT cx, cy, CAST(floor(least(greatest(round(sum(weight*v)/sum(weight),6),0e0),255e0)) AS INT) AS v, count(*) AS n FROM tp GROUP BY 1, 2", _TP))
@@ -449,6 +453,16 @@ def max_composite(spark, sf):
     return rounded(frames.max_composite(_tile_pixels(spark, sf)))
 
 
+@query()
+def feather_composite_full(spark, sf):
+    return frames.composite(_all_tile_pixels(spark, sf), ["z"])
+
+
+@query()
+def max_composite_full(spark, sf):
+    return rounded(frames.max_composite(_all_tile_pixels(spark, sf), ["z"]))
+
+
 _PROFILE = "pr AS (SELECT stack, z, avg(v*v) AS v FROM v_pixels GROUP BY 1, 2)"
 
 
@@ -847,11 +861,22 @@ def texture_ridge(spark, sf):
     return reports.texture_ridge(p)
 
 
+@query()
+def texture_ridge_full(spark, sf):
+    p = view(spark, sf, "v_pixels").select("stack", "z", F.col("x").alias("r"), (F.col("v") * F.col("v")).alias("t"))
+    return reports.texture_ridge(p, ["stack"])
+
+
 @query(_with(("v_pixels",), f"SELECT cx, {_r('avg(abs(b-a))','step')} FROM (SELECT cx, cy, (lag(v,1) OVER w + lag(v,2) OVER w)/2 AS b, (v + lead(v,1) OVER w)/2 AS a FROM (SELECT cx, cy, max(v) AS v FROM tp GROUP BY 1, 2) WINDOW w AS (PARTITION BY cy ORDER BY cx)) WHERE cx % 6 = 0 AND b IS NOT NULL AND a IS NOT NULL GROUP BY cx", _TP))
 def seam_steps(spark, sf):
     return rounded(reports.column_steps(frames.max_composite(_tile_pixels(spark, sf)), F.col("cx") % 6 == 0))
 
 
+@query()
+def seam_steps_full(spark, sf):
+    return rounded(reports.column_steps(frames.max_composite(_all_tile_pixels(spark, sf), ["z"]), F.col("cx") % 6 == 0, ["z"]))
+
+
 _TPT = _TP.replace("tp AS (SELECT", "tq AS (SELECT stack AS tile,").replace("WHERE z = 0", "WHERE z = 0 AND stack < 5")
 
 
@@ -861,6 +886,12 @@ def overlap_disagreement(spark, sf):
     return rounded(reports.overlap_disagreement(p))
 
 
+@query()
+def overlap_disagreement_full(spark, sf):
+    p = view(spark, sf, "v_pixels").select("z", F.col("stack").alias("tile"), ((F.col("stack") % 5) * 6 + F.col("x")).alias("cx"), F.col("y").alias("cy"), (F.col("v") + 128.0).alias("v"))
+    return rounded(reports.overlap_disagreement(p, ["z"]))
+
+
 @query(_with(("v_tiles",), "SELECT tile, x0 + 1e0 AS x0, y0 AS y0 FROM v_tiles"))
 def saved_offsets(spark, sf):
     t = view(spark, sf, "v_tiles")

@@ -35,3 +35,19 @@ def test_every_frame_has_a_row(spark, name):
 def test_every_id_has_rows(spark, duck, name, bound):  # noqa: F811
     bounded = len(duck.execute(registry.oracle_sql()[name]).fetchall())
     assert compare(spark, duck, f"{name}_full", name, (bound, "")) > 2 * bounded
+
+
+@pytest.mark.parametrize("z", [0, 7, 49])
+@pytest.mark.parametrize("name", ["feather_composite", "max_composite", "seam_steps"])
+def test_composites_of_every_slice(spark, duck, name, z):  # noqa: F811
+    assert compare(spark, duck, f"{name}_full", name, ("WHERE z = 0", f"WHERE z = {z}"), where=f"z = {z}") > 0
+
+
+@pytest.mark.parametrize("z", [0, 49])
+def test_overlaps_of_every_slice_and_stack(spark, duck, z):  # noqa: F811
+    assert compare(spark, duck, "overlap_disagreement_full", "overlap_disagreement", ("WHERE z = 0 AND stack < 5", f"WHERE z = {z}"), where=f"z = {z}") == 1
+
+
+@pytest.mark.parametrize("stack", [0, 9])
+def test_ridge_of_every_stack(spark, duck, stack):  # noqa: F811
+    assert compare(spark, duck, "texture_ridge_full", "texture_ridge", ("WHERE stack = 0", f"WHERE stack = {stack}"), where=f"stack = {stack}") == 50

@@ -13,7 +13,11 @@ from ..params import Acquisition, Params
 from ..storage import materialise
 from . import matching
 
-REACH = 12.0  # above 4 + 0.15 * the largest radius, see gated_pairs
+
+def reach(sightings: DataFrame, p: Params = Params()) -> float:
+    """The widest lateral gate of any sighting, the cell size of ``gated_pairs``."""
+    widest = sightings.where(~F.isnan("r")).agg(F.max("r")).first()[0] or 0.0
+    return p.lateral_base_px + p.lateral_per_radius * widest
 
 
 def numbered(df: DataFrame, order: list[str | Column], name: str = "uid", start: int = 0) -> DataFrame:
@@ -38,7 +42,7 @@ def matched(sightings: DataFrame, tiles: DataFrame, p: Params = Params(), a: Acq
     """One-to-one pairs over all seams (E2, E4 - E6); ``sightings`` has sid and clipped."""
     pairs = matching.neighbour_pairs(tiles)
     candidates = matching.seam_candidates(sightings, tiles, pairs)
-    return matching.assigned(matching.gated_pairs(candidates, REACH, p, a))
+    return matching.assigned(matching.gated_pairs(candidates, reach(sightings, p), p, a))
 
 
 def seam_report(sightings: DataFrame, tiles: DataFrame, pairs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -248,7 +248,7 @@ def seam_candidates(spark, sf):
 def gated_matches(spark, sf):
     t = view(spark, sf, "v_tiles")
     c = matching.seam_candidates(_sightings(spark, sf), t, matching.neighbour_pairs(t))
-    return rounded(matching.gated_pairs(c, cat.REACH, PAR, ACQ))
+    return rounded(matching.gated_pairs(c, cat.reach(c, PAR), PAR, ACQ))
 
 
 @query(_with(_SV, f"SELECT ta, tb, sa, sb, {_r('cost','cost')} FROM gate", _SEAM))

@@ -16,6 +16,15 @@ def test_assignment_is_largest_then_cheapest(spark):
     assert sorted((r.ta, r.tb, r.sa, r.sb) for r in got) == [(0, 1, 1, 2), (0, 1, 2, 1), (0, 1, 3, 4), (0, 1, 4, 3), (0, 2, 5, 5)]
 
 
+def test_wide_objects_meet_over_two_cells_of_twelve(spark):
+    tiles = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 960.0, 720.0), (1, 0, 1, 672.0, 0.0, 960.0, 720.0)], "tile int, tr int, tc int, x0 double, y0 double, w double, h double")
+    # Gate 4 + 0.15 * 78 = 15.7 px; x lies in the cells 66 and 68 of 12 px.
+    rows = [(0, 1, 803.5, 300.0, 20.0, 78.0), (1, 1, 818.5, 300.0, 20.0, 78.0)]
+    seen = spark.createDataFrame([(*r, 0.9, 100.0, False) for r in rows], "tile int, obj long, x double, y double, z double, r double, sharp double, edge double, clipped boolean")
+    got = catalogue.matched(catalogue.with_sid(seen), tiles).collect()
+    assert [(r.sa, r.sb) for r in got] == [(1, 10_000_000_001)]
+
+
 def test_suppression_equals_the_sequential_rule(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), 1, float(rng.uniform(0, 60)), float(rng.uniform(0, 60)), float(rng.integers(0, 6)), float(rng.uniform(4, 20)), float(rng.integers(0, 9)) / 10) for i in range(150)]

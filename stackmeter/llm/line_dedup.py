@@ -1,6 +1,7 @@
 """Line deduplication by a suffix array over line-ID sequences (operator 3).
 
-Lines with a word get IDs; a line that occurs once ends every repeated run, so only
+Lines with a word get IDs; a line that occurs once ends every repeated run, and so does
+a line without a word, which keeps its place (as in the query's SQL).  So only
 occurrences of repeated lines are kept as a suffix table ``(doc, at, rank)``.  Prefix
 doubling sorts the suffixes by their first 1, 2, 4, ... lines: the pair (own rank, rank
 2**k lines on) of each suffix is ranked among the distinct pairs, which are counted

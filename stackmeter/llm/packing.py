@@ -1,135 +1,211 @@
-"""Harmonic packing of token pieces into sequences of one capacity (operator 1).
-
-A sequence of capacity C holds k pieces of class k, each C // k tokens long: the
-reciprocal-capacity classes.  Every document is cut into pieces that fill their
-class's slot to the last token, so a bin of class k is full with exactly k pieces
-and nothing has to be searched.  Each worker numbers its own pieces by class and
-fills its own bins; the fewer than k pieces it has over in a class are numbered on
-across workers by prefix sums of counts (one row for each worker and class).
-
-Sequences are padded to the capacity except at a power of two, so the last bin of
-a class whose slots are powers of two is split into such sequences: only the other
-classes leave any padding at the end.
-
-Defined results: a null text is an empty one and has the end token alone; repeated
-rows are packed each; other columns are ignored; an empty table gives no pieces.
+"""Harmonic packing of token sequences (operator 1).
+
+A document's tokens are cut into full sequences and a rest of ``r`` tokens.  Rests are
+partitioned by length into reciprocal-capacity classes: class k holds the lengths in
+``(C / (k + 1), C / k]``, and a bin of class k takes exactly k of them, whatever they
+weigh.  Classes beyond ``DENSE`` are one last class of small rests.  What k rests leave
+of their bin (less than ``C / (k + 1)``) is filled by the small class, which is cut freely
+at the bins' ends; if too much room waits, the next rest is used as filler too, of
+whatever class it is.
+
+Every worker classes and fills its own bins, without a shuffle, and holds only the
+bins that are not full yet: one for each class, and at most ``WAITING`` with room.  At the
+end of its rows it lays the pieces of these last bins one after another into full
+sequences, and the last rest of less than a sequence into sequences of powers of two
+tokens, which are not padded.  So nothing is padded at all; the price is at most
+``log2(C)`` short sequences a worker.
+
+Ids are those of ``tokenizers`` for the vocabulary file that is named, its special strings
+included.  ``tiktoken`` computes them from the same file at less than half the time
+(tests compare with ``tokenizers``); a text on which its pattern matcher gives up (a million
+spaces) goes through ``tokenizers`` itself.
+
+Defined results: a null text is an empty one and has the end token alone; a text of any
+length is cut into full sequences and a rest; repeated rows are packed each; ids of any
+type pass through; other columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from . import storage
+from pyspark.sql import DataFrame
 
 CAPACITY = 1024
 END = 0
-#: Classes (pieces a bin) whose slots waste little of the capacity.
-DENSE = 8
+#: The classes with bins of their own; shorter rests are the small class.
+DENSE = 7
+#: Bins that may wait for filler before every rest is filler.
+WAITING = 32
 
 
-def classes(capacity: int = CAPACITY) -> list[int]:
-    """1 .. ``DENSE`` and the powers of two up to the capacity."""
-    powers = [1 << j for j in range(capacity.bit_length()) if 1 << j <= capacity]
-    return sorted({*range(1, min(DENSE, capacity) + 1), *powers})
+def harmonic_class(length: int, capacity: int = CAPACITY) -> int:
+    """k with ``capacity / (k + 1) < length <= capacity / k``."""
+    return capacity // length
 
 
-def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
-    """``(start, length, class)`` of the pieces of a document of ``n`` tokens: full bins, then
-    always the largest slot that the rest fills."""
-    slots = [(capacity // k, k) for k in classes(capacity)]
-    out, at = [], 0
-    for size, k in slots:
-        for _ in range((n - at) // size):
-            out.append((at, size, k))
-            at += size
-    return out
+@lru_cache(maxsize=2)
+def _exact(vocabulary: str):
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(vocabulary)
 
-@lru_cache(maxsize=2)
-def encoder(ranks_file: str):
-    """The byte-level BPE of a public vocabulary; its special strings in a text are ordinary text.
 
-    ``tiktoken`` gives the ids of ``tokenizers`` for the same vocabulary at a sixth of the time.
-    """
+def _byte_of_letter() -> dict[str, int]:
+    """The bytes behind the letters of a byte-level vocabulary: printable Latin-1 stands for itself, the rest from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+@lru_cache(maxsize=2)
+def _fast(vocabulary: str):
+    """The same ids by ``tiktoken``: in a byte-level vocabulary the ids are the order of the merges."""
     import public_tokenizers
     import tiktoken
 
-    with open(ranks_file, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(vocabulary, encoding="utf-8") as f:
+        held = json.load(f)
+    letters = _byte_of_letter()
+    special = {t["content"]: t["id"] for t in held["added_tokens"]}
+    ranks = {bytes(letters[c] for c in token): n for token, n in held["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def token_ids(text: str | None, ranks_file: str) -> np.ndarray:
+def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
     """Little-endian unsigned 32-bit ids of a document, the end token last."""
-    enc = encoder(ranks_file)
-    ids = [] if not text else enc.encode_to_numpy(text, disallowed_special=())
+    ids: object = []
+    if text:
+        try:
+            ids = _fast(vocabulary).encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            ids = _exact(vocabulary).encode(text, add_special_tokens=False).ids
     return np.append(np.asarray(ids, dtype="<u4"), np.asarray([END], dtype="<u4"))
 
 
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long, class int, worker long, nth long"
-
-
-def pieces(docs: DataFrame, ranks_file: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document, numbered by worker and class; row by row, no shuffle."""
+@dataclass
+class Piece:
+    doc: object
+    start: int
+    ids: np.ndarray
+    doc_tokens: int
+
+
+@dataclass
+class Bin:
+    """A sequence that is not full yet."""
+
+    pieces: list[Piece] = field(default_factory=list)
+    used: int = 0
+
+
+class Packer:
+    """One worker's bins; ``add`` and ``finish`` give the sequences that are done, as lists of pieces."""
+
+    def __init__(self, capacity: int = CAPACITY, dense: int = DENSE, waiting: int = WAITING):
+        self.capacity, self.dense, self.waiting = capacity, dense, waiting
+        self.of_class: dict[int, Bin] = {}
+        self.gaps: deque[Bin] = deque()
+
+    def add(self, doc: object, ids: np.ndarray) -> Iterator[list[Piece]]:
+        n, cap = len(ids), self.capacity
+        whole = n - n % cap
+        for at in range(0, whole, cap):
+            yield [Piece(doc, at, ids[at : at + cap], n)]
+        if whole == n:
+            return
+        rest = Piece(doc, whole, ids[whole:].copy(), n)
+        k = harmonic_class(n - whole, cap)
+        if k > self.dense or len(self.gaps) >= self.waiting:
+            yield from self._fill(rest)
+            return
+        b = self.of_class.setdefault(k, Bin())
+        b.pieces.append(rest)
+        b.used += len(rest.ids)
+        if len(b.pieces) == k:
+            del self.of_class[k]
+            if b.used == cap:
+                yield b.pieces
+            else:
+                self.gaps.append(b)
+
+    def _fill(self, piece: Piece) -> Iterator[list[Piece]]:
+        """Cut a piece over the bins with room."""
+        at = 0
+        while at < len(piece.ids):
+            if not self.gaps:
+                self.gaps.append(Bin())
+            b = self.gaps[0]
+            part = piece.ids[at : at + self.capacity - b.used]
+            b.pieces.append(Piece(piece.doc, piece.start + at, part, piece.doc_tokens))
+            b.used += len(part)
+            at += len(part)
+            if b.used == self.capacity:
+                yield self.gaps.popleft().pieces
+
+    def finish(self) -> Iterator[list[Piece]]:
+        """What is open: full sequences, then powers of two."""
+        left = [p for b in [*self.of_class.values(), *self.gaps] for p in b.pieces]
+        self.of_class, self.gaps = {}, deque()
+        total = sum(len(p.ids) for p in left)
+        sizes = [self.capacity] * (total // self.capacity)
+        sizes += [1 << j for j in reversed(range(self.capacity.bit_length())) if total % self.capacity >> j & 1]
+        queue = deque(left)
+        for size in sizes:
+            out = []
+            while size:
+                p = queue.popleft()
+                if len(p.ids) > size:
+                    queue.appendleft(Piece(p.doc, p.start + size, p.ids[size:], p.doc_tokens))
+                    p = Piece(p.doc, p.start, p.ids[:size], p.doc_tokens)
+                out.append(p)
+                size -= len(p.ids)
+            yield out
+
+
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def pack(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece; no shuffle.
+
+    ``sequence_id`` is the worker's partition number and, in the low 33 bits, the number of its sequence.
+    """
     source = docs.select(docs["doc_id"], docs[text].alias("__text"))
     key = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id"] + [x.split(" ")[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = TaskContext.get().partitionId()
-        seen: dict[int, int] = {}
+        packer, made, kind = Packer(capacity), TaskContext.get().partitionId() << 33, None
+
+        def rows(done: Iterator[list[Piece]]) -> Iterator[tuple]:
+            nonlocal made
+            for pieces in done:
+                at = 0
+                for p in pieces:
+                    yield p.doc, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.doc_tokens, made, at
+                    at += len(p.ids)
+                made += 1
+
+        def table(got: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*got, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind)] + [pa.array(c, pa.int64()) for c in cols[1:]], names)
+
         for b in batches:
-            at, rows = [], []
-            for i, t in enumerate(b.column(1)):
-                ids = token_ids(t.as_py(), ranks_file)
-                for start, length, k in cuts(len(ids), capacity):
-                    n = seen.get(k, 0)
-                    seen[k] = n + 1
-                    at.append(i)
-                    rows.append((start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), k, worker, n))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id"] + [x.split(" ")[0] for x in PIECES.split(", ")])
-
-    return storage.text_batches(source).mapInArrow(run, f"doc_id {key}, {PIECES}")
-
-
-def pack(docs: DataFrame, ranks_file: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece."""
-    cut = storage.materialise(pieces(docs, ranks_file, text, capacity), "pieces")
-    counts = cut.groupBy("worker", "class").agg(F.count(F.lit(1)).alias("n"))
-    left = counts.select("worker", "class", "n", (F.col("n") % F.col("class")).alias("over"))
-    by_worker = Window.partitionBy("class").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("class")
-    # One row for each worker and class: a few thousandths of the pieces.
-    bases = left.select(
-        "worker", "class", "n", "over",
-        F.coalesce(F.sum("over").over(by_worker), F.lit(0)).alias("before"),
-        F.sum("over").over(whole).alias("all_over"),
-    )
-    p = cut.join(bases, ["worker", "class"])
-    # own: pieces in this worker's full bins; rank: place among all workers' pieces that are over.
-    p = p.selectExpr("*", "n - over as own", "before + nth - (n - over) as rank", "all_over - all_over % class as tail", "all_over % class as last")
-    # The last bin of a class, cut by the binary digits of its number of pieces: sequences of 2**digit.
-    digits = """aggregate(sequence(20, 0, -1), struct(0L as next, 0L as at, -1 as digit), (acc, d) ->
-        if(shiftright(last, d) % 2 = 0, acc, struct(acc.next + shiftleft(1L, d) as next,
-           if(rank - tail >= acc.next, acc.next, acc.at) as at, if(rank - tail >= acc.next, d, acc.digit) as digit)))"""
-    p = p.withColumn("__d", F.expr(f"if(nth >= own and rank >= tail and {capacity} % class = 0, {digits}, null)"))
-    sequence = F.expr("""case when nth < own then struct(worker as maker, 0 as kind, nth div class as bin, nth % class as place)
-        when rank < tail then struct(0L as maker, 1 as kind, rank div class as bin, rank % class as place)
-        when __d is not null then struct(0L as maker, 2 as kind, cast(__d.digit as bigint) as bin, rank - tail - __d.at as place)
-        else struct(0L as maker, 2 as kind, 0L as bin, rank - tail as place) end""")
-    p = p.withColumn("__q", sequence).selectExpr(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        "shiftleft(__q.maker, 43) + shiftleft(cast(class as bigint), 30) + shiftleft(cast(__q.kind as bigint), 28) + __q.bin as sequence_id",
-        f"__q.place * ({capacity} div class) as offset",
-    )
-    return p
+            kind = b.column(0).type
+            got: list[tuple] = []
+            for doc, t in zip(b.column(0), b.column(1), strict=True):
+                got += rows(packer.add(doc.as_py(), token_ids(t.as_py(), vocabulary)))
+            yield table(got)
+        if kind is not None:
+            yield table(list(rows(packer.finish())))
+
+    return source.mapInArrow(run, f"doc_id {key}, {PIECES}")

@@ -10,14 +10,14 @@ from pyspark.sql import types as T
 
 from . import chat, decontam, fingerprint_index, html_extract, line_dedup, near_dedup, oracles, packing, pii, quality, sharding
 
-#: Vocabulary file of ``tokenizers``' byte-level BPE as ranks; only its path is used.
-RANKS = "byte_bpe_50k.tiktoken"
+#: Vocabulary file of a public byte-level BPE; only its path is used.
+VOCABULARY = "byte_bpe_50k.json"
 
 
-def ranks_path() -> str:
+def vocabulary_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(RANKS)
+    return public_tokenizers.path(VOCABULARY)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), ranks_path())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackmeter.llm import decontam, line_dedup, near_dedup, packing, quality, storage
-from stackmeter.llm.queries import ranks_path, table
+from stackmeter.llm.queries import vocabulary_path, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return packing.pack(docs, ranks_path())
+    return packing.pack(docs, vocabulary_path())
 
 
 STAGES = [

@@ -8,7 +8,8 @@ and become SQL expressions: on the executors everything is built-in Spark functi
 row by row, without a shuffle.
 
 Offsets are code points, end exclusive.  Patterns use possessive loops, so a text of
-any length neither backtracks nor recurses.
+any length neither backtracks nor recurses, and every fold over matches is linear in their
+number.
 
 Defined results: null and empty texts have no spans; equal rows have equal results; an
 added span that overlaps a base span or an earlier added one is dropped.
@@ -48,20 +49,46 @@ FOR = r"(?i)(?:phone|tel|call|mobile|fax|cell|card|visa|pay|mail|contact|reach|h
 AGAINST = r"(?i)(?:order|invoice|version|isbn|serial|ref|part|total|date|page|sum|code|build)"
 FEATURES = ("generator", "digits", "length", "marks", "distinct", "luhn", "for", "against", "glued")
 _SPAN = "array<struct<s:int,e:int,m:string,b:string,a:string>>"
+_PART = "array<struct<m:string,g:string,n:string>>"
+#: Items that a fold lists at a time.
+BLOCK = 64
 
 
 def _literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans_sql(matches: str, gaps: str) -> str:
-    """Spans (start, end, match, text before, text after) from all matches of a pattern and the gaps between them."""
-    return f"""if(size({matches}) = 0, cast(array() as {_SPAN}), aggregate(
-      zip_with({matches}, sequence(0, size({matches}) - 1), (m, i) -> struct(m as m, {gaps}[i] as g, {gaps}[i + 1] as n)),
-      struct(0 as at, cast(array() as {_SPAN}) as out),
-      (acc, x) -> struct(
-        acc.at + length(x.g) + length(x.m) as at,
-        concat(acc.out, array(struct(acc.at + length(x.g) as s, acc.at + length(x.g) + length(x.m) as e, x.m as m, right(x.g, 24) as b, left(x.n, 4) as a))) as out)).out)"""
+def block_sql(items: str) -> str:
+    """The items of block ``j``, one by one: ``slice`` would unpack the whole array each time."""
+    return f"transform(sequence(j * {BLOCK}, least((j + 1) * {BLOCK}, size({items})) - 1), i -> {items}[i])"
+
+
+def fold_sql(items: str, zero: str, kind: str, step: str, emit: str, more: str = "") -> str:
+    """A fold over an array column (not empty) that lists what it emits, in time linear in the array.
+
+    ``a.st`` is the state, ``x`` the item; ``emit`` is an array of ``kind``.  Spark copies what a fold carries at every
+    step, so one fold carries the state alone and notes it for each block, and then every block lists its own.
+    ``more`` adds fields to ``a``; in it ``st`` is the state before the block and ``j`` the block's number.
+    """
+    names = "".join(f", a.{x.rsplit(' as ', 1)[1]} as {x.rsplit(' as ', 1)[1]}" for x in more.split(";") if x)
+    fields = "".join(f", {x}" for x in more.split(";") if x)
+    block = block_sql(items)
+    states = f"""aggregate(sequence(0, (size({items}) - 1) div {BLOCK}), struct({zero} as st, cast(array() as array<int>) as states),
+      (o, j) -> struct(aggregate({block}, struct(o.st as st), (a, x) -> struct({step} as st), a -> a.st) as st, concat(o.states, array(o.st)) as states),
+      o -> o.states)"""
+    return f"""flatten(transform({states}, (st, j) -> aggregate({block}, struct(st as st, cast(array() as array<{kind}>) as out{fields}),
+      (a, x) -> struct({step} as st, concat(a.out, {emit}) as out{names}), a -> a.out)))"""
+
+
+def parts_sql(matches: str, gaps: str) -> str:
+    """Every match with the text before and after it."""
+    return f"if(size({matches}) = 0, cast(array() as {_PART}), zip_with({matches}, sequence(0, size({matches}) - 1), (m, i) -> struct(m as m, {gaps}[i] as g, {gaps}[i + 1] as n)))"
+
+
+def spans_sql(parts: str) -> str:
+    """Spans (start, end, match, text before, text after) of all matches of a pattern."""
+    span = "array(struct(a.st + length(x.g) as s, a.st + length(x.g) + length(x.m) as e, x.m as m, right(x.g, 24) as b, left(x.n, 4) as a))"
+    return f"if(size({parts}) = 0, cast(array() as {_SPAN}), {fold_sql(parts, '0', _SPAN[6:-1], 'a.st + length(x.g) + length(x.m)', span)})"
 
 
 def digits_sql(x: str) -> str:
@@ -212,15 +239,23 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     patterns = [BASE[k] for k in KINDS] + [p for _, p in GENERATORS]
     out = out.withColumns({f"__m{i}": F.expr(f"regexp_extract_all(__t, {_literal(p)}, 0)") for i, p in enumerate(patterns)})
     out = out.withColumns({f"__g{i}": F.expr(f"if(size(__m{i}) = 0, cast(array() as array<string>), split(__t, {_literal(p)}, -1))") for i, p in enumerate(patterns)})
-    out = out.withColumns({f"__s{i}": F.expr(spans_sql(f"__m{i}", f"__g{i}")) for i in range(len(patterns))})
+    out = out.withColumns({f"__p{i}": F.expr(parts_sql(f"__m{i}", f"__g{i}")) for i in range(len(patterns))})
+    out = out.withColumns({f"__s{i}": F.expr(spans_sql(f"__p{i}")) for i in range(len(patterns))})
     base = [f"transform(filter(__s{i}, x -> {VALID[k]}), x -> struct(x.s as s, {i} as k, x.e as e))" for i, k in enumerate(KINDS)]
     out = out.withColumn("__base", F.expr(f"array_sort(concat({', '.join(base)}))"))
     more = [_added_sql(g, f"__s{len(KINDS) + g}") for g in range(len(GENERATORS))]
     out = out.withColumn("__more", F.expr(f"array_sort(concat({', '.join(more)}))"))
-    free = "filter(__more, y -> not exists(__base, z -> z.s < y.e and y.s < z.e))"
-    apart = f"""aggregate({free}, struct(-1 as at, cast(array() as array<struct<s:int,k:int,e:int>>) as out),
-      (acc, y) -> if(y.s < acc.at, acc, struct(y.e as at, concat(acc.out, array(y)) as out))).out"""
-    out = out.withColumn("__all", F.expr(f"if(size(__more) = 0, __base, array_sort(concat(__base, {apart})))"))
+    # Added spans among the base spans by start.  Backwards: the next base span's start must not come before an added
+    # span's end; forwards: neither may a base span nor an added one that began earlier reach into it.
+    found, span = "struct<s:int,t:int,k:int,e:int>", "struct<s:int,k:int,e:int>"
+    line = "array_sort(concat(transform(__base, x -> struct(x.s as s, 0 as t, x.k as k, x.e as e)), transform({0}, x -> struct(x.s as s, 1 as t, x.k as k, x.e as e))))"
+    none = f"cast(array() as array<{span}>)"
+    out = out.withColumn("__back", F.expr(f"if(size(__more) = 0, cast(array() as array<{found}>), reverse({line.format('__more')}))"))
+    before = fold_sql("__back", "2147483647", span, "if(x.t = 0, x.s, a.st)", f"if(x.t = 1 and x.e <= a.st, array(struct(x.s as s, x.k as k, x.e as e)), {none})")
+    out = out.withColumn("__free", F.expr(f"if(size(__back) = 0, {none}, {before})"))
+    out = out.withColumn("__line", F.expr(f"if(size(__free) = 0, cast(array() as array<{found}>), {line.format('__free')})"))
+    apart = fold_sql("__line", "-1", span, "if(x.t = 0 or x.s >= a.st, greatest(a.st, x.e), a.st)", f"if(x.t = 1 and x.s >= a.st, array(struct(x.s as s, x.k as k, x.e as e)), {none})")
+    out = out.withColumn("__all", F.expr(f"if(size(__line) = 0, __base, array_sort(concat(__base, {apart})))"))
     return out.select(*keep, "__base", "__all")
 
 
@@ -234,10 +269,9 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets (overlapping spans as one)."""
     names = "array(" + ", ".join(f"'<{k}>'" for k in KINDS) + ")"
-    out = find(docs, text).withColumn(
-        text,
-        F.expr(f"""if(size(__all) = 0, {text}, aggregate(__all, struct(0 as at, '' as out),
-          (acc, x) -> if(x.e <= acc.at, acc, struct(x.e as at, concat(acc.out, if(x.s < acc.at, '', concat(substr({text}, acc.at + 1, x.s - acc.at), {names}[x.k]))) as out)),
-          acc -> concat(acc.out, substr({text}, acc.at + 1))))"""),
-    )
+    # A block's part of the text is cut out once, so that positions count within it.
+    more = f"st as base;substr({text}, st + 1, greatest(0, array_max(transform({block_sql('__all')}, y -> y.e)) - st)) as part"
+    kept = fold_sql("__all", "0", "string", "greatest(a.st, x.e)", f"if(x.s < a.st, cast(array() as array<string>), array(substr(a.part, a.st - a.base + 1, x.s - a.st), {names}[x.k]))", more)
+    rest = f"substr({text}, array_max(transform(__all, x -> x.e)) + 1)"
+    out = find(docs, text).withColumn(text, F.expr(f"if(size(__all) = 0, {text}, concat(array_join({kept}, ''), {rest}))"))
     return out.select(*docs.columns)

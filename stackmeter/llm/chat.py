@@ -13,7 +13,8 @@ conversation of any length needs the memory of one turn.
 
 Defined results: null role or text is empty; turns with an equal number are ordered by
 role, then text; a conversation without rows does not occur; a null conversation id is
-one conversation; other columns are ignored.
+one conversation; ids may be of any type; equal rows are turns each; an empty table gives no
+rows; a text of any length is one turn in memory; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -437,9 +438,9 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return storage.text_batches(rows).select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[dict[str, str]]]]:
-    """Conversations of sorted rows; each is read to its end before the next."""
-    flat = ((c, r or "", t or "") for b in batches for c, r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, Iterator[dict[str, str]]]]:
+    """Conversations of sorted rows; each is read to its end before the next.  Ids stay Arrow scalars of any type."""
+    flat = ((c, r or "", t or "") for b in batches for c, r, t in zip(b.column(0), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
     held = next(flat, None)
     while held is not None:
         key = held[0]
@@ -471,7 +472,7 @@ def formatted(rows: DataFrame, source: str = TEMPLATE, control: tuple[str, ...]
                     mask += [at, at + len(text)]
                 out.append(text)
                 at += len(text)
-            yield pa.RecordBatch.from_pydict({"conv_id": [conv], "text": ["".join(out)], "mask": [mask]}, pa.schema([("conv_id", pa.int64()), ("text", pa.string()), ("mask", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([pa.array([conv.as_py()], conv.type), pa.array(["".join(out)], pa.string()), pa.array([mask], pa.list_(pa.int64()))], ["conv_id", "text", "mask"])
 
     return _sorted(rows).mapInArrow(run, f"conv_id {key}, text string, mask array<long>")
 
@@ -480,16 +481,16 @@ def digests(rows: DataFrame, control: tuple[str, ...] = CONTROL) -> DataFrame:
     """Each conversation formatted and read back, piece by piece."""
     key = rows.schema["conv_id"].dataType.simpleString()
     names = ["conv_id"] + [x.split(" ")[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(TEMPLATE, control)
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            ids, *cols = zip(*out, strict=True)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array([c.as_py() for c in ids], ids[0].type)] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for conv, messages in _conversations(batches):
             r = Reader(template.escaper)
@@ -498,6 +499,7 @@ def digests(rows: DataFrame, control: tuple[str, ...] = CONTROL) -> DataFrame:
             out.append((conv, r.turns, r.all.hexdigest(), r.loss, r.under.hexdigest(), r.chars))
             if len(out) >= 5000:
                 yield flush()
-        yield flush()
+        if out:
+            yield flush()
 
     return _sorted(rows).mapInArrow(run, f"conv_id {key}, {SCHEMA}")

@@ -61,3 +61,10 @@ def test_frame(spark):
     assert [whole[1].text[a:b] for a, b in zip(whole[1]["mask"][::2], whole[1]["mask"][1::2], strict=True)] == ["b" * 50_000]
     assert all(len(whole[k].text) == got[k].formatted_chars for k in got)
     assert chat.digests(df.where("false")).count() == 0
+
+
+def test_ids_of_any_type_and_empty_tables(spark):
+    named = spark.createDataFrame([("a", 0, "user", "x"), ("b", 0, "assistant", "y"), ("b", 1, "user", ""), (None, 0, "user", "z")], "conv_id string, turn long, role string, text string")
+    assert {(r.conv_id, r.n_turns, r.loss_chars) for r in chat.digests(named).collect()} == {("a", 1, 0), ("b", 2, 1), (None, 1, 0)}
+    assert {r.conv_id for r in chat.formatted(named).collect()} == {"a", "b", None}
+    assert chat.digests(named.where("false")).count() == chat.formatted(named.where("false")).count() == 0

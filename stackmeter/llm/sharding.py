@@ -6,10 +6,12 @@ node's.  A shard takes at most its share of all bytes; what no longer fits goes
 clockwise to the next shard with room.  Only the cells' totals (a fixed number of
 rows) reach the driver, which walks the ring once; every row then finds its shard
 by its cell and, in the few cells that are cut, by the bytes before it in the cell.
+Rows of one id have one cell; a heavy one is cut over several shards.
 
 Defined results: a null text has no bytes (size ``ROW_BYTES``); a null id hashes like
-any other value; equal rows get slots one after another; an empty table gives an
-empty result; other columns pass through, a column named like an output is replaced.
+any other value, and so do ids of other types; equal rows are placed each; a long text is
+one row, of which only the size and checksum go on; an empty table gives an empty result;
+other columns pass through, a column named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import storage
+
 CELLS = 1 << 14
+#: Rows of a cell that are ordered together.
+GROUP = 50_000
 ROW_BYTES = 8
 
 
@@ -90,37 +96,47 @@ class Ring:
 def assign(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", nodes: int = 64) -> DataFrame:
     """``docs`` (without ``text``) plus size, text_crc32, shard, slot.
 
-    Two passes over the input: cell totals, then placement.  The window's partitions are
-    cells of the ring, so none grows with a key, a source or a group of equal texts.
+    One pass over the texts, which leaves rows without them, each with a number of its own; then cell totals and the
+    placement.  A cell's rows are dealt by their numbers over groups of about ``GROUP`` rows, so the windows, which run
+    over groups, don't grow with a key, a source or a number of equal rows; the bytes before a group are prefix
+    sums over the groups (a row for each).
     """
     spark = docs.sparkSession
-    new = {"size", "text_crc32", "shard", "slot", "__h", "__cell"}
+    new = {"size", "text_crc32", "shard", "slot", "__h", "__cell", "__row"}
+    keep = [k for k in docs.columns if k not in new and k != text]
     rows = docs.select(
-        *[docs[k] for k in docs.columns if k not in new and k != text],
+        *[docs[k] for k in keep],
         size_of(docs[text]).alias("size"),
         F.crc32(F.coalesce(docs[text], F.lit(""))).cast("long").alias("text_crc32"),
-        F.xxhash64(docs[key].cast("string")).alias("__h"),
-    ).withColumn("__cell", F.shiftrightunsigned("__h", 50).cast("int"))
+        F.shiftrightunsigned(F.xxhash64(docs[key].cast("string")), 50).cast("int").alias("__cell"),
+        F.monotonically_increasing_id().alias("__row"),
+    )
+    rows = storage.materialise(rows, "rows")
     loads = {r["__cell"]: (r["b"], r["n"]) for r in rows.groupBy("__cell").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
     pieces = sorted(Ring(shards, nodes).place(loads), key=lambda p: (p.cell, p.start))
     starts: dict[int, list[Piece]] = {}
     for p in pieces:
         starts.setdefault(p.cell, []).append(p)
     table = spark.createDataFrame(
-        [(cell, [p.start for p in ps], [p.shard for p in ps]) for cell, ps in starts.items()],
-        "__cell int, __starts array<long>, __shards array<int>",
+        [(cell, [p.start for p in ps], [p.shard for p in ps], -(-loads[cell][1] // GROUP)) for cell, ps in starts.items()],
+        "__cell int, __starts array<long>, __shards array<int>, __groups long",
     )
-    w = Window.partitionBy("__cell").orderBy("__h", F.col(key).cast("string"), "size", "text_crc32")
+    grouped = rows.join(F.broadcast(table), "__cell")  # at most CELLS rows
+    grouped = grouped.withColumn("__group", F.pmod(F.xxhash64("__row"), F.col("__groups")))
+    totals = grouped.groupBy("__cell", "__group").agg(F.sum("size").alias("b"))
+    ahead = Window.partitionBy("__cell").orderBy("__group")
+    totals = totals.select("__cell", "__group", (F.sum("b").over(ahead) - F.col("b")).alias("__ahead"))
+    w = Window.partitionBy("__cell", "__group").orderBy("__row")
     placed = (
-        rows.join(F.broadcast(table), "__cell")  # at most CELLS rows
-        .withColumn("__before", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("__n", F.size(F.filter("__starts", lambda x: x <= F.coalesce("__before", F.lit(0)))))
+        grouped.join(totals, ["__cell", "__group"])
+        .withColumn("__before", F.col("__ahead") + F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("__n", F.size(F.filter("__starts", lambda x: x <= F.col("__before"))))
         .withColumn("shard", F.element_at("__shards", F.col("__n")))
     )
-    counted = placed.withColumn("__rank", F.row_number().over(Window.partitionBy("__cell", "shard").orderBy("__h", F.col(key).cast("string"), "size", "text_crc32")))
-    # Rows of a shard in each cell, summed over the cells before it: at most CELLS + pieces rows.
-    per_cell = placed.groupBy("shard", "__cell").count()
-    base = per_cell.select("shard", "__cell", (F.sum("count").over(Window.partitionBy("shard").orderBy("__cell")) - F.col("count")).alias("__base"))
-    out = counted.join(F.broadcast(base), ["shard", "__cell"])
-    keep = [k for k in docs.columns if k not in new and k != text]
+    placed = storage.materialise(placed.select(*keep, "size", "text_crc32", "__cell", "__group", "__row", "shard"), "placed")
+    counted = placed.withColumn("__rank", F.row_number().over(Window.partitionBy("__cell", "__group", "shard").orderBy("__row")))
+    # Rows of a shard in each group, summed over the groups before it.
+    per_group = placed.groupBy("shard", "__cell", "__group").count()
+    base = per_group.select("shard", "__cell", "__group", (F.sum("count").over(Window.partitionBy("shard").orderBy("__cell", "__group")) - F.col("count")).alias("__base"))
+    out = counted.join(base, ["shard", "__cell", "__group"])
     return out.select(*keep, "size", "text_crc32", "shard", (F.col("__base") + F.col("__rank") - 1).cast("long").alias("slot"))

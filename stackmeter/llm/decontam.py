@@ -7,23 +7,28 @@ each word.  A match of at least ``window`` words (or a whole shorter item) is a
 Before the automaton, a vectorised filter keeps only chains of words whose every
 neighbouring pair occurs in an item, which no match can leave.
 
-The benchmark is read in blocks of at most ``block_words`` words, so what is
-broadcast has a fixed bound; further blocks are further row-local passes.
+The benchmark is cut into blocks of at most ``block_words`` words; a block is broadcast as
+its word hashes (eight bytes a word) and its automaton built where it is used.  One pass
+over the documents takes all blocks: a task gathers about ``BUFFER`` bytes of texts, then
+streams them through one block after another, and keeps at most ``HELD`` automata.
 
 Defined results: null and empty texts have no words and no hits; an item without
 words is ignored; equal items under several ids all count, rows with an equal id
 count once, an item without an id counts for hits but is not listed; repeated
-documents are each judged; other columns pass through.
+documents are each judged, ids of any type; a text of any length is streamed through whole; an
+empty benchmark hits nothing, no documents give no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,8 @@ from . import textkernel as tk
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
+#: Bytes of texts that a task streams through a block at a time; automata that a worker keeps.
+BUFFER, HELD = 16_000_000, 8
 
 
 def normal_words(text: str | None) -> np.ndarray:
@@ -42,13 +49,16 @@ def normal_words(text: str | None) -> np.ndarray:
 
 @dataclass
 class Automaton:
-    """A suffix automaton of several word sequences; ``items`` per state is a bit set."""
+    """A suffix automaton of several word sequences.
+
+    ``items`` has, for each state whose shortest strings of at least ``window`` words are windows, the items with them.
+    """
 
     window: int
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    items: list[int] = field(default_factory=lambda: [0])
+    items: dict[int, set[int]] = field(default_factory=dict)
     whole: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     ids: list[str | None] = field(default_factory=list)
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
@@ -63,6 +73,7 @@ class Automaton:
             return a
         a.vocabulary = np.unique(np.concatenate([w for _, w in items]))
         seen: list[np.ndarray] = []
+        long: list[tuple[int, np.ndarray]] = []
         size = len(a.vocabulary)
         for n, (key, words) in enumerate(items):
             ids = np.searchsorted(a.vocabulary, words)
@@ -71,22 +82,30 @@ class Automaton:
             last = 0
             for w in ids.tolist():
                 last = a._add(last, w)
-                a.items[last] |= 1 << n
             if len(ids) < window:
                 a.whole.setdefault(last, []).append((len(ids), n))
+            else:
+                long.append((n, ids))
         a.pairs = np.unique(np.concatenate(seen))
         a.shortest = min(window, *(len(w) for _, w in items))
-        # A state's longer strings end wherever its link's strings do: hand item sets down the links.
-        for s in sorted(range(1, len(a.length)), key=a.length.__getitem__, reverse=True):
-            if a.link[s] > 0:
-                a.items[a.link[s]] |= a.items[s]
+        for n, ids in long:
+            state = 0
+            for i, w in enumerate(ids.tolist()):
+                state = a.step[state][w]
+                if i + 1 >= window:
+                    a.items.setdefault(a._window(state), set()).add(n)
         return a
 
+    def _window(self, state: int) -> int:
+        """The state of the last ``window`` words of a state's strings."""
+        while self.length[self.link[state]] >= self.window:
+            state = self.link[state]
+        return state
+
     def _state(self, length: int) -> int:
         self.step.append({})
         self.link.append(0)
         self.length.append(length)
-        self.items.append(0)
         return len(self.length) - 1
 
     def _split(self, at: int, w: int) -> int:
@@ -138,7 +157,7 @@ class Automaton:
         long = ends - starts >= self.shortest
         return ids, starts[long], ends[long]
 
-    def matches(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
+    def matches(self, ids: list[int]) -> Iterator[tuple[int, int, set[int]]]:
         """``(start, end, items)`` of each hit in a chain of word ids."""
         state, n = 0, 0
         for i, w in enumerate(ids):
@@ -149,54 +168,93 @@ class Automaton:
                 state, n = self.step[state][w], n + 1
             else:
                 n = 0
-            at, found, most = state, 0, 0
+            found: set[int] = set()
+            at, most = state, 0
             while at > 0 and self.whole:
                 for size, item in self.whole.get(at, ()):
                     if size <= n:
-                        found |= 1 << item
+                        found.add(item)
                         most = max(most, size)
                 at = self.link[at]
             if n >= self.window:
-                at = state
-                while self.length[self.link[at]] >= self.window:
-                    at = self.link[at]
-                found |= self.items[at]
+                found |= self.items[self._window(state)]
                 most = n
             if found:
                 yield i + 1 - most, i + 1, found
 
 
-def blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """Automata over at most ``block_words`` words each (one longer item is cut into overlapping parts)."""
-    part: list[tuple[str | None, np.ndarray]] = []
+Block = list[tuple[str | None, np.ndarray]]
+
+
+def blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+    """Items as word hashes, of at most ``block_words`` words each (one longer item is cut into overlapping parts)."""
+    part: Block = []
     size = 0
     for row in items.select(F.col("item_id").cast("string").alias("k"), "text").toLocalIterator():
         words = normal_words(row["text"])
         for at in range(0, max(1, len(words)), block_words):
             piece = words[at : at + block_words + window - 1] if at + window <= len(words) or at == 0 else words[:0]
             if part and size + len(piece) > block_words:
-                yield Automaton.of(part, window)
+                yield part
                 part, size = [], 0
             if len(piece):
                 part.append((row["k"], piece))
                 size += len(piece)
     if part:
-        yield Automaton.of(part, window)
+        yield part
+
+
+@dataclass(frozen=True)
+class Held:
+    """One block as it is broadcast; workers keep automata by ``name`` from task to task."""
+
+    name: str
+    block: Broadcast = field(compare=False)
+
+
+@lru_cache(maxsize=HELD)
+def _machine(held: Held, window: int) -> Automaton:
+    return Automaton.of(held.block.value, window)
 
 
-def _scan(column: pa.Array, machine: Automaton, ranges: list[list[int]], found: list[set[str]]) -> None:
+@dataclass
+class Words:
+    """The words of some rows of a batch: hashes, their rows in a group of batches, and their numbers in the row."""
+
+    hashes: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+
+
+def _words(column: pa.Array, base: int, counts: list[int]) -> Iterator[Words]:
     for c in tk.chunks(column, lower=True, accept=tk.NORMAL):
-        doc = c.doc_of_word
-        ids, starts, ends = machine.chains(c.hashes, doc)
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            row = int(c.rows[doc[s]])
-            first = int(c.word_bounds[doc[s]])
-            items = 0
-            for a, b, got in machine.matches(ids[s:e].tolist()):
-                ranges[row] += [s - first + a, s - first + b]
-                items |= got
-            if items:
-                found[row] |= {k for n, k in enumerate(machine.ids) if items >> n & 1 and k is not None}
+        counts += c.n_words.tolist()
+        yield Words(c.hashes, np.repeat(c.rows + base, c.n_words), np.repeat(c.word_bounds[:-1], c.n_words))
+
+
+def _scan(words: Words, machine: Automaton, ranges: list[list[int]], found: list[set[str]]) -> None:
+    ids, starts, ends = machine.chains(words.hashes, words.row)
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        row, first = int(words.row[s]), int(words.first[s])
+        items: set[int] = set()
+        for a, b, got in machine.matches(ids[s:e].tolist()):
+            ranges[row] += [s - first + a, s - first + b]
+            items |= got
+        found[row] |= {machine.ids[n] for n in items if machine.ids[n] is not None}
+
+
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of about ``size`` bytes together."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def _merge(flat: list[int]) -> list[int]:
@@ -210,45 +268,45 @@ def _merge(flat: list[int]) -> list[int]:
     return out
 
 
-STATE = "__ranges array<long>, __items array<string>"
+STATE = "__n_words long, __ranges array<long>, __items array<string>"
 
 
 def mark(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` plus ``__ranges`` (hit words, as sorted disjoint start, end) and ``__items`` (ids, sorted as strings)."""
-    keep = [f for f in docs.schema.fields if f.name not in ("__ranges", "__items")]
-    out = docs.select(*[docs[f.name] for f in keep], F.expr("cast(array() as array<long>) __ranges"), F.expr("cast(array() as array<string>) __items"))
+    """``docs`` plus ``__n_words``, ``__ranges`` (hit words, as sorted disjoint start, end) and ``__items`` (ids, sorted as strings)."""
+    added = [x.split(" ")[0] for x in STATE.split(", ")]
+    keep = [f for f in docs.schema.fields if f.name not in added]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [STATE])
     at = [f.name for f in keep].index(text)
-    for machine in blocks(items, window, block_words):
-        held = docs.sparkSession.sparkContext.broadcast(machine)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ranges = [list(x or ()) for x in b.column(b.num_columns - 2).to_pylist()]
-                found = [set(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
-                _scan(b.column(at), held.value, ranges, found)
-                new = [pa.array([_merge(x) for x in ranges], pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(list(b.columns[:-2]) + new, b.schema.names)
-
-        out = storage.text_batches(out).mapInArrow(run, schema)
-    return out
+    held = [Held(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(b)) for b in blocks(items, window, block_words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, BUFFER):
+            counts: list[int] = []
+            words = [w for b in group for w in _words(b.column(at), len(counts), counts)]
+            ranges: list[list[int]] = [[] for _ in counts]
+            found: list[set[str]] = [set() for _ in counts]
+            for h in held:
+                for w in words:
+                    _scan(w, _machine(h, window), ranges, found)
+            done = 0
+            for b in group:
+                own = slice(done, done + b.num_rows)
+                done += b.num_rows
+                new = [pa.array(counts[own], pa.int64()), pa.array([_merge(x) for x in ranges[own]], pa.list_(pa.int64())), pa.array([sorted(x) for x in found[own]], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(list(b.columns) + new, b.schema.names + added)
+
+    return storage.text_batches(docs.select(*[docs[f.name] for f in keep])).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: word and hit counts, and the items with an occurring window."""
     marked = mark(docs.select("doc_id", "text"), items, window=window, block_words=block_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = np.concatenate([c.n_words for c in tk.chunks(b.column(1), lower=True, accept=tk.NORMAL)] or [np.zeros(0, dtype=np.int64)])
-            found = b.column(3).to_pylist()
-            hits = [sum(x[1::2]) - sum(x[::2]) for x in b.column(2).to_pylist()]
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
-            cols = [b.column(0), pa.array(n), pa.array(hits, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return marked.mapInArrow(run, f"doc_id {key}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    ends = "aggregate(__ranges, struct(0L as n, -1L as sign), (a, x) -> struct(a.n + a.sign * x as n, -a.sign as sign), a -> a.n)"
+    out = marked.select("doc_id", "__n_words", F.expr(ends).alias("n_hit"), "__items")
+    return out.select(
+        "doc_id", F.col("__n_words").alias("n_words"), "n_hit", F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def clean(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, text: str = "text") -> DataFrame:
@@ -257,12 +315,12 @@ def clean(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, window:
     A span reaches from its first to its last hit word; what stands around it stays as it is.
     """
     marked = mark(docs, items, text=text, window=window)
-    at = marked.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields[:-2])
+    at, added = marked.columns.index(text), len(STATE.split(", "))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields[:-added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ranges = b.column(b.num_columns - 2)
+            n_words, ranges = b.column(b.num_columns - added), b.column(b.num_columns - added + 1)
             hit = np.array([bool(x) for x in ranges.to_pylist()], dtype=bool)
             texts = b.column(at).to_pylist() if hit.any() else None
             keep = np.ones(b.num_rows, dtype=bool)
@@ -270,15 +328,15 @@ def clean(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, window:
                 spans = ranges[row].as_py()
                 raw = texts[row].encode()
                 c = next(tk.chunks(pa.array([texts[row]], pa.string()), lower=True, accept=tk.NORMAL))
-                keep[row] = sum(spans[1::2]) - sum(spans[::2]) <= max_coverage * len(c.starts)
+                keep[row] = sum(spans[1::2]) - sum(spans[::2]) <= max_coverage * n_words[row].as_py()
                 out, last = [], 0
                 for a, e in zip(spans[::2], spans[1::2], strict=True):
                     out.append(raw[last : int(c.starts[a])])
                     last = int(c.ends[e - 1])
                 texts[row] = b"".join([*out, raw[last:]]).decode()
-            cols = list(b.columns[:-2])
+            cols = list(b.columns[:-added])
             if texts is not None:
                 cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-2]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-added]).filter(pa.array(keep))
 
     return marked.mapInArrow(run, schema)

@@ -45,10 +45,10 @@ def test_automaton_knows_every_substring():
     a = decontam.Automaton.of([("p", words[0]), ("q", words[1])], window=2)
     back = {v: k for k, v in enumerate(a.vocabulary.tolist())}
     for text in ([1, 2], [2, 1], [2, 3], [3, 1], [3, 2], [1, 2, 3], [2, 3, 1]):
-        found = 0
+        found = set()
         for _, _, items in a.matches([back[w] for w in text]):
             found |= items
-        want = sum(1 << n for n, w in enumerate(words) if any(w.tolist()[j : j + 2] == text[k : k + 2] for j in range(len(w) - 1) for k in range(len(text) - 1)))
+        want = {n for n, w in enumerate(words) if any(w.tolist()[j : j + 2] == text[k : k + 2] for j in range(len(w) - 1) for k in range(len(text) - 1))}
         assert found == want, text
 
 
@@ -62,3 +62,12 @@ def test_stage_cuts_spans_and_drops_copies(spark):
     assert out.columns == frame(spark).columns and out.count() == len(awkward())
     assert decontam.clean(frame(spark, []), bench).count() == 0
     assert decontam.report(frame(spark), bench.where("false")).count() == len(awkward())
+
+
+def test_many_blocks_in_one_pass(spark, monkeypatch):
+    items, docs = cases()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.report(plain(spark, docs), bench, block_words=20)
+    assert out._jdf.queryExecution().toString().count("MapInArrow") <= 4  # one operator, in each of four forms of the plan
+    named = spark.createDataFrame([("a", items[0][1]), (None, None)], "doc_id string, text string")
+    assert {(r.doc_id, r.contaminated) for r in decontam.report(named, bench).collect()} == {("a", True), (None, False)}

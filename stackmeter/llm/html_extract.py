@@ -1,17 +1,25 @@
 """Main-text extraction by line-block distribution (operator 2).
 
-A page is cut into lines, one for each block of text in page order.  Lines of menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments, and lines
-that are mostly link text, weigh nothing; so do lines outside an ``article`` or
-``main`` element where a page has one with text.  Over the weights of the lines a
-sliding window of ``WIDTH`` lines is summed.  The text starts where the sums surge and
-ends where they dive to nothing; every weighing line in between is kept.
+Markup is stripped to lines, one for each block of text in page order.  A line weighs by
+its length (up to ``FULL`` characters) and its share of link text; where it stands only
+moves that weight: up inside an ``article`` or, less, a ``main`` element, down outside of
+one where the page has one, and down inside elements whose name, class, id or role says
+menu, header, footer, sidebar, notice, advert, form or comments.  Over the weights a window
+is slid that sums each line (``CENTRE`` times) with its neighbours.  Where the sums rise above
+nothing is a surge point, where they fall to nothing a dive point; the text between a
+surge and the next dive is kept, all else goes.
+
+So neighbours decide what a line alone leaves open: a line of link text among prose
+stays and a row of them goes, a heading in ``main`` stays beside its article and goes among
+menus, and a doubtful class (``notice-period``) costs a line nothing among others that weigh.
 
 Decoded character references; white space inside a block is one space, a line break
 tag and a table cell's edge are white space too; blocks are joined by ``\\n``.
 
 Defined results: null or empty html has the empty text; a page without any markup is
-one block; unclosed tags and a cut-off last tag are tolerated; other columns pass.
+one block; unclosed tags and a cut-off last tag are tolerated; a page of any length is read
+once from end to end; equal rows have equal results; an empty table gives no rows; other
+columns pass, but those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +34,9 @@ from pyspark.sql import DataFrame
 
 from . import storage
 
-WIDTH = 3
-#: Characters that a window must reach for a stretch outside a marked article.
-SURGE = 80
-LINKED = 0.5
+#: Characters from which a line has its full weight; how often a window counts the line in its centre.
+FULL = 80
+CENTRE = 3
 
 # HTML element names, and words of class, id and role that name page furniture.
 RAW = "script style noscript template iframe textarea select svg math object audio video canvas title"
@@ -45,9 +52,14 @@ FURNITURE = (
     "comment comments commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe signup login "
     "search searchbox widget widgets pagination pager toolbar toc hidden contentinfo complementary skip"
 )
+#: What stands beside such a word in a compound name and leaves it its meaning.
+PLACE = (
+    "site page main top bottom left right upper lower primary secondary global local mini sticky fixed floating inner outer header footer box bar slot "
+    "list item items links link area block section wrap wrapper container content panel unit group row col column button buttons icon icons form text title id js"
+)
 VOID = "area base br col embed hr img input link meta param source track wbr"
 
-_RAW, _SKIP, _BLOCK, _SPACE, _FURNITURE, _VOID = (frozenset(x.split()) for x in (RAW, SKIP, BLOCK, SPACE, FURNITURE, VOID))
+_RAW, _SKIP, _BLOCK, _SPACE, _FURNITURE, _PLACE, _VOID = (frozenset(x.split()) for x in (RAW, SKIP, BLOCK, SPACE, FURNITURE, PLACE, VOID))
 _NEVER = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[/!?A-Za-z][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -57,24 +69,28 @@ _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?tru
 
 @dataclass
 class Line:
-    """A block's text, how much of it is link text, and how deep in an article it is (2 article, 1 main)."""
+    """A block's text, how much of it is link text, how deep in an article it is (2 article, 1 main), and
+    what the elements around it hint at (2 page furniture, 1 maybe)."""
 
     text: str
     linked: int
     region: int
-    skipped: bool
+    hint: int
 
 
-def furniture(name: str, attributes: str) -> bool:
-    """Whether an element's class, id, role or hidden mark says that it is not article text."""
+def furniture(name: str, attributes: str) -> int:
+    """Whether an element's class, id, role or hidden mark says that it is not article text: 2 yes, 1 maybe, 0 no."""
     if name in _NEVER or not attributes.strip():
-        return False
+        return 0
     if _HIDDEN.search(attributes):
-        return True
+        return 2
+    level = 0
     for m in _NAMES.finditer(attributes):
-        if not _FURNITURE.isdisjoint(_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            words = _WORD.findall(token)
+            if not _FURNITURE.isdisjoint(words):
+                level = max(level, 2 if all(w in _FURNITURE or w in _PLACE for w in words) else 1)
+    return level
 
 
 def lines_of(page: str) -> list[Line]:
@@ -84,13 +100,14 @@ def lines_of(page: str) -> list[Line]:
     linked = 0
     region = {"article": 0, "main": 0}
     skip, depth, anchor = "", 0, 0
+    doubt, doubts = "", 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Line(text, linked, 2 if region["article"] else 1 if region["main"] else 0, bool(skip)))
+                out.append(Line(text, linked, 2 if region["article"] else 1 if region["main"] else 0, 2 if skip else 1 if doubt else 0))
             parts.clear()
         linked = 0
 
@@ -134,56 +151,67 @@ def lines_of(page: str) -> list[Line]:
                     skip = ""
             if skip:
                 continue
+        if doubt and name == doubt and name not in _VOID:
+            doubts += -1 if close else 1
+            if doubts <= 0:
+                doubt = ""
         if name in region:
             region[name] = max(0, region[name] + (-1 if close else 1))
         if not close and name not in _VOID and not m[3].rstrip().endswith("/"):
-            if name in _SKIP or name == "header" and not region["article"] or furniture(name, m[3]):
+            level = furniture(name, m[3])
+            if name in _SKIP or name == "header" and not any(region.values()) or level == 2:
                 flush()
                 skip, depth = name, 1
+            elif level == 1 and not doubt:
+                doubt, doubts = name, 1
     flush()
     return out
 
 
-def stretches(weights: list[int], surge: int, width: int = WIDTH) -> list[tuple[int, int]]:
-    """``[start, end)`` between each surge point and the dive point after it.
-
-    A surge point is where the window's sum leaves nothing on a way to at least ``surge``;
-    a dive point is where it comes back to nothing.
-    """
-    n = len(weights)
-    sums, total = [0] * n, 0
-    for i in range(n - 1, -1, -1):
-        total += weights[i] - (weights[i + width] if i + width < n else 0)
-        sums[i] = total
-    found, start, peak = [], None, 0
-    for i in range(n + 1):
-        now = sums[i] if i < n else 0
-        if now and start is None:
-            start, peak = i, 0
-        if start is not None:
-            peak = max(peak, now)
-            if not now:
-                if peak >= surge:
-                    found.append((start, i))
-                start = None
+def weight(line: Line, region: int, full: int = FULL) -> float:
+    """What a line weighs on a page whose deepest region with text is ``region``."""
+    linked = min(1.0, line.linked / len(line.text))
+    prose = min(len(line.text), full) / full * (1 - linked)
+    if line.hint == 2:
+        return -1.0
+    if not region:
+        found = 0.5 + 0.5 * prose - linked
+    elif line.region == region:
+        found = 0.8 + 0.2 * prose
+    else:
+        found = (0.2 if line.region else -0.8) + 0.2 * prose - 0.2 * linked
+    return found - 0.4 * (line.hint == 1)
+
+
+def sums(weights: list[float], centre: float = CENTRE) -> list[float]:
+    """For each line the sum over the window around it."""
+    padded = [0.0, *weights, 0.0]
+    return [padded[i] + centre * padded[i + 1] + padded[i + 2] for i in range(len(weights))]
+
+
+def stretches(values: list[float]) -> list[tuple[int, int]]:
+    """``[surge, dive)``: from where the sums rise above nothing to where they fall to nothing again."""
+    found, start = [], None
+    for i, v in enumerate([*values, 0.0]):
+        if v > 1e-9 and start is None:
+            start = i
+        elif v <= 1e-9 and start is not None:
+            found.append((start, i))
+            start = None
     return found
 
 
-def main_text(page: str | None, surge: int = SURGE, width: int = WIDTH) -> str:
+def main_text(page: str | None, centre: float = CENTRE, full: int = FULL) -> str:
     """The article text of a page."""
     if not page:
         return ""
     lines = lines_of(page)
-    region = max((x.region for x in lines if not x.skipped), default=0)
-    weights = [0 if x.skipped or x.region < region or not region and x.linked > LINKED * len(x.text) else len(x.text) for x in lines]
-    found = stretches(weights, 1 if region else surge, width)
-    if not found:
-        every = stretches(weights, 1, width)
-        found = [max(every, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))] if every else []
-    return "\n".join(lines[i].text for a, b in found for i in range(a, b) if weights[i])
+    region = max((x.region for x in lines if x.hint < 2), default=0)
+    found = stretches(sums([weight(x, region, full) for x in lines], centre))
+    return "\n".join(x.text for a, b in found for x in lines[a:b])
 
 
-def extract(pages: DataFrame, column: str = "html", surge: int = SURGE, width: int = WIDTH) -> DataFrame:
+def extract(pages: DataFrame, column: str = "html", centre: float = CENTRE, full: int = FULL) -> DataFrame:
     """``pages`` without its html, plus text and n_chars; row by row, no shuffle."""
     keep = [f for f in pages.schema.fields if f.name not in (column, "text", "n_chars")]
     source = pages.select(pages[column].alias("__page"), *[pages[f.name] for f in keep])
@@ -193,7 +221,7 @@ def extract(pages: DataFrame, column: str = "html", surge: int = SURGE, width: i
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                texts = [main_text(x.as_py(), surge, width) for x in part.column(0)]
+                texts = [main_text(x.as_py(), centre, full) for x in part.column(0)]
                 yield pa.RecordBatch.from_arrays(
                     list(part.columns[1:]) + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     [f.name for f in keep] + ["text", "n_chars"],

@@ -1,3 +1,6 @@
+import html
+import re
+
 import pytest
 
 from stackmeter.llm import html_extract as hx
@@ -22,9 +25,54 @@ def test_pages(page, text):
     assert hx.main_text(page) == text
 
 
+LINKS = "<ul><li><a href=a>one</a><li><a href=b>two</a><li><a href=c>three</a></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # Words of a class that only look like furniture.
+        ("<article><h1>T</h1><p>one</p><p class='notice-period'>The notice period is two weeks.</p><p>two</p></article>", "T\none\nThe notice period is two weeks.\ntwo"),
+        ("<article><h1>T</h1><section id='related-work'><h2>Related work</h2><p>Others did it.</p></section></article>", "T\nRelated work\nOthers did it."),
+        # A short lead before furniture on a page that marks no article.
+        (f"<p>Short lead.</p><nav>{LINKS}</nav><p>" + "word " * 40 + "</p>", "Short lead.\n" + ("word " * 40).strip()),
+        ("<article><p>End.</p><div class='site-footer'>f</div><p>x</p><div class=ad>a</div></article>", "End.\nx"),
+    ],
+)
+def test_nothing_else_is_lost(page, text):
+    assert hx.main_text(page) == text
+
+
+def test_neighbours_decide():
+    """The same line stays or goes by the sums over what stands around it; without neighbours (ablation) it can't."""
+    prose, link = "<p>" + "word " * 30 + "</p>", "<p><a href=x>more on this</a></p>"
+    among, row = prose + link + prose, prose + LINKS + link
+    assert "more on this" in hx.main_text(among) and "more on this" not in hx.main_text(row)
+    heading, menu = "<main><h2>Heading</h2>{}</main>", "<nav>a</nav>"
+    beside, far = heading.format("<article>" + prose + "</article>"), heading.format(menu) .replace("<h2>", menu + "<h2>") + "<article>" + prose + "</article>"
+    assert "Heading" in hx.main_text(beside) and "Heading" not in hx.main_text(far)
+    alone = 10**9  # so heavy a centre that neighbours count for nothing
+    assert "more on this" not in hx.main_text(among, centre=alone) and "Heading" in hx.main_text(far, centre=alone)
+
+
 def test_stretches_surge_and_dive():
-    assert hx.stretches([0, 0, 0, 50, 60, 0, 0, 0, 5, 0, 0, 0, 90], 80) == [(1, 5), (10, 13)]
-    assert hx.stretches([], 80) == []
+    assert hx.sums([1.0, -1.0, 1.0], 3) == [2.0, -1.0, 2.0]
+    assert hx.stretches([-1, 0.2, 3, 0, -2, 1]) == [(1, 3), (5, 6)]
+    assert hx.stretches([]) == []
+
+
+def brute(page):
+    """The text of the test tables' pages by their template: headline and paragraphs of the article."""
+    body = re.search("<article>(.*)</article>", re.sub("<!--.*?-->", "", page, flags=re.S), re.S)[1]
+    blocks = [html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))) for x in re.split("</?(?:p|h1)>", body)]
+    return "\n".join(" ".join(x.split()) for x in blocks if x.split())
+
+
+def test_whole_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r.page_id: brute(r.html) for r in pages.collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in hx.extract(pages).collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()} and len(want) > 20
 
 
 def test_frame(spark):

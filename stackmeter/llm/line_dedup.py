@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import storage
+from . import textkernel as tk
 
 MIN_WORDS = 5
 
@@ -79,10 +80,31 @@ def _ranked(tables: Tables, rows: DataFrame, columns: list[str], *more) -> DataF
 
 
 def lines(docs: DataFrame, key: str = "__row", text: str = "text") -> DataFrame:
-    """(doc, at, line hash, words) of every line with a word."""
-    split = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("at", "line"))
-    words = F.size(F.expr(r"filter(split(line, '[ \\t-\\r]+'), x -> x <> '')"))
-    return split.select("doc", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), words.alias("words")).where("words > 0")
+    """(doc, at, two hashes of the line, words) of every line with a word."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in tk.chunks(b.column(1)):
+                ends = np.flatnonzero(c.data == 10)
+                starts = np.unique(np.concatenate([c.bounds[:-1], ends + 1]))
+                doc = np.searchsorted(c.bounds, starts, side="right") - 1
+                inside = doc < len(c.rows)
+                starts, doc = starts[inside], doc[inside]
+                nth = np.searchsorted(ends, starts)
+                stops = np.minimum(np.append(ends, len(c.data))[nth], c.bounds[doc + 1])
+                at = nth - np.searchsorted(ends, c.bounds[doc])
+                words = np.searchsorted(c.starts, stops) - np.searchsorted(c.starts, starts)
+                some = words > 0
+                starts, stops, doc, at, words = starts[some], stops[some], doc[some], at[some], words[some]
+                one = tk.span_hash(c.prefix, starts, stops, tk._P)
+                two = tk.span_hash(tk.prefix_sum(tk._BYTE[c.data], tk._Q), starts, stops, tk._Q)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(c.rows[doc])), pa.array(at, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(words, pa.int32())],
+                    ["doc", "at", "h1", "h2", "words"],
+                )
+
+    return docs.select(key, text).mapInArrow(run, f"doc {kind}, at int, h1 long, h2 long, words int")
 
 
 def suffixes(tables: Tables, docs: DataFrame, key: str = "__row", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -426,7 +426,8 @@ def _apply(docs: DataFrame, min_words: int) -> DataFrame:
     """``docs`` plus ``__drop`` (whether a line goes, null: none does)."""
     keyed = docs.withColumn("__row", _key())
     again = keyed.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__row")
-    gone = deleted(keyed, min_words).withColumnsRenamed({"doc": "__row", "drop": "__drop"})
+    # Sorted and merged at every size: a broadcast that stops fitting would change how the shuffle grows.
+    gone = deleted(keyed, min_words).withColumnsRenamed({"doc": "__row", "drop": "__drop"}).hint("merge")
     again = storage.materialise(again, "again")
     if not again.head(1):
         return keyed.join(gone, "__row", "left")

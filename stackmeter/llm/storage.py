@@ -1,20 +1,37 @@
-"""Tables between the steps of an operator, in the folder all executors share; batch sizes for texts."""
+"""Tables between the steps of an operator, in the folder all executors share."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import drop, fields_of, materialise, new_path, release, shared_dir
+from .. import storage as _base
+from ..storage import drop, fields_of, new_path, release, shared_dir
+
+__all__ = ["alone", "drop", "fields_of", "materialise", "new_path", "release", "shared_dir"]
+
+#: Paths of the tables that the running operators have made.
+_MADE: list[list[str]] = []
 
-__all__ = ["drop", "fields_of", "materialise", "new_path", "release", "shared_dir", "text_batches"]
 
-_ROWS, _DEFAULT, _TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    path = path or new_path(df.sparkSession, name)
+    if _MADE:
+        _MADE[-1].append(path)
+    return _base.materialise(df, name, path)
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session sending at most a thousand rows at a time to Python where it had Spark's default.
+def alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` as a table, without the tables that were made on the way."""
+    path = new_path(spark, name)
+    _MADE.append([])
+    try:
+        out = _base.materialise(make(), name, path)
+    finally:
+        for p in _MADE.pop():
+            drop(spark, p)
+    if _MADE:
+        _MADE[-1].append(path)
+    return out
 
-    Rows here are whole texts or packed hashes; ten thousand of them fill a worker's memory.
-    """
-    spark: SparkSession = df.sparkSession
-    if spark.conf.get(_ROWS) == _DEFAULT:
-        spark.conf.set(_ROWS, _TEXTS)
-    return df

@@ -106,3 +106,101 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(1, 40)] + [(100, 101, 1.0)], "a long, b long, similarity double")
     got = {r.doc_id: r.class_id for r in nd.components(edges).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
+
+
+def brute_weights(texts):
+    """For each text its shingles' weights, by the rule in words."""
+    import collections
+    import math
+
+    from .fixtures import NORMAL, lower
+
+    sets = []
+    for t in texts:
+        words = NORMAL.findall(lower(t))
+        sets.append(collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else collections.Counter({tuple(words): 1} if words else {}))
+    df = collections.Counter(s for c in sets for s in c)
+    out = []
+    for c in sets:
+        idf = {s: 1 + math.log((1 + len(texts)) / (1 + df[s])) for s in c}
+        shared = [s for s in c if df[s] > 1]
+        mean = sum(c[s] * idf[s] for s in shared) / max(1, sum(c[s] for s in shared))
+        mean = max(nd.GRID, round(mean / nd.GRID) * nd.GRID)
+        out.append({s: c[s] * (mean + (idf[s] - mean) * (df[s] - 1) / (df[s] - 1 + nd.PRIOR)) for s in c})
+    return sets, out
+
+
+def test_recall_against_brute_force(spark):
+    """All documents of a test table, and copies of them with one to ten words in a hundred changed: pairs at or above the
+    threshold, by exact sums over every pair that shares a shingle."""
+    import collections
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    for i, t in sorted(rows)[:400]:
+        n = len((t or "").split(" "))
+        if n >= 40:
+            rows.append((100_000 + i, changed(t, max(1, n * (i % 10 + 1) // 200), i)))
+    docs = plain(spark, rows).coalesce(1)
+    by_text = collections.defaultdict(list)
+    for i, t in rows:
+        by_text[t or ""].append(i)
+    texts, ids = list(by_text), [min(x) for x in by_text.values()]
+    plain_sets, weighted = brute_weights(texts)
+    holders = collections.defaultdict(list)
+    for i, w in enumerate(weighted):
+        for s in w:
+            holders[s].append(i)
+    shared = collections.Counter()
+    for held in holders.values():
+        for x in range(len(held)):
+            for y in range(x + 1, len(held)):
+                shared[held[x], held[y]] += 1
+    alike, near = [], []
+    for (i, j), n in shared.items():
+        if n < 0.5 * min(len(weighted[i]), len(weighted[j])):
+            continue
+        a, b = weighted[i], weighted[j]
+        common = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+        value = common / (sum(a.values()) + sum(b.values()) - common)
+        if value >= nd.THRESHOLD:
+            alike.append((ids[i], ids[j]))
+        pa, pb = plain_sets[i], plain_sets[j]
+        if sum((pa & pb).values()) >= 0.85 * sum((pa | pb).values()):
+            near.append((ids[i], ids[j]))
+    out = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+    found = sum(out[a] == out[b] for a, b in alike) / len(alike)
+    print("pairs", len(alike), "recall", found, "near by plain similarity", len(near))
+    assert len(alike) >= 90 and found >= 0.98
+    assert all(out[a] == out[b] for a, b in near)
+    # And no class is joined by less: its members hang together by such pairs and equal texts.
+    links = collections.defaultdict(set)
+    for a, b in alike:
+        links[a].add(b)
+        links[b].add(a)
+    for rep in ids:
+        seen, queue = {rep}, [rep]
+        while queue:
+            new = links[queue.pop()] - seen
+            seen |= new
+            queue += new
+        assert {i for i in ids if out[i] == out[rep]} <= seen
+
+
+def test_frequency_decides():
+    """Ablation: with the document frequencies taken away, the same two texts are alike."""
+    common, rare = np.full(80, 30_000.0), np.full(20, 40.0)
+    for df, alike in ((np.append(common, rare), False), (np.full(100, 40.0), True)):
+        w, one = nd.weights(np.ones(100), df, 100_000)
+        # Two texts share the common 80 of 100 shingles and 9 of the rest; each has 11 more that others have too.
+        same = w[:89].sum()
+        assert bool(same / (2 * w.sum() - same) >= nd.THRESHOLD) is alike
+    assert nd.weights(np.ones(2), np.array([2.0, 2.0]), 10)[1] > 0
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    assert nd.classes(frame(spark)).count() > 10
+    assert len(set(os.listdir(folder)) - before) == 1

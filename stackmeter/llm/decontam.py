@@ -32,6 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from . import textkernel as tk
 
 WINDOW = 10
@@ -294,7 +295,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
                 new = [pa.array(counts[own], pa.int64()), pa.array([_merge(x) for x in ranges[own]], pa.list_(pa.int64())), pa.array([sorted(x) for x in found[own]], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(list(b.columns) + new, b.schema.names + added)
 
-    return docs.select(*[docs[f.name] for f in keep]).mapInArrow(run, schema)
+    return storage.text_batches(docs).select(*[docs[f.name] for f in keep]).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

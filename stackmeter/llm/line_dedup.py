@@ -104,7 +104,7 @@ def lines(docs: DataFrame, key: str = "__row", text: str = "text") -> DataFrame:
                     ["doc", "at", "h1", "h2", "words"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"doc {kind}, at int, h1 long, h2 long, words int")
+    return storage.text_batches(docs).select(key, text).mapInArrow(run, f"doc {kind}, at int, h1 long, h2 long, words int")
 
 
 def suffixes(tables: Tables, docs: DataFrame, key: str = "__row", text: str = "text") -> tuple[DataFrame, DataFrame]:

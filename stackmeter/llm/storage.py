@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import storage as _base
 from ..storage import drop, fields_of, new_path, release, shared_dir
 
-__all__ = ["alone", "drop", "fields_of", "materialise", "new_path", "release", "shared_dir"]
+__all__ = ["alone", "drop", "fields_of", "materialise", "new_path", "release", "shared_dir", "text_batches"]
 
+#: Rows that go to a Python worker at a time: four times ten thousand texts, in Spark and in Python, fill an executor.
+ROWS, _ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Paths of the tables that the running operators have made.
 _MADE: list[list[str]] = []
 
@@ -35,3 +37,14 @@ def alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Data
         _MADE[-1].append(path)
     return out
 
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session sending at most ``ROWS`` rows at a time to Python.
+
+    Rows here are whole texts; Spark plans the batches when a result is written, after the operator has returned, so
+    this is a setting of the session and stays.  A lower one is left alone.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS)) <= ROWS:
+        conf.set(_ROWS, str(ROWS))
+    return df

@@ -122,14 +122,14 @@ def ray_mad_filter(rays: DataFrame, least: int = 30) -> DataFrame:
 
 
 def huber_circles(rays: DataFrame, n_azimuth: int = 64, cx: float = 0.0, cy: float = 0.0, limit: float = 30.0) -> DataFrame:
-    """(z, cx, cy, radius, residual, used): a robust circle for each slice's rays."""
+    """(z, cx, cy, radius, residual, used): a robust circle for each slice's rays; used where the median residual is within ``limit``."""
 
     def rows(z, k, r):
         if len(r) < 3:
             return []
         a = k * 2 * np.pi / n_azimuth
-        x, y, radius, rms = kc.circle(cx + r * np.cos(a), cy + r * np.sin(a))
-        return [(z, x, y, radius, rms, bool(rms <= limit))]
+        x, y, radius, residual = kc.circle(cx + r * np.cos(a), cy + r * np.sin(a))
+        return [(z, x, y, radius, residual, bool(residual <= limit))]
 
     renamed = rays.select(F.col("z").cast("long").alias("oid"), F.col("azimuth").alias("z"), F.col("r").alias("v"))
     return _per_curve(renamed, "z long, cx double, cy double, radius double, residual double, used boolean", rows)

@@ -296,7 +296,7 @@ def linked_tracks(detections: DataFrame, p: Params = Params(), by: str = "tile")
     """(tile, tid, z, sid): detections of neighbouring slices linked one to one.
 
     Per slice, against the last detection of each open track: cost is distance over mean
-    radius plus half the log ratio; a track closes after ``max_gap`` processed slices.
+    radius plus half the log ratio; a track is held over up to ``max_gap`` processed slices without it.
     """
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
@@ -306,7 +306,7 @@ def linked_tracks(detections: DataFrame, p: Params = Params(), by: str = "tile")
         cx, cy, r = rows["x"].to_numpy(), rows["y"].to_numpy(), rows["r"].to_numpy()
         for step, (_, now) in enumerate(rows.groupby("z", sort=True).groups.items()):
             now = list(now)
-            open_ = [(t, s) for t, s in open_ if step - s <= p.max_gap]
+            open_ = [(t, s) for t, s in open_ if step - s - 1 <= p.max_gap]
             last = np.array([tracks[t][-1] for t, _ in open_], dtype=int)
             taken: dict[int, int] = {}
             if len(last):

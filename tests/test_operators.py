@@ -67,6 +67,16 @@ def test_links_close_after_a_gap(spark):
     assert sorted(map(sorted, held.values())) == [[10, 11], [12, 13, 14], [15, 16]]
 
 
+def test_links_hold_over_two_slices(spark):
+    # Slices 1 and 2 are processed and have others; one more between the two closes the track.
+    rows = lambda tile, last: [(tile, 100 * tile + z, z, 5.0 if z in (0, last) else 60.0, 5.0, 4.0) for z in range(last + 1)] + [(tile, 100 * tile + 50, last + 1, 5.0, 5.0, 4.0)]
+    links = matching.linked_tracks(spark.createDataFrame(rows(1, 3) + rows(2, 4), "tile int, sid long, z int, x double, y double, r double"))
+    held = {}
+    for r in links.collect():
+        held.setdefault((r.tile, r.tid), []).append(r.sid)
+    assert sorted(map(sorted, held.values())) == [[100, 103, 150], [101, 102], [201, 202, 203], [204, 250]]
+
+
 def test_recall_formula(spark):
     rows = [(2, 1)] * 312 + [(2, 2)] * 471 + [(1, 1)] * 9
     got = catalogue.recall(spark.createDataFrame(rows, "coverage_k long, n_views long")).first()

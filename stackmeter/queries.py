@@ -430,37 +430,23 @@ def flat_field_median(spark, sf):
     return rounded(frames.flat_field(view(spark, sf, "v_pixels").withColumn("v", F.col("v") + 100.0)), 6)
 
 
-_TP = """tp AS (SELECT (stack % 5)*6 + x AS cx, y AS cy, v+128e0 AS v, greatest(least(1e0,(x+0.5e0)/2e0,(8-x-0.5e0)/2e0)*least(1e0,(y+0.5e0)/2e0,(8-y-0.5e0)/2e0), 1e-3) AS weight FROM v_pixels WHERE z = 0)"""
+_TP = """tp AS (SELECT z, (stack % 5)*6 + x AS cx, y AS cy, v+128e0 AS v, greatest(least(1e0,(x+0.5e0)/2e0,(8-x-0.5e0)/2e0)*least(1e0,(y+0.5e0)/2e0,(8-y-0.5e0)/2e0), 1e-3) AS weight FROM v_pixels)"""
 
 
 def _tile_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    return _all_tile_pixels(spark, sf).where("z = 0").drop("z")
-
-
-def _all_tile_pixels(spark: SparkSession, sf: str) -> DataFrame:
     p = view(spark, sf, "v_pixels")
     w = scalars.feather_weight(F.col("x"), F.col("y"), F.lit(8), F.lit(8), F.lit(2.0))
     return p.select("z", ((F.col("stack") % 5) * 6 + F.col("x")).alias("cx"), F.col("y").alias("cy"), (F.col("v") + 128.0).alias("v"), w.alias("weight"))
 
 
-@query(_with(("v_pixels",), "SELECT cx, cy, CAST(floor(least(greatest(round(sum(weight*v)/sum(weight),6),0e0),255e0)) AS INT) AS v, count(*) AS n FROM tp GROUP BY 1, 2", _TP))
+@query(_with(("v_pixels",), "SELECT z, cx, cy, CAST(floor(least(greatest(round(sum(weight*v)/sum(weight),6),0e0),255e0)) AS INT) AS v, count(*) AS n FROM tp GROUP BY 1, 2, 3", _TP))
 def feather_composite(spark, sf):
-    return frames.composite(_tile_pixels(spark, sf))
+    return frames.composite(_tile_pixels(spark, sf), ["z"])
 
 
-@query(_with(("v_pixels",), f"SELECT cx, cy, {_r('max(v)','v')} FROM tp GROUP BY 1, 2", _TP))
+@query(_with(("v_pixels",), f"SELECT z, cx, cy, {_r('max(v)','v')} FROM tp GROUP BY 1, 2, 3", _TP))
 def max_composite(spark, sf):
-    return rounded(frames.max_composite(_tile_pixels(spark, sf)))
-
-
-@query()
-def feather_composite_full(spark, sf):
-    return frames.composite(_all_tile_pixels(spark, sf), ["z"])
-
-
-@query()
-def max_composite_full(spark, sf):
-    return rounded(frames.max_composite(_all_tile_pixels(spark, sf), ["z"]))
+    return rounded(frames.max_composite(_tile_pixels(spark, sf), ["z"]))
 
 
 _PROFILE = "pr AS (SELECT stack, z, avg(v*v) AS v FROM v_pixels GROUP BY 1, 2)"
@@ -500,12 +486,11 @@ def seed_axis(spark, sf):
     return rounded(registration.seed_axis(view(spark, sf, "v_pixels")))
 
 
-_OD = """od AS (SELECT stack, z, y, x, -ln(least(greatest((v+120e0)/130e0, 0.00392156862745098e0), 4e0)) AS od, y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 AS core FROM v_pixels WHERE z < 20)"""
+_OD = """od AS (SELECT stack, z, y, x, -ln(least(greatest((v+120e0)/130e0, 0.00392156862745098e0), 4e0)) AS od, y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 AS core FROM v_pixels)"""
 
 
-def _od(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Optical density of the first 20 slices, which the SQL of the oracles reads, or of all (the queries named ``_full``)."""
-    p = view(spark, sf, "v_pixels").where(F.lit(True) if whole else F.col("z") < 20)
+def _od(spark: SparkSession, sf: str) -> DataFrame:
+    p = view(spark, sf, "v_pixels")
     od = scalars.optical_density(F.col("v") + 120.0, F.lit(130.0))
     return p.select("stack", "z", "y", "x", od.alias("od"), (F.col("y").between(2, 5) & F.col("x").between(2, 5)).alias("core"))
 
@@ -514,30 +499,20 @@ def _od(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
   {_r('any_value(m3)/power(any_value(m2),1.5e0)','skew',3)}, {_r('any_value(m4)/power(any_value(m2),2)-3','kurtosis',3)}, {_r('any_value(ent)','entropy')} FROM (SELECT stack, z, od FROM od) o
   JOIN (SELECT stack, z, avg(power(od-mu,2)) AS m2, avg(power(od-mu,3)) AS m3, avg(power(od-mu,4)) AS m4 FROM od JOIN (SELECT stack, z, avg(od) AS mu FROM od GROUP BY 1, 2) USING (stack, z) GROUP BY 1, 2) USING (stack, z)
   JOIN (SELECT stack, z, -sum(p*log2(p)) AS ent FROM (SELECT stack, z, bin, count(*)/sum(count(*)) OVER (PARTITION BY stack, z) AS p FROM (SELECT stack, z, least(floor((od+0.3e0)/2.3e0*32), 31) AS bin FROM od WHERE od BETWEEN -0.3e0 AND 2e0) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (stack, z) GROUP BY stack, z""", _OD))
-def od_stats(spark, sf, whole=False):
-    out = curves.region_stats(_od(spark, sf, whole))
+def od_stats(spark, sf):
+    out = curves.region_stats(_od(spark, sf))
     three = ("skew", "kurtosis")
     return rounded(rounded(out, 4, three), 3, tuple(c for c in out.columns if c not in three))
 
 
-@query()
-def od_stats_full(spark, sf):
-    return od_stats(spark, sf, True)
-
-
 @query(_with(("v_pixels",), f"""SELECT stack, z, {_r('rm-cm','rim_minus_core_od')}, {_r('CASE WHEN abs(rm)>1e-6 THEN cm/rm END','core_over_rim_od',3)}, {_r('(rm-cm)/(sqrt(0.5e0*(cv+rv))+1e-9)','core_rim_separation')}, {_r('fill','core_fill_fraction')}, CASE WHEN body < 0.06e0 THEN 1e0 ELSE 0e0 END AS outline_empty FROM cr
   JOIN (SELECT stack, z, avg(CASE WHEN od > 0.5e0*rm THEN 1e0 ELSE 0e0 END) AS fill FROM od JOIN cr USING (stack, z) WHERE core GROUP BY 1, 2) USING (stack, z)""",
   _OD, "cr AS (SELECT stack, z, avg(od) FILTER (core) AS cm, avg(od) FILTER (NOT core) AS rm, var_pop(od) FILTER (core) AS cv, var_pop(od) FILTER (NOT core) AS rv, avg(od) AS body FROM od GROUP BY 1, 2)"))
-def core_rim_contrast(spark, sf, whole=False):
-    out = curves.core_rim_contrast(_od(spark, sf, whole))
+def core_rim_contrast(spark, sf):
+    out = curves.core_rim_contrast(_od(spark, sf))
     return rounded(rounded(out, 4, ("core_over_rim_od",)), 3, tuple(c for c in out.columns if c != "core_over_rim_od"))
 
 
-@query()
-def core_rim_contrast_full(spark, sf):
-    return core_rim_contrast(spark, sf, True)
-
-
 _GL = """gl AS (SELECT stack, z, y, x, CAST(floor(round(least(greatest((od+0.3e0)/2.3e0,0e0),1e0)*15,9)) AS INT) AS g FROM od),
  gp AS (SELECT a.stack, a.z, d.ang, a.g AS i, b.g AS j FROM gl a JOIN (VALUES (0,0,1),(1,1,1),(2,1,0),(3,1,-1)) d(ang,dy,dx) ON true JOIN gl b ON a.stack=b.stack AND a.z=b.z AND b.y=a.y+d.dy AND b.x=a.x+d.dx WHERE a.g>0 AND b.g>0),
  gs AS (SELECT * FROM gp UNION ALL SELECT stack, z, ang, j, i FROM gp), gc AS (SELECT stack, z, ang, i, j, count(*)/sum(count(*)) OVER (PARTITION BY stack, z, ang) AS p FROM gs GROUP BY 1,2,3,4,5),
@@ -558,11 +533,6 @@ def gradient_stats(spark, sf):
     return rounded(curves.gradient_stats(_od(spark, sf)))
 
 
-@query()
-def gradient_stats_full(spark, sf):
-    return rounded(curves.gradient_stats(_od(spark, sf, True)))
-
-
 def _glcm_at(distance: int) -> tuple[str, str]:
     """Offsets of the four angles at a distance, as SQL values, and the co-occurrence tables over them."""
     at = [(int(round(distance * math.sin(a * math.pi / 4))), int(round(distance * math.cos(a * math.pi / 4)))) for a in range(4)]
@@ -573,9 +543,9 @@ def _glcm_at(distance: int) -> tuple[str, str]:
 _GLCM_OUT = f"SELECT stack, z, {_r('avg(c)','contrast',7)}, {_r('avg(d)','dissimilarity',7)}, {_r('avg(h)','homogeneity',7)}, {_r('avg(e)','energy',7)}, {_r('avg(CASE WHEN mii-mi*mi < 1e-12 THEN 1e0 ELSE (mij-mi*mi)/(mii-mi*mi) END)','correlation',7)} FROM ga GROUP BY 1, 2 HAVING count(*) = 4"
 
 
-def _grey(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def _grey(spark: SparkSession, sf: str) -> DataFrame:
     share = F.least(F.greatest((F.col("od") + 0.3) / 2.3, F.lit(0.0)), F.lit(1.0))
-    return _od(spark, sf, whole).withColumn("g", F.floor(F.round(share * 15, 9)).cast("int"))
+    return _od(spark, sf).withColumn("g", F.floor(F.round(share * 15, 9)).cast("int"))
 
 
 @query(_with(("v_pixels",), _GLCM_OUT, _OD, _glcm_at(2)[0]))
@@ -588,21 +558,6 @@ def glcm_core_d4(spark, sf):
     return rounded(curves.glcm(_grey(spark, sf), 4), 7)
 
 
-@query()
-def glcm_core_full(spark, sf):
-    return rounded(curves.glcm(_grey(spark, sf, True), 1), 7)
-
-
-@query()
-def glcm_core_d2_full(spark, sf):
-    return rounded(curves.glcm(_grey(spark, sf, True), 2), 7)
-
-
-@query()
-def glcm_core_d4_full(spark, sf):
-    return rounded(curves.glcm(_grey(spark, sf, True), 4), 7)
-
-
 @query()
 def lbp_core(spark, sf):
     return rounded(curves.lbp_histogram(_frames(spark, sf)))
@@ -745,24 +700,14 @@ def register_solve(spark, sf):
 # Meshes, sorts, sets.
 
 
-@query(_with(("v_outlines",), f"SELECT oid, CAST(j*64+k AS INT) AS vid, {_r(f'r*sin(j*{math.pi/8!r}e0)*cos(k*{_STEP}e0)','x')}, {_r(f'r*sin(j*{math.pi/8!r}e0)*sin(k*{_STEP}e0)','y')}, {_r(f'r*cos(j*{math.pi/8!r}e0)','z')} FROM v_outlines, (SELECT unnest(range(0,9)) AS j) WHERE oid < 50"))
+@query(_with(("v_outlines",), f"SELECT oid, CAST(j*64+k AS INT) AS vid, {_r(f'r*sin(j*{math.pi/8!r}e0)*cos(k*{_STEP}e0)','x')}, {_r(f'r*sin(j*{math.pi/8!r}e0)*sin(k*{_STEP}e0)','y')}, {_r(f'r*cos(j*{math.pi/8!r}e0)','z')} FROM v_outlines, (SELECT unnest(range(0,9)) AS j)"))
 def mesh_vertices(spark, sf):
-    return rounded(mesh.spheroid_vertices(view(spark, sf, "v_outlines").where("oid < 50")))
-
-
-@query()
-def mesh_vertices_full(spark, sf):
     return rounded(mesh.spheroid_vertices(view(spark, sf, "v_outlines")))
 
 
-@query(_with(("v_objects",), "SELECT obj AS oid, CAST(2*cell+t AS INT) AS fid, CAST(CASE t WHEN 0 THEN j*64+k ELSE j*64+(k+1)%64 END AS INT) AS a, CAST(CASE t WHEN 0 THEN j*64+(k+1)%64 ELSE (j+1)*64+(k+1)%64 END AS INT) AS b, CAST((j+1)*64+k AS INT) AS c FROM (SELECT obj, cell, cell//64 AS j, cell%64 AS k, t FROM v_objects, (SELECT unnest(range(0,512)) AS cell), (SELECT unnest([0,1]) AS t) WHERE obj <= 20)"))
-def mesh_faces(spark, sf, which="obj <= 20"):
-    return mesh.spheroid_faces(view(spark, sf, "v_objects").where(which).select(F.col("obj").alias("oid"))).select("oid", "fid", *[F.col(c).cast("int").alias(c) for c in "abc"])
-
-
-@query()
-def mesh_faces_full(spark, sf):
-    return mesh_faces(spark, sf, "true")
+@query(_with(("v_objects",), "SELECT obj AS oid, CAST(2*cell+t AS INT) AS fid, CAST(CASE t WHEN 0 THEN j*64+k ELSE j*64+(k+1)%64 END AS INT) AS a, CAST(CASE t WHEN 0 THEN j*64+(k+1)%64 ELSE (j+1)*64+(k+1)%64 END AS INT) AS b, CAST((j+1)*64+k AS INT) AS c FROM (SELECT obj, cell, cell//64 AS j, cell%64 AS k, t FROM v_objects, (SELECT unnest(range(0,512)) AS cell), (SELECT unnest([0,1]) AS t))"))
+def mesh_faces(spark, sf):
+    return mesh.spheroid_faces(view(spark, sf, "v_objects").select(F.col("obj").alias("oid"))).select("oid", "fid", *[F.col(c).cast("int").alias(c) for c in "abc"])
 
 
 @query(f"SELECT ring, k, {_r(f'{_CX} + ring*{DOME.contact_radius / 8!r}e0*cos(k*{2 * math.pi / 24!r}e0)','x',3)}, {_r(f'{_CY} + ring*{DOME.contact_radius / 8!r}e0*sin(k*{2 * math.pi / 24!r}e0)','y',3)}, {_r(f'{_CZ} - sqrt(greatest({_RAD}*{_RAD} - power(ring*{DOME.contact_radius / 8!r}e0,2),0e0))/{_AN}','z',3)} FROM (SELECT CAST(unnest(range(0,9)) AS INT) AS ring), (SELECT CAST(unnest(range(0,24)) AS INT) AS k)")
@@ -855,39 +800,22 @@ def stage_affine(spark, sf):
     return f.select(*[(F.round(F.col(f"scale_{a}") * 1e4, 3) + 0.0).alias(f"scale_{a}") for a in "xy"], *[(F.round(F.col(f"origin_{a}"), 2) + 0.0).alias(f"origin_{a}") for a in "xy"])
 
 
-@query(_with(("v_pixels",), "SELECT z, arg_max(r, row(round(m,9), -r)) AS r FROM (SELECT z, x AS r, median(v*v) AS m FROM v_pixels WHERE stack = 0 GROUP BY 1, 2) GROUP BY z"))
+@query(_with(("v_pixels",), "SELECT stack, z, arg_max(r, row(round(m,9), -r)) AS r FROM (SELECT stack, z, x AS r, median(v*v) AS m FROM v_pixels GROUP BY 1, 2, 3) GROUP BY stack, z"))
 def texture_ridge(spark, sf):
-    p = view(spark, sf, "v_pixels").where("stack = 0").select("z", F.col("x").alias("r"), (F.col("v") * F.col("v")).alias("t"))
-    return reports.texture_ridge(p)
-
-
-@query()
-def texture_ridge_full(spark, sf):
     p = view(spark, sf, "v_pixels").select("stack", "z", F.col("x").alias("r"), (F.col("v") * F.col("v")).alias("t"))
     return reports.texture_ridge(p, ["stack"])
 
 
-@query(_with(("v_pixels",), f"SELECT cx, {_r('avg(abs(b-a))','step')} FROM (SELECT cx, cy, (lag(v,1) OVER w + lag(v,2) OVER w)/2 AS b, (v + lead(v,1) OVER w)/2 AS a FROM (SELECT cx, cy, max(v) AS v FROM tp GROUP BY 1, 2) WINDOW w AS (PARTITION BY cy ORDER BY cx)) WHERE cx % 6 = 0 AND b IS NOT NULL AND a IS NOT NULL GROUP BY cx", _TP))
+@query(_with(("v_pixels",), f"SELECT z, cx, {_r('avg(abs(b-a))','step')} FROM (SELECT z, cx, cy, (lag(v,1) OVER w + lag(v,2) OVER w)/2 AS b, (v + lead(v,1) OVER w)/2 AS a FROM (SELECT z, cx, cy, max(v) AS v FROM tp GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY z, cy ORDER BY cx)) WHERE cx % 6 = 0 AND b IS NOT NULL AND a IS NOT NULL GROUP BY z, cx", _TP))
 def seam_steps(spark, sf):
-    return rounded(reports.column_steps(frames.max_composite(_tile_pixels(spark, sf)), F.col("cx") % 6 == 0))
-
-
-@query()
-def seam_steps_full(spark, sf):
-    return rounded(reports.column_steps(frames.max_composite(_all_tile_pixels(spark, sf), ["z"]), F.col("cx") % 6 == 0, ["z"]))
+    return rounded(reports.column_steps(frames.max_composite(_tile_pixels(spark, sf), ["z"]), F.col("cx") % 6 == 0, ["z"]))
 
 
-_TPT = _TP.replace("tp AS (SELECT", "tq AS (SELECT stack AS tile,").replace("WHERE z = 0", "WHERE z = 0 AND stack < 5")
+_TPT = _TP.replace("tp AS (SELECT", "tq AS (SELECT stack AS tile,")
 
 
-@query(_with(("v_pixels",), f"SELECT count(*) AS n, {_r('avg(abs(a.v-b.v))','gap')} FROM tq a JOIN tq b ON a.cx=b.cx AND a.cy=b.cy AND a.tile+1=b.tile", _TPT))
+@query(_with(("v_pixels",), f"SELECT a.z, count(*) AS n, {_r('avg(abs(a.v-b.v))','gap')} FROM tq a JOIN tq b ON a.z=b.z AND a.cx=b.cx AND a.cy=b.cy AND a.tile+1=b.tile GROUP BY 1", _TPT))
 def overlap_disagreement(spark, sf):
-    p = view(spark, sf, "v_pixels").where("z = 0 and stack < 5").select(F.col("stack").alias("tile"), ((F.col("stack") % 5) * 6 + F.col("x")).alias("cx"), F.col("y").alias("cy"), (F.col("v") + 128.0).alias("v"))
-    return rounded(reports.overlap_disagreement(p))
-
-
-@query()
-def overlap_disagreement_full(spark, sf):
     p = view(spark, sf, "v_pixels").select("z", F.col("stack").alias("tile"), ((F.col("stack") % 5) * 6 + F.col("x")).alias("cx"), F.col("y").alias("cy"), (F.col("v") + 128.0).alias("v"))
     return rounded(reports.overlap_disagreement(p, ["z"]))
 
@@ -898,17 +826,12 @@ def saved_offsets(spark, sf):
     return reports.with_saved_offsets(t, t.select("tile", (F.col("x0") + 1.0).alias("x0"), "y0"))
 
 
-@query("SELECT l_orderkey AS oid, string_agg(CAST(l_linenumber AS VARCHAR), ';' ORDER BY l_linenumber) AS views FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
-def view_names(spark, sf, which="l_orderkey < 500"):
-    li = table(spark, sf, "lineitem").where(which)
+@query("SELECT l_orderkey AS oid, string_agg(CAST(l_linenumber AS VARCHAR), ';' ORDER BY l_linenumber) AS views FROM lineitem GROUP BY 1")
+def view_names(spark, sf):
+    li = table(spark, sf, "lineitem")
     return li.groupBy(F.col("l_orderkey").alias("oid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda t: t.cast("string")), ";").alias("views"))
 
 
-@query()
-def view_names_full(spark, sf):
-    return view_names(spark, sf, "true")
-
-
 @query(_with(("v_outlines",), f"SELECT oid, {_r('12.566370614359172e0*sum(r)/power(sum(r)/8,2)','circularity')}, {_r('sqrt(sum(r)/3.141592653589793e0)','radius')} FROM v_outlines GROUP BY oid"))
 def detection_shape(spark, sf):
     s = view(spark, sf, "v_outlines").groupBy("oid").agg(F.sum("r").alias("area"))

@@ -78,5 +78,29 @@ SELECT s.doc_id, n_lines, n_removed, CASE WHEN o.text IS NULL THEN NULL ELSE coa
 """
 
 
+#: Bytes of code points below 2048 in UTF-8; then CRC-32 by bits: each byte is mixed in and followed by eight shifts (-1).
+_BYTES = "flatten(list_transform(string_split(key, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END))"
+_STEPS = f"flatten(list_transform({_BYTES}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))"
+_CRC = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_STEPS}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END), CAST(4294967295 AS BIGINT))"
+
+SPELLING = f"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), '{UPPER}', '{LOWER}') AS run FROM documents),
+k AS (SELECT run, id || ':' || run AS key, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT run, n, {_CRC} AS h FROM k),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+g AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS wild, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM p),
+x AS (SELECT a.word, b.word AS other, b.n AS other_n FROM g a JOIN g b ON a.wild = b.wild AND a.word <> b.word),
+y AS (SELECT DISTINCT g.word, g.n, v.word AS other, v.n AS other_n FROM g JOIN v ON g.cut = v.word),
+e AS (SELECT * FROM x UNION ALL SELECT word, other, other_n FROM y UNION ALL SELECT other, word, n FROM y),
+b AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS best, max(other_n) AS best_n FROM e GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form, CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n FROM v LEFT JOIN b USING (word)),
+t AS (SELECT word, word AS here, 0 AS step FROM f UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON t.here = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(here, step) AS root FROM t GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINES, "op6_substring_dedup": SUBSTRING, "op7_quality_rules": quality(), "op8_chat_formatting": CHAT, "op10_decontamination": DECONTAMINATION}
+    return {"op3_line_dedup": LINES, "op6_substring_dedup": SUBSTRING, "op7_quality_rules": quality(), "op8_chat_formatting": CHAT, "op10_decontamination": DECONTAMINATION, "op11_spelling_variants": SPELLING}

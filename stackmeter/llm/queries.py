@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import chat, decontam, fingerprint_index, html_extract, line_dedup, near_dedup, oracles, packing, pii, quality, sharding
+from . import chat, decontam, fingerprint_index, html_extract, language, line_dedup, near_dedup, oracles, packing, pii, quality, sharding, spelling
 
 #: Vocabulary file of a public byte-level BPE; only its path is used.
 VOCABULARY = "byte_bpe_50k.json"
@@ -73,8 +73,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_html_extraction, op3_line_dedup, op4_near_dedup, op5_pii, op6_substring_dedup, op7_quality_rules, op8_chat_formatting, op9_sharding, op10_decontamination)
+    found = (op1_packing, op2_html_extraction, op3_line_dedup, op4_near_dedup, op5_pii, op6_substring_dedup, op7_quality_rules, op8_chat_formatting, op9_sharding, op10_decontamination, op11_spelling_variants, op12_language_id)
     return {f.__name__: f for f in found}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, is_dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,53 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+def run_document(run: str, settings: dict[str, dict], tiles: DataFrame, merge: DataFrame, summary: DataFrame) -> DataFrame:
+    """One row that says all of a run: settings by kind, the tiles in order, the seams' summary and the objects' (B6).
+
+    ``merge`` and ``summary`` have one row; a scan's tiles are one list.
+    """
+    grid = tiles.agg(F.array_sort(F.collect_list(F.struct("tile", "tr", "tc", "x0", "y0", "w", "h"))).alias("tiles"))
+    own = [F.struct(*[F.lit(v).cast(_kind(v)).alias(k) for k, v in group.items()]).alias(name) for name, group in settings.items()]
+    one = lambda df, name: df.select(F.struct(*df.columns).alias(name))
+    return grid.join(F.broadcast(one(merge, "merge"))).join(F.broadcast(one(summary, "objects"))).select(F.lit(run).alias("run"), *own, "tiles", "merge", "objects")
+
+
+def _kind(value: object) -> str:
+    return "long" if isinstance(value, int) else "string" if isinstance(value, str) else "double"
+
+
+#: What a reload needs of a run document; further parts are read with a schema of one's own.
+DOCUMENT = "tiles array<struct<tile:int,tr:int,tc:int,x0:double,y0:double,w:double,h:double>>, merge struct<n_seams:long,worst_residual:double,reliable:boolean,weakest_rate:double>, objects struct<n:long>, run string"
+
+
+def run_documents(spark: SparkSession, path: str) -> DataFrame | None:
+    """The documents of all finished runs, None before the first."""
+    try:
+        return spark.read.schema(DOCUMENT).json(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def reloaded(spark: SparkSession, output: str, run: str) -> tuple[DataFrame, DataFrame]:
+    """(tiles with their saved offsets, catalogue) of a finished run.
+
+    A run without a document, a catalogue of another length than its document says, and an object on a tile that the
+    document does not list are errors, not smaller results (A12, E12).
+    """
+    known = run_documents(spark, f"{output}/runs")
+    document = None if known is None else known.where(F.col("run") == run).first()
+    if document is None:
+        raise ValueError(f"no finished run {run}")
+    tiles = spark.createDataFrame(document["tiles"], known.schema["tiles"].dataType.elementType)
+    objects = spark.read.parquet(f"{output}/catalogue").where(F.col("run") == run).drop("run")
+    off = objects.join(F.broadcast(tiles.select("tile")), "tile", "left_anti").limit(1).collect()
+    if off or objects.count() != document["objects"]["n"]:
+        raise ValueError(f"the catalogue of {run} is not the one that its document describes")
+    return tiles.withColumn("offset_source", F.lit("saved")), objects
+
+
 def params_key(*settings: object) -> str:
     """A digest of all settings, for reuse of results."""
     import hashlib

@@ -16,20 +16,26 @@ def half_even(c: Column, digits: int = 0) -> Column:
     return F.bround(c, digits)
 
 
-def calibrated() -> Column:
-    return F.col("px_um").isNotNull() & F.col("z_um").isNotNull()
+def _scales(px: Column, z: Column, na: Column, a: Acquisition) -> dict[str, Column]:
+    both = px.isNotNull() & z.isNotNull()
+    depth = F.lit(a.wavelength_um) / (na * na) + px / na
+    return {
+        "calibrated": both,
+        "anisotropy": F.when(both, z / px).otherwise(F.lit(a.assumed_anisotropy)),
+        "scale_source": F.when(both, "calibration").otherwise("assumed"),
+        "dof_um": depth,
+        "dof_slices": F.coalesce(depth / z, F.lit(a.assumed_dof_slices)),
+    }
 
 
 def with_scales(df: DataFrame, a: Acquisition = Acquisition()) -> DataFrame:
     """Adds anisotropy with its source, and the depth of field, from ``px_um``, ``z_um`` and ``na``."""
-    dof = F.lit(a.wavelength_um) / (F.col("na") * F.col("na")) + F.col("px_um") / F.col("na")
-    return (
-        df.withColumn("calibrated", calibrated())
-        .withColumn("anisotropy", F.when(F.col("calibrated"), F.col("z_um") / F.col("px_um")).otherwise(F.lit(a.assumed_anisotropy)))
-        .withColumn("scale_source", F.when(F.col("calibrated"), "calibration").otherwise("assumed"))
-        .withColumn("dof_um", dof)
-        .withColumn("dof_slices", F.coalesce(F.col("dof_um") / F.col("z_um"), F.lit(a.assumed_dof_slices)))
-    )
+    return df.withColumns(_scales(F.col("px_um"), F.col("z_um"), F.col("na"), a))
+
+
+def scales(a: Acquisition) -> dict[str, Column]:
+    """The same of one acquisition, as constants."""
+    return _scales(*[F.lit(v).cast("double") for v in (a.px_um, a.z_um, a.na)], a)
 
 
 def assembled(df: DataFrame, p: Params = Params()) -> DataFrame:

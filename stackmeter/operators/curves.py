@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 from ..kernels import curves as kc
 from ..kernels import image
 
+
+def _vertex(before: Column, at: Column, after: Column) -> Column:
+    """How far the top of the parabola through three neighbours lies from the middle one, at most one; 0 at an end or on a line."""
+    bend = before - 2 * at + after
+    top = F.when(F.abs(bend) >= 1e-12, 0.5 * (before - after) / bend)
+    return F.coalesce(F.least(F.greatest(top, F.lit(-1.0)), F.lit(1.0)), F.lit(0.0))
+
+
 def subslice_peak(curves: DataFrame) -> DataFrame:
     """(oid, z, v, refined): the first highest slice of each curve and its parabola's place."""
     by_curve = Window.partitionBy("oid").orderBy("z")
     w = curves.withColumn("before", F.lag("v").over(by_curve)).withColumn("after", F.lead("v").over(by_curve))
     best = w.groupBy("oid").agg(F.max_by(F.struct("z", "v", "before", "after"), F.struct("v", -F.col("z"))).alias("p")).select("oid", "p.*")
-    bottom = F.col("before") - 2 * F.col("v") + F.col("after")
-    move = F.when(F.abs(bottom) < 1e-12, F.lit(0.0)).otherwise(F.least(F.greatest(0.5 * (F.col("before") - F.col("after")) / F.when(F.abs(bottom) >= 1e-12, bottom), F.lit(-1.0)), F.lit(1.0)))
-    return best.select("oid", "z", "v", (F.col("z") + F.coalesce(move, F.lit(0.0))).alias("refined"))
+    return best.select("oid", "z", "v", (F.col("z") + _vertex(F.col("before"), F.col("v"), F.col("after"))).alias("refined"))
 
 
 def sharpness_ratio(curves: DataFrame) -> DataFrame:
@@ -45,22 +51,28 @@ def focal_peaks(curves: DataFrame, share: float = 0.15) -> DataFrame:
     return got.where(F.col("prominence") >= F.greatest(F.lit(1e-9), share * F.col("range"))).drop("range")
 
 
-def _per_curve(curves: DataFrame, schema: str, rows) -> DataFrame:
-    """``rows(oid, z array, v array)`` for each curve, as arrays in one pass."""
-    held = curves.groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("z", "v"))).alias("c")).select("oid", F.col("c.z").alias("z"), F.col("c.v").alias("v"))
+def _per_curve(curves: DataFrame, schema: str, rows, *constants: str) -> DataFrame:
+    """``rows(oid, z array, v array, constants of the curve)`` for each curve, as arrays in one pass."""
+    held = curves.groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("z", "v"))).alias("c"), *[F.first(c).alias(c) for c in constants]).select("oid", F.col("c.z").alias("z"), F.col("c.v").alias("v"), *constants)
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = [r for oid, z, v in zip(pdf["oid"], pdf["z"], pdf["v"], strict=True) for r in rows(oid, np.asarray(z), np.asarray(v, dtype=np.float64))]
+            out = [r for oid, z, v, *more in zip(pdf["oid"], pdf["z"], pdf["v"], *[pdf[c] for c in constants], strict=True) for r in rows(oid, np.asarray(z), np.asarray(v, dtype=np.float64), *more)]
             yield pd.DataFrame(out, columns=names)
 
     return held.mapInPandas(run, schema)
 
 
-def focal_planes(curves: DataFrame, min_gap: float = 3.26) -> DataFrame:
+def focal_planes(curves: DataFrame, min_gap: Column | float = 3.26) -> DataFrame:
     """(oid, rank, z, prominence, refined): planes of each curve, strongest first."""
-    return _per_curve(curves, "oid long, rank int, z int, prominence double, refined double", lambda oid, z, v: [(oid, n, int(z[p]), h, float(z[p]) + kc.refine(v, p) - p) for n, (p, h) in enumerate(kc.focal_planes(v, min_gap))])
+
+    def rows(oid, z, v, gap):
+        # A plane is never the first or last slice, so it has both neighbours.
+        return [(oid, n, int(z[p]), h, *map(float, v[p - 1 : p + 2])) for n, (p, h) in enumerate(kc.focal_planes(v, gap))]
+
+    found = _per_curve(curves.withColumn("gap", F.lit(min_gap)), "oid long, rank int, z int, prominence double, before double, at double, after double", rows, "gap")
+    return found.select("oid", "rank", "z", "prominence", (F.col("z") + _vertex(F.col("before"), F.col("at"), F.col("after"))).alias("refined"))
 
 
 def _cyclic(c: str, n: str = "n") -> Column:

@@ -93,9 +93,13 @@ def band_curve(frames: DataFrame, outlines: DataFrame, width: int = 4) -> DataFr
     """(oid, z, v): mean absolute Laplacian in the band around each outline, slice by slice.
 
     The Laplacian is taken on the band's own box, so its border is mirrored there.  Outlines
-    (oid, stack, xs, ys) of a stack are few against its pixels and travel to the frames.
+    (oid, stack, xs, ys) of a stack are few against its pixels and travel to the frames; with
+    ``lo`` and ``hi`` an outline goes to the slices of that window only (G16).
     """
-    held = outlines.groupBy("stack").agg(F.collect_list(F.struct("oid", "xs", "ys")).alias("outlines"))
+    keys = ["stack"]
+    if {"lo", "hi"} <= set(outlines.columns):
+        keys, outlines = ["stack", "z"], outlines.where("lo <= hi").withColumn("z", F.explode(F.sequence("lo", "hi")))
+    held = outlines.groupBy(*keys).agg(F.collect_list(F.struct("oid", "xs", "ys")).alias("outlines"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -112,7 +116,7 @@ def band_curve(frames: DataFrame, outlines: DataFrame, width: int = 4) -> DataFr
                     out.append((o["oid"], z, float(image.abs_laplacian(a[box])[mask[box]].mean())))
             yield pd.DataFrame(out, columns=["oid", "z", "v"]).astype({"oid": "int64", "z": "int32", "v": "float64"})
 
-    return frames.join(held, "stack").mapInPandas(run, "oid long, z int, v double")
+    return frames.join(held, keys).mapInPandas(run, "oid long, z int, v double")
 
 
 def flat_field(pixels: DataFrame, sigma: float = 0.0) -> DataFrame:

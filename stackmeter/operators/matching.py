@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..params import Acquisition, Params
 from ..storage import materialise
+from ..functions import scalars
 from ..functions.scalars import edge_distance, inside_tile
 
 #: Tiles are one scan's grid; above this many rows the point-in-tile join is binned.
@@ -60,8 +61,9 @@ def overlap(tiles: DataFrame) -> DataFrame:
 
 
 def with_clipped(sightings: DataFrame, p: Params = Params()) -> DataFrame:
-    """Flags sightings whose outline reaches the tile's edge."""
-    return sightings.withColumn("clipped", F.col("edge") < F.col("r") + p.clip_margin_px)
+    """Flags sightings whose outline reaches the tile's edge: by its largest radius, by ``r`` where no outline is known."""
+    reach = F.coalesce(F.array_max("profile"), F.col("r")) if "profile" in sightings.columns else F.col("r")
+    return sightings.withColumn("clipped", F.col("edge") < reach + p.clip_margin_px)
 
 
 def seam_candidates(sightings: DataFrame, tiles: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def gated_pairs(candidates: DataFrame, reach: float, p: Params = Params(), a: Ac
     ratio = F.greatest(c("l.r"), c("r.r")) / F.least(c("l.r"), c("r.r"))
     axial = F.abs(c("l.z") - c("r.z"))
     on = [c(f"l.{k}") == c(f"r.{k}") for k in ("ta", "tb", "__i", "__j")]
-    met = l.join(r, on).where((lateral <= limit) & (axial <= a.dof_slices) & (c("l.clipped") | c("r.clipped") | (ratio <= p.max_radius_ratio)))
+    met = l.join(r, on).where((lateral <= limit) & (axial <= scalars.scales(a)["dof_slices"]) & (c("l.clipped") | c("r.clipped") | (ratio <= p.max_radius_ratio)))
     return met.select(c("l.ta").alias("ta"), c("l.tb").alias("tb"), c("l.sid").alias("sa"), c("r.sid").alias("sb"), lateral.alias("lateral_px"), axial.alias("axial_slices"), (lateral / limit + 0.5 * F.log(ratio)).alias("cost"))
 
 
@@ -230,7 +232,7 @@ def near_pairs(points: DataFrame, reach: Column, cell: float, key: str = "sid",
     return a.join(b, on).where((F.col(f"a_{key}") != F.col(f"b_{key}")) & reach).drop("__i", "__j")
 
 
-def suppression_conflicts(s: DataFrame, anisotropy: float, dof: float, cell: float) -> DataFrame:
+def suppression_conflicts(s: DataFrame, anisotropy: Column | float, dof: Column | float, cell: float) -> DataFrame:
     """(a, b): b stands after a by (sharpness desc, tile, sid) and lies within a's reach."""
     big = F.greatest("a_r", "b_r")
     dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")

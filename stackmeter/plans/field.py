@@ -52,37 +52,66 @@ def gated(found: DataFrame, p: Params = Params()) -> DataFrame:
     return found.where(F.col("radius").between(p.min_diameter_px / 2, p.max_diameter_px / 2) & (F.col("circ") >= p.min_circularity) & (F.size("xs") >= 8))
 
 
+#: What both detectors give for an object.
+OBJECT = ["stack", "sid", "x", "y", "z", "r", "sharp", "circ", "area", "n_slices", "z_first", "z_last", "profile"]
+
+
+def with_profile(df: DataFrame, n_theta: int) -> DataFrame:
+    """``profile``: the outline's radius at ``n_theta`` angles around (cx, cy), in place of its contour."""
+
+    @F.pandas_udf("array<double>")
+    def radii(xs: pd.Series, ys: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
+        return pd.Series([kc.resample(np.asarray(x), np.asarray(y), n_theta, a, b) for x, y, a, b in zip(xs, ys, cx, cy, strict=True)])
+
+    return df.withColumn("profile", radii("xs", "ys", "cx", "cy")).drop("xs", "ys")
+
+
 def projected_objects(stack: DataFrame, o: FieldOptions, p: Params, a: Acquisition, segmenter=None) -> DataFrame:
-    """(stack, sid, x, y, z, r, sharp, ...) from the depth projection: one row for each focal plane of an outline."""
+    """``OBJECT`` from the depth projection: one row for each focal plane of an outline.
+
+    Sharpness is the plane's prominence; ``n_slices`` are those at least half as sharp as the sharpest (F26).
+    """
     projection = frames.focus_stacked(stack, o.edf_sigma).select("stack", F.lit(0).alias("z"), "height", "width", F.col("edf").alias("px"))
     found = gated(frames.segmented(projection, segmenter, o.min_area), p).withColumn("oid", F.col("stack").cast("long") * 1_000_000 + F.col("label"))
     found = materialise(found, "outlines")
-    curve = frames.band_curve(stack, found.select("stack", "oid", "xs", "ys"), o.band_px)
-    planes = curves.focal_planes(curve, max(2.0, a.dof_slices))
-    ratio = curves.sharpness_ratio(curve)
-    out = planes.join(ratio, "oid").join(found.select("oid", "stack", "cx", "cy", "radius", "circ", "xs", "ys"), "oid")
-    return out.select("stack", (F.col("oid") * 100 + F.col("rank")).alias("sid"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("refined").alias("z"), F.col("radius").alias("r"), F.col("ratio").alias("sharp"), "circ", "xs", "ys")
+    curve = materialise(frames.band_curve(stack, found.select("stack", "oid", "xs", "ys"), o.band_px), "curves")
+    planes = curves.focal_planes(curve, F.greatest(F.lit(2.0), scalars.scales(a)["dof_slices"]))
+    swept = curve.groupBy("oid").agg(F.min("z").alias("z_first"), F.max("z").alias("z_last")).join(curves.in_focus_count(curve), "oid").withColumnRenamed("n", "n_slices")
+    out = planes.join(swept, "oid").join(with_profile(found.select("oid", "stack", "cx", "cy", "area", "radius", "circ", "xs", "ys"), p.n_theta), "oid")
+    out = out.withColumns({"sid": F.col("oid") * 100 + F.col("rank"), "x": F.col("cx"), "y": F.col("cy"), "z": F.col("refined"), "r": F.col("radius"), "sharp": F.col("prominence")})
+    return out.select(*OBJECT)
 
 
 def tracked_objects(stack: DataFrame, planes: DataFrame, o: FieldOptions, p: Params, a: Acquisition, segmenter=None) -> DataFrame:
-    """The same from every ``z_step``-th slice, linked in depth; the sharpest own slice is measured."""
+    """The same from every ``z_step``-th slice, linked in depth.
+
+    The sharpest of a track's own outlines is swept through the slices around it (three depths of field, six at least,
+    either way); each focal plane found is one row, measured on the track's outline nearest to that plane.
+    """
     found = gated(frames.segmented(stack.where(F.col("z") % o.z_step == 0), segmenter, o.min_area), p)
     found = found.withColumn("sid", (F.col("stack").cast("long") * 10_000 + F.col("z")) * 100_000 + F.col("label"))
-    found = materialise(found.withColumnsRenamed({"cx": "x", "cy": "y", "radius": "r"}), "slices")
-    tracks = matching.linked_tracks(found.select(F.col("stack").alias("tile"), "sid", "z", "x", "y", "r"), p)
+    found = materialise(found, "slices")
+    tracks = matching.linked_tracks(found.select(F.col("stack").alias("tile"), "sid", "z", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("radius").alias("r")), p)
     tracks = materialise(tracks, "tracks")
-    start = tracks.groupBy("tile", "tid").agg(F.min("z").alias("z0")).join(planes.select(F.col("stack").alias("tile"), "plane"), "tile").where(F.col("z0") < F.col("plane") - p.substrate_margin)
-    own = tracks.join(start.select("tile", "tid"), ["tile", "tid"]).join(found.drop("z"), "sid")
-    sharp = frames.band_curve(stack, own.select("stack", F.col("sid").alias("oid"), "xs", "ys"), o.band_px).withColumnRenamed("oid", "sid")
-    best = own.join(sharp.withColumnRenamed("z", "zz"), "sid").where(F.col("z") == F.col("zz"))
-    pick = best.groupBy("stack", "tid").agg(F.max_by(F.struct("sid", "x", "y", "z", "r", "circ", "xs", "ys"), F.struct("v", -F.col("z"))).alias("d")).select("stack", "d.*")
-    ratio = curves.sharpness_ratio(sharp.withColumnRenamed("sid", "oid")).select(F.col("oid").alias("sid"), F.col("ratio").alias("sharp"))
-    out = pick.join(ratio, "sid")
-    return out.select("stack", (F.col("sid") * 100 + 99).alias("sid"), "x", "y", F.col("z").cast("double").alias("z"), "r", "sharp", "circ", "xs", "ys")
+    spans = tracks.groupBy("tile", "tid").agg(F.min("z").alias("z_first"), F.max("z").alias("z_last"), F.count(F.lit(1)).alias("n_slices"))
+    spans = spans.join(planes.select(F.col("stack").alias("tile"), "plane"), "tile").where(F.col("z_first") < F.col("plane") - p.substrate_margin).drop("plane")
+    own = materialise(tracks.join(spans, ["tile", "tid"]).select("tid", "sid", "z_first", "z_last", "n_slices").join(found, "sid"), "own")
+    at_home = frames.band_curve(stack, own.select("stack", F.col("sid").alias("oid"), "xs", "ys", F.col("z").alias("lo"), F.col("z").alias("hi")), o.band_px)
+    sharpest = own.join(at_home.select(F.col("oid").alias("sid"), "v"), "sid").groupBy("stack", "tid").agg(F.max_by(F.struct("sid", "z", "xs", "ys"), F.struct("v", -F.col("z"))).alias("d"))
+    # A window is numbered by its outline; the curve knows nothing else of the track.
+    half = F.greatest(F.lit(6), scalars.half_even(3 * scalars.scales(a)["dof_slices"]).cast("int"))
+    swept = materialise(sharpest.select("stack", "tid", F.col("d.sid").alias("oid"), "d.xs", "d.ys", F.greatest(F.lit(0), F.col("d.z") - half).alias("lo"), (F.col("d.z") + half).alias("hi")), "swept")
+    curve = frames.band_curve(stack, swept.drop("tid"), o.band_px)
+    tops = curves.focal_planes(curve, F.greatest(F.lit(2.0), scalars.scales(a)["dof_slices"]))
+    tops = tops.join(swept.select("stack", "tid", "oid"), "oid").select("stack", "tid", "oid", "rank", "refined", "prominence")
+    nearest = F.min_by(F.struct("cx", "cy", "radius", "circ", "area", "n_slices", "z_first", "z_last", "xs", "ys"), F.struct(F.abs(F.col("z") - scalars.half_even(F.col("refined"))), "z", "sid"))
+    out = tops.join(own, ["stack", "tid"]).groupBy("stack", "oid", "rank", "refined", "prominence").agg(nearest.alias("d")).select("stack", "oid", "rank", "refined", "prominence", "d.*")
+    out = with_profile(out, p.n_theta).withColumns({"sid": F.col("oid") * 100 + 50 + F.col("rank"), "x": F.col("cx"), "y": F.col("cy"), "z": F.col("refined"), "r": F.col("radius"), "sharp": F.col("prominence")})
+    return out.select(*OBJECT)
 
 
 def measure(stack: DataFrame, a: Acquisition = Acquisition(), p: Params = Params(), o: FieldOptions = FieldOptions(), segmenter=None) -> DataFrame:
-    """Measured objects of each stack: (stack, oid, source, x, y, z, r, sharp, ...); an empty field has none."""
+    """Measured objects of each stack, ``oid`` and ``source`` beside the columns of ``OBJECT``; an empty field has none."""
     planes = registration.substrate_plane(profile(stack))
     if o.substrate is not None:
         planes = planes.select("stack", F.lit(o.substrate).alias("plane"), "peak")
@@ -95,7 +124,7 @@ def measure(stack: DataFrame, a: Acquisition = Acquisition(), p: Params = Params
     else:
         both = (edf if edf is not None else slices).withColumn("source", F.lit(o.mode)).withColumn("prio", F.lit(0))
     both = materialise(both.withColumn("tile", F.col("stack")), "objects")
-    kept = matching.greedy_suppression(both, matching.suppression_conflicts(both, a.anisotropy, a.dof_slices, p.max_diameter_px))
+    kept = matching.greedy_suppression(both, matching.suppression_conflicts(both, scalars.scales(a)["anisotropy"], scalars.scales(a)["dof_slices"], p.max_diameter_px))
     kept = kept.where(F.col("sharp") >= p.min_sharpness)
     return catalogue.numbered(kept.drop("tile", "prio"), ["stack", "z", "x", "sid"], "oid")
 
@@ -125,14 +154,8 @@ def fitted_domes(points: DataFrame, planes: DataFrame, a: Acquisition = Acquisit
     schema = "stack int, cx double, cy double, cz double, radius double, residual double, contact double, apex double, radius_sd double"
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        got = kc.cap(rows.sort_values(["z", "y", "x"])[["x", "y", "z"]].to_numpy(), float(rows["plane"].iloc[0]), a.anisotropy)
+        got = kc.cap(rows.sort_values(["z", "y", "x"])[["x", "y", "z"]].to_numpy(), float(rows["plane"].iloc[0]), float(rows["anisotropy"].iloc[0]))
         names = [c.split(" ")[0] for c in schema.split(", ")]
         return pd.DataFrame([(rows["stack"].iloc[0], *got.values())] if got else [], columns=names)
 
-    return points.join(planes.select("stack", F.col("plane").cast("double").alias("plane")), "stack").groupBy("stack").applyInPandas(fit, schema)
-
-
-def with_scales(objects: DataFrame, a: Acquisition = Acquisition(), p: Params = Params()) -> DataFrame:
-    """Objects with derived sizes; micrometres are null where the acquisition is not calibrated."""
-    scale = objects.select("*", *[F.lit(v).cast("double").alias(n) for n, v in (("px_um", a.px_um), ("z_um", a.z_um), ("na", a.na))])
-    return scalars.assembled(scalars.with_scales(scale, a), p)
+    return points.join(planes.select("stack", F.col("plane").cast("double").alias("plane"), scalars.scales(a)["anisotropy"].alias("anisotropy")), "stack").groupBy("stack").applyInPandas(fit, schema)

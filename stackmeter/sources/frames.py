@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tags import tag_text
 from . import tiff
-from .group import xml_value
 
-#: Folders that never hold stacks.
+# Folders that never hold stacks, and the name of the default stack.
 SKIPPED = (".git", ".venv", "venv", "output", "docs", "__pycache__", "node_modules", "site-packages")
 HINT = "4x_00009"
 
@@ -78,12 +78,9 @@ def stage_locations(spark: SparkSession, root: str) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                text = tiff.frame_note(content)
-                got = [xml_value(text, f"StageLocation{a}") for a in "XYZ"] if text else [None] * 3
-                out.append((path, *([int(v) for v in got] if None not in got else [None] * 3)))
-            yield pd.DataFrame(out, columns=["path", "stage_x", "stage_y", "stage_z"]).astype({c: "Int64" for c in ("stage_x", "stage_y", "stage_z")})
-
-    notes = files.select("path", "content").mapInPandas(run, "path string, stage_x long, stage_y long, stage_z long")
+            yield pd.DataFrame({"path": pdf["path"], "note": [tiff.frame_note(c) for c in pdf["content"]]})
+
+    at = [tag_text(F.col("note"), f"StageLocation{a}").try_cast("long") for a in "XYZ"]
+    whole = F.greatest(*[a.isNull() for a in at])
+    notes = files.select("path", "content").mapInPandas(run, "path string, note string").select("path", *[F.when(~whole, a).alias(f"stage_{n}") for a, n in zip(at, "xyz", strict=True)])
     return notes.join(listed(spark, root).select("path", F.regexp_extract("folder", "([^/]*)$", 1).alias("tile"), "z_label"), "path").drop("path")

@@ -104,7 +104,8 @@ def test_cap_identity():
 
 
 def test_absent_scales_stay_absent(spark):
-    assert Acquisition(px_um=None).dof_slices == 3.0 and Acquisition().dof_slices == pytest.approx(3.2622)
+    depth = [scalars.scales(a)["dof_slices"] for a in (Acquisition(px_um=None), Acquisition())]
+    assert spark.range(1).select(*depth).first() == (3.0, pytest.approx(3.2622))
     df = spark.createDataFrame([(None, 10.0, 0.2, 5.0, 3.5)], "px_um double, z_um double, na double, r double, z double")
     row = scalars.assembled(scalars.with_scales(df)).first()
     assert row.diameter_um is None and row.volume_um3 is None and row.anisotropy == 1.0 and row.best_slice == 4

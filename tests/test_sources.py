@@ -2,7 +2,9 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from stackmeter.functions.tags import double_of_bits, tag_attribute, tag_count, tag_text
 from stackmeter.sources import frames, group, tiff
 
 from . import scan
@@ -28,9 +30,12 @@ def test_tiff_round_trip():
         tiff.decode(b"PK not an image")
 
 
-def test_known_bit_patterns():
-    assert group.double_of_bits("4596373779694328218") == 0.2 and group.double_of_bits("4626322717216342016") == 20.0
-    assert round(group.double_of_bits("4660518447848644499"), 4) == 3774.4179 and group.double_of_bits(None) is None
+def test_known_bit_patterns(spark):
+    known = {4596373779694328218: 0.2, 4626322717216342016: 20.0, None: None, 0: 0.0, 0x7FF0 << 48: None}
+    known |= {struct.unpack("<q", struct.pack("<d", v))[0]: v for v in (-1.5, 1 / 3, 5e-324, 1.7e308, -2.2e-308)}
+    rows = spark.createDataFrame([(b, v) for b, v in known.items()], "b long, v double").select(double_of_bits(F.col("b")).alias("got"), "v").collect()
+    assert [r.got for r in rows] == [r.v for r in rows]
+    assert round(spark.range(1).select(double_of_bits(F.lit(4660518447848644499))).first()[0], 4) == 3774.4179
 
 
 def test_group_tables(spark, folder):
@@ -43,13 +48,23 @@ def test_group_tables(spark, folder):
     assert [tuple(r)[1:] for r in group.read_group(spark, str(folder), "edge_points").collect()] == [(0, 1, 2, 3)]
 
 
-def test_metadata_without_calibration():
-    assert group.metadata({})["px_um"] is None
-    lens = {group.LENS: b"<Magnification>1000</Magnification><LensName>x: 10x 0.45</LensName>"}
-    got = group.metadata(lens, 1920)
-    assert got["px_um"] == pytest.approx(1.5094 / 2) and got["px_source"] == "lens-table" and got["na"] == 0.45
-    assert group.metadata({group.LENS: b"<Magnification>300</Magnification>"})["warning"]
-    assert group.layout({})[1] == "not a tiled acquisition"
+def test_metadata_without_calibration(spark):
+    rows = [("none", None, None), ("lens", group.LENS, b"<Magnification>1000</Magnification><LensName>x: 10x 0.45</LensName>"), ("odd", group.LENS, b"<Magnification>300</Magnification>")]
+    rows += [("grid", group.JOINT, b"<Enabled>True</Enabled><Row>2</Row><Column>two</Column>"), ("junk", group.STACK, b"<Pitch>x</Pitch>")]
+    members = spark.createDataFrame(rows, "group string, member string, body binary")
+    got = {r.group: r for r in group.metadata(group.properties(members), 1920).collect()}
+    assert len(got) == 5 and got["none"].px_um is None and got["none"].z_um is None and got["junk"].z_um is None
+    assert got["lens"].px_um == pytest.approx(1.5094 / 2) and got["lens"].px_source == "lens-table" and got["lens"].na == 0.45 and got["lens"].objective == "x"
+    assert got["odd"].warning and got["lens"].warning is None
+    why = {r.group: r.warning for r in group.layout_warnings(members).collect()}
+    assert why["none"] == "not a tiled acquisition" and why["grid"] == "the grid's shape is missing"
+    assert group.layout(members).count() == group.scores(members).count() == group.edge_points(members).count() == 0
+
+
+def test_tags(spark):
+    text = '<a x="1">no</a><p class="c" id="7">one\n two </p><p/><pre>p</pre><p>three</p>'
+    row = spark.createDataFrame([(text,), (None,)], "t string").select(tag_text(F.col("t"), "p").alias("p"), tag_text(F.col("t"), "q").alias("q"), tag_attribute(F.col("t"), "p", "id").alias("id"), tag_count(F.col("t"), "p").alias("n")).collect()
+    assert tuple(row[0]) == ("one\n two", None, "7", 3) and tuple(row[1]) == (None,) * 4
 
 
 def test_frames(spark, folder):

@@ -30,10 +30,12 @@ QUALITY = ("appearance_measurable", "background_dn", "background_tilt_frac", "ba
 def regions(frame: np.ndarray, x: float, y: float, r: float, profile: np.ndarray, near: list[tuple[float, float, float]]) -> dict | None:
     """Masks of body, core, rim and halo on a patch around an outline r(theta), and the patch with the centre in it.
 
-    The rim is the shell inside the outline, the core lies a guard further in, the halo is a ring of background from
-    which discs around neighbours ``(dx, dy, r)`` are taken.  None where the frame does not hold the whole ring or a
+    The rim is the shell inside the outline, the core lies a guard further in, the halo is a ring of background from which
+    discs around neighbours ``(dx, dy, r)`` are taken.  None where the frame does not hold the whole ring or a
     region is too small.
     """
+    if not len(profile) or not np.isfinite(profile).all():  # a broken outline
+        return None
     side = int(np.ceil(2.4 * r)) + 4
     left, top = round(x) - side, round(y) - side
     if r < LEAST_RADIUS or min(left, top) < 0 or left + 2 * side > frame.shape[1] or top + 2 * side > frame.shape[0]:

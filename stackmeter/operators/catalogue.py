@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import Acquisition, Params
+from ..functions import scalars
+from ..params import Acquisition, Dome, Params
 from ..storage import materialise
 from . import matching
 
@@ -105,6 +106,14 @@ def views_long(grouped: DataFrame) -> DataFrame:
     return grouped.withColumn("elected", (F.row_number().over(w) == 1).cast("int"))
 
 
+def enclosed(objects: DataFrame, dome: Dome, by: tuple[str, ...] = (), least: float = 0.9) -> DataFrame:
+    """(enclosed, reliable): the share of objects that a droplet holds, a quarter of their radius let out, and whether it is enough."""
+    r = F.col("r")
+    inside = scalars.dome_distance(dome, F.col("x"), F.col("y"), F.col("z")) - r > -0.25 * r
+    share = F.avg(inside.cast("double"))
+    return objects.groupBy(*by).agg(share.alias("enclosed"), (share >= least).alias("reliable"))
+
+
 def recall(objects: DataFrame) -> DataFrame:
     """(once, twice, implied_recall) where two tiles look: null under ten objects seen twice."""
     seen = objects.where("coverage_k >= 2").agg(F.sum((F.col("n_views") == 1).cast("long")).alias("once"), F.sum((F.col("n_views") >= 2).cast("long")).alias("twice"))

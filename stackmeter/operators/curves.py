@@ -157,6 +157,27 @@ def cap_fit(rings: DataFrame, anisotropy: float = 4 * 2.65) -> DataFrame:
     return off.groupBy("cz", F.col("sphere").alias("sphere_radius"), "n").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rms"))
 
 
+def cap_bootstrap(rings: DataFrame, glass: float, anisotropy: float = 4 * 2.65, draws: int = 40, seed: int = 0) -> DataFrame:
+    """(n, draws, cz_sd, radius_sd, contact_median, contact_sd, spread_pct): how a cap's fit varies over rings drawn with replacement.
+
+    A draw's picks are digests of (seed, draw, slot), so the result is one on any layout; all draws are fitted in one
+    aggregate.  Draws without a radius do not count; under four rings there is no row.  ``glass`` is a slice.
+    """
+    z = F.col("z") * anisotropy
+    ringed = rings.select(z.alias("zz"), (F.col("radius") * F.col("radius") + z * z).alias("q"), F.row_number().over(Window.orderBy("z", "radius")).alias("i"))  # a row a slice
+    n = rings.agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    slots = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("n", "draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("slot"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long")
+    picked = slots.withColumn("i", (digest % F.col("n") + 1).cast("int")).join(ringed, "i")
+    line = picked.groupBy("n", "draw").agg(F.regr_slope("q", "zz").alias("s"), F.regr_intercept("q", "zz").alias("c"))
+    square = F.col("c") + F.col("s") * F.col("s") / 4
+    fits = line.where(square > 0).select("n", (F.col("s") / 2).alias("cz"), F.sqrt(square).alias("radius"))
+    down = F.lit(glass * anisotropy) - F.col("cz")
+    fits = fits.withColumn("contact", F.sqrt(F.greatest(F.col("radius") * F.col("radius") - down * down, F.lit(0.0))))
+    out = fits.groupBy("n").agg(F.count(F.lit(1)).alias("draws"), F.stddev_pop("cz").alias("cz_sd"), F.stddev_pop("radius").alias("radius_sd"), F.median("contact").alias("contact_median"), F.stddev_pop("contact").alias("contact_sd"))
+    return out.withColumn("spread_pct", 100 * F.col("contact_sd") / F.greatest("contact_median", F.lit(1e-9)))
+
+
 def first_last_crossings(hot: DataFrame, step: int = 1) -> DataFrame:
     """(stack, z, y, x): the first and last hot cell of every row and of every column."""
     rows = hot.where(F.col("y") % step == 0).groupBy("stack", "z", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))

@@ -159,3 +159,24 @@ def fitted_domes(points: DataFrame, planes: DataFrame, a: Acquisition = Acquisit
         return pd.DataFrame([(rows["stack"].iloc[0], *got.values())] if got else [], columns=names)
 
     return points.join(planes.select("stack", F.col("plane").cast("double").alias("plane"), scalars.scales(a)["anisotropy"].alias("anisotropy")), "stack").groupBy("stack").applyInPandas(fit, schema)
+
+
+def with_droplets(objects: DataFrame, domes: DataFrame, a: Acquisition = Acquisition(), least: float = 0.9) -> DataFrame:
+    """Objects plus dome_distance_px and dome_surface_slice by their own stack's cap.
+
+    Null for a stack without a cap, and for one whose cap holds less than ``least`` of its objects.
+    """
+    own = scalars.scales(a)["anisotropy"]
+    at = objects.join(domes.select("stack", F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), F.col("cz").alias("__cz"), F.col("radius").alias("__radius")), "stack", "left")
+    dx, dy, dz = F.col("x") - F.col("__cx"), F.col("y") - F.col("__cy"), (F.col("z") - F.col("__cz")) * own
+    over = F.col("__radius") * F.col("__radius") - dx * dx - dy * dy
+    at = at.withColumns({"__gap": F.col("__radius") - F.sqrt(dx * dx + dy * dy + dz * dz) - F.col("r"), "__over": F.when(over > 0, F.col("__cz") - F.sqrt(F.greatest(over, F.lit(0.0))) / own)})
+    good = at.groupBy("stack").agg(F.avg((F.col("__gap") > -0.25 * F.col("r")).cast("double")).alias("__share")).where(F.col("__share") >= least)
+    out = at.join(good, "stack", "left")
+    kept = F.col("__share").isNotNull()
+    return out.select(*objects.columns, F.when(kept, F.col("__gap")).alias("dome_distance_px"), F.when(kept, F.col("__over")).alias("dome_surface_slice"))
+
+
+def droplets(stack: DataFrame, planes: DataFrame, a: Acquisition = Acquisition(), p: Params = Params(), sigma: float = 28.0) -> DataFrame:
+    """One cap for each stack, fitted to the interface that its own slices above the glass show."""
+    return fitted_domes(interface_points(analysed(stack, planes, p), sigma), planes, a)

@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import curves as kc
+from ..functions import scalars
 from ..kernels import image
 from ..operators import catalogue, curves, frames, matching, registration
-from ..params import Acquisition, Params
+from ..params import Acquisition, Dome, Params
 from ..storage import materialise
-from . import field
+from . import features, field
 
 
 def corrected(stack: DataFrame, gain: DataFrame) -> DataFrame:
@@ -24,14 +24,40 @@ def corrected(stack: DataFrame, gain: DataFrame) -> DataFrame:
     return stack.join(F.broadcast(one)).withColumn("px", F.expr("transform(px, (v, i) -> v / __gain[i])")).drop("__gain")
 
 
+def _facing(stack: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(ta, tb, axis, z) of neighbours with both frames and places, prefixed a_ and b_."""
+    side = lambda s: stack.select(F.col("stack").alias(f"t{s}"), "z", *[F.col(c).alias(f"{s}_{c}") for c in ("px", "height", "width")]).join(
+        tiles.select(F.col("tile").alias(f"t{s}"), F.col("x0").alias(f"{s}_x"), F.col("y0").alias(f"{s}_y")), f"t{s}"
+    )
+    return matching.neighbour_pairs(tiles).join(side("a"), "ta").join(side("b"), ["tb", "z"])
+
+
+def placement(stack: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Whether the middle slices of neighbours lie on each other as the layout has it, not mirrored."""
+    middle = stack.groupBy("stack").agg(F.floor((F.max("z") + 1) / 2).cast("int").alias("z"))
+    both = _facing(stack.join(middle, ["stack", "z"]), tiles)
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for r in pdf.itertuples(index=False):
+                a, b = np.asarray(r.a_px).reshape(r.a_height, r.a_width), np.asarray(r.b_px).reshape(r.b_height, r.b_width)
+                turn = (lambda m: m) if r.axis == "x" else (lambda m: m.T)  # strips stand upright
+                one, two = turn(a), turn(b)
+                wide = round(one.shape[1] - (r.b_x - r.a_x if r.axis == "x" else r.b_y - r.a_y))
+                if 8 <= wide <= min(one.shape[1], two.shape[1]) and one.shape[0] == two.shape[0]:
+                    parts_ = (one[:, -wide:], two[:, :wide], one[:, :wide], two[:, -wide:])
+                    out.append((r.ta, r.tb, r.axis, r.z, *[m.reshape(-1) for m in parts_], one.shape[0], wide))
+            yield pd.DataFrame(out, columns=["ta", "tb", "axis", "z", "a", "b", "a_far", "b_far", "height", "width"])
+
+    arrays = ", ".join(f"{c} array<double>" for c in ("a", "b", "a_far", "b_far"))
+    return registration.placement_peaks(both.mapInPandas(cut, f"ta int, tb int, axis string, z int, {arrays}, height int, width int"))
+
+
 def strips(stack: DataFrame, tiles: DataFrame, n_planes: int = 9) -> DataFrame:
     """(ta, tb, z, a, b, height, width): the overlapping parts of neighbours on some planes."""
     depth = stack.agg((F.max("z") + 1).alias("d")).first()["d"]
-    chosen = stack.where(F.col("z").isin(frames.sampled_slices(int(depth), n_planes)))
-    side = lambda s: chosen.select(F.col("stack").alias(f"t{s}"), "z", *[F.col(c).alias(f"{s}_{c}") for c in ("px", "height", "width")]).join(
-        F.broadcast(tiles.select(F.col("tile").alias(f"t{s}"), F.col("x0").alias(f"{s}_x"), F.col("y0").alias(f"{s}_y"))), f"t{s}"
-    )
-    both = matching.neighbour_pairs(tiles).join(side("a"), "ta").join(side("b"), ["tb", "z"])
+    both = _facing(stack.where(F.col("z").isin(frames.sampled_slices(int(depth), n_planes))), tiles)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -66,67 +92,7 @@ def sightings(objects: DataFrame, tiles: DataFrame) -> DataFrame:
     """Objects of all fields in mosaic coordinates, with their distance to the field's edge (DM15)."""
     at = objects.join(F.broadcast(tiles.select("tile", "x0", "y0", "w", "h")), F.col("stack") == F.col("tile"))
     edge = F.least(F.col("x"), F.col("w") - F.col("x"), F.col("y"), F.col("h") - F.col("y"))
-    return at.select("tile", F.col("oid").alias("obj"), (F.col("x") + F.col("x0")).alias("x"), (F.col("y") + F.col("y0")).alias("y"), "z", "r", "sharp", edge.alias("edge"))
-
-
-def features(elected: DataFrame, stack: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Appearance of each elected view on its own frame's pixels; unmeasurable blocks are null and named.
-
-    ``elected`` has uid, tile, z, x, y, r.  Each frame is read once for all its objects.
-    """
-    schema = (
-        "uid long, appearance_measurable boolean, background_dn double, background_tilt_frac double, background_clipped_frac double, halo_px double, halo_lost_to_neighbours_px double, "
-        "core_od_mean double, core_od_std double, rim_od_mean double, body_od_mean double, rim_minus_core_od double, core_over_rim_od double, core_rim_separation double, core_fill_fraction double, "
-        "core_grad_mean double, core_grad_p90 double, rim_grad_mean double, rim_over_core_grad double, outline_empty double, missing_blocks string"
-    )
-    names = [c.split(" ")[0] for c in schema.split(", ")]
-    local = elected.join(F.broadcast(tiles.select("tile", "x0", "y0")), "tile").select("uid", F.col("tile").alias("stack"), F.bround("z").cast("int").alias("z"), (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "r")
-    widest = elected.agg(F.max("r")).first()[0] or 0.0
-    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
-    apart = F.sqrt(dx * dx + dy * dy)
-    close = matching.near_pairs(elected.select("uid", "x", "y", "r"), (apart > 0) & (apart < 3 * F.col("a_r") + 40), 3 * widest + 40, "uid")
-    near = close.groupBy(F.col("a_uid").alias("uid")).agg(F.collect_list(F.struct((-dx).alias("dx"), (-dy).alias("dy"), F.col("b_r").alias("r"))).alias("near"))
-    local = local.join(near, "uid", "left")
-    grouped = local.groupBy("stack", "z").agg(F.collect_list(F.struct("uid", "x", "y", "r", "near")).alias("items"))
-
-    def one(a: np.ndarray, x: float, y: float, r: float, near) -> tuple:
-        none = (False, *[None] * (len(names) - 3), "appearance")
-        pad = int(np.ceil(2.4 * r))
-        if r < 6 or x - pad < 0 or y - pad < 0 or x + pad >= a.shape[1] or y + pad >= a.shape[0]:
-            return none
-        yy, xx = np.mgrid[int(y) - pad : int(y) + pad + 1, int(x) - pad : int(x) + pad + 1]
-        v, d = a[yy, xx], np.hypot(yy - y, xx - x)
-        # The rim lies inside the outline: a band across it would be half background.
-        shell, guard = max(3.0, 0.2 * r), max(2.0, 0.05 * r)
-        body, rim, core, halo = d <= r, (d <= r) & (d > r - shell), d <= r - shell - guard, (d > 1.5 * r) & (d <= 2.2 * r)
-        before = int(halo.sum())
-        for n in near if near is not None else ():
-            halo &= np.hypot(yy - y - n["dy"], xx - x - n["dx"]) > 1.3 * n["r"]
-        if body.sum() < 9 or core.sum() < 9 or rim.sum() < 9 or halo.sum() < 60:
-            return none
-        coef, _ = kc.plane(xx[halo].astype(float), yy[halo].astype(float), v[halo])
-        ground = coef[0] + coef[1] * xx + coef[2] * yy
-        od = -np.log(np.clip(v / np.maximum(ground, 1e-6), 1 / 255, 4))
-        gy, gx = np.gradient(od)
-        slope = np.hypot(gy, gx)
-        c, m = od[core], od[rim]
-        pooled = float(np.sqrt(0.5 * (c.var() + m.var())) + 1e-9)
-        level, core_slope = float(coef[0] + coef[1] * x + coef[2] * y), float(slope[core].mean())
-        return (
-            True, level, float(np.ptp(ground[body]) / max(level, 1e-6)), float((v[halo] >= 254.5).mean()), float(halo.sum()), float(before - halo.sum()),
-            float(c.mean()), float(c.std()), float(m.mean()), float(od[body].mean()), float(m.mean() - c.mean()), float(c.mean() / m.mean()) if abs(m.mean()) > 1e-6 else None, float((m.mean() - c.mean()) / pooled),
-            float((c > 0.5 * m.mean()).mean()), core_slope, float(np.percentile(slope[core], 90)), float(slope[rim].mean()), float(slope[rim].mean() / max(core_slope, 1e-9)), float(od[body].mean() < 0.06), None,
-        )
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out = []
-            for px, h, w, items in zip(pdf["px"], pdf["height"], pdf["width"], pdf["items"], strict=True):
-                a = np.asarray(px, dtype=float).reshape(h, w)
-                out += [(i["uid"], *one(a, i["x"], i["y"], i["r"], i["near"])) for i in items]
-            yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    return stack.join(grouped, ["stack", "z"]).mapInPandas(run, schema)
+    return at.select("tile", F.col("oid").alias("obj"), (F.col("x") + F.col("x0")).alias("x"), (F.col("y") + F.col("y0")).alias("y"), "z", "r", "sharp", "profile", edge.alias("edge"))
 
 
 def rim_rays(stack: DataFrame, cx: float, cy: float, sigma: float = 28.0, k: float = 0.8, n_azimuth: int = 360, dr: float = 3.0, least: float = 24.0) -> DataFrame:
@@ -169,19 +135,79 @@ def global_dome(stack: DataFrame, cx: float, cy: float, p: Params = Params(), ro
     return rings, (cx, cy)
 
 
-def run(stack: DataFrame, tiles: DataFrame, a: Acquisition = Acquisition(), p: Params = Params(), o: field.FieldOptions = field.FieldOptions(), segmenter=None) -> dict[str, DataFrame]:
-    """Catalogue, views, seams and features of a mosaic."""
+def canvas(stack: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Frames of the whole mosaic, one for each slice of ``stack``: feathered means of the tiles (F6), 0 where no tile is."""
+    low = tiles.agg(F.min("x0").alias("lx"), F.min("y0").alias("ly"))
+    at = tiles.join(F.broadcast(low)).select(F.col("tile").alias("stack"), F.round(F.col("x0") - F.col("lx")).cast("int").alias("ox"), F.round(F.col("y0") - F.col("ly")).cast("int").alias("oy"), "w", "h")
+    margin = F.greatest(F.lit(1.0), F.least("w", "h") / 4)
+    pixels = frames.exploded(stack).join(at, "stack")
+    pixels = pixels.select("z", (F.col("x") + F.col("ox")).alias("cx"), (F.col("y") + F.col("oy")).alias("cy"), F.col("value").alias("v"), scalars.feather_weight(F.col("x"), F.col("y"), F.col("w"), F.col("h"), margin).alias("weight"))
+    blended = frames.composite(pixels, ["z"])
+    return frames.frames_of(_filled(blended).select(F.lit(0).alias("stack"), "z", F.col("cy").alias("y"), F.col("cx").alias("x"), "v"))
+
+
+def _filled(blended: DataFrame) -> DataFrame:
+    """Every cell of each slice's box, 0 where no tile is."""
+    box = blended.groupBy("z").agg(F.max("cx").alias("mx"), F.max("cy").alias("my"))
+    grid = box.select("z", "mx", F.explode(F.sequence(F.lit(0), F.col("my"))).alias("cy")).select("z", "cy", F.explode(F.sequence(F.lit(0), F.col("mx"))).alias("cx"))
+    return grid.join(blended.select("z", "cy", "cx", F.col("v").cast("double").alias("v")), ["z", "cy", "cx"], "left").fillna(0.0, ["v"])
+
+
+def droplet(stack: DataFrame, tiles: DataFrame, glass: float, a: Acquisition = Acquisition(), p: Params = Params(), z_step: int = 4, margin: int = 8, sigma: float = 28.0) -> tuple[Dome | None, DataFrame | None]:
+    """The droplet that the whole scan lies in, and its rings; None where no cap can be fitted.
+
+    Every ``z_step``-th slice up to ``margin`` above the glass is laid out as one canvas.  The axis starts where the
+    upper slices have texture and is refitted with the rim around it; four used rings make a cap.  A scan's rings are a
+    few dozen rows, its axis and cap one.
+    """
+    planes = list(range(0, max(4, round(glass) - margin), z_step))
+    wide = materialise(canvas(stack.where(F.col("z").isin(planes)), tiles), "canvas")
+    if wide.select("z").distinct().count() < 4:
+        return None, None
+    small = frames.frames_of(registration.block_means(frames.exploded(wide).withColumnRenamed("value", "v")))
+    texture = frames.exploded(frames.mapped(small, lambda m: np.log1p(image.blur(image.tenengrad(m), sigma / 4)))).withColumnRenamed("value", "v")
+    seed = registration.seed_axis(texture, wide.groupBy("stack").agg(F.max("width").alias("width"), F.max("height").alias("height"))).first()
+    rings, (cx, cy) = global_dome(wide, float(seed["cx"]), float(seed["cy"]), p, sigma=sigma)
+    scale = wide.sparkSession.range(1).select(scalars.scales(a)["anisotropy"]).first()[0]
+    cap = curves.cap_fit(rings.where("used"), scale).first()
+    if cap is None or cap["cz"] is None or cap["sphere_radius"] is None or not cap["sphere_radius"] > 0:
+        return None, rings
+    low = tiles.agg(F.min("x0"), F.min("y0")).first()  # the canvas starts at the least offsets
+    return Dome(cx + low[0], cy + low[1], cap["cz"] / scale, cap["sphere_radius"], float(glass), scale), rings
+
+
+def flat_fielded(stack: DataFrame, n_planes: int = 7, sigma: float = 40.0) -> DataFrame:
+    """Frames without the light's fixed pattern: divided by the smoothed median over all tiles on some planes."""
+    depth = int(stack.agg(F.max("z")).first()[0]) + 1
+    some = frames.exploded(stack.where(F.col("z").isin(frames.sampled_slices(depth, n_planes)))).withColumnRenamed("value", "v")
+    return corrected(stack, frames.flat_field(some, sigma))
+
+
+def run(
+    stack: DataFrame, tiles: DataFrame, a: Acquisition = Acquisition(), p: Params = Params(), o: field.FieldOptions = field.FieldOptions(), segmenter=None,
+    flat: bool = True, sigma: float = 28.0,
+) -> dict[str, DataFrame | Dome | None]:
+    """Catalogue, views, seams, droplet and feature matrix of a mosaic.
+
+    ``flat`` takes the light's pattern out of the frames first; ``sigma`` smooths the texture that the droplet's rim is
+    traced on.  A droplet that holds less than nine tenths of the objects is dropped (D17): its columns are null then.
+    """
+    if flat:
+        stack = materialise(flat_fielded(stack), "flat")
     placed, _ = registered(stack, tiles, p)
     placed = materialise(placed, "tiles")
     profile = materialise(field.profile(stack), "profile")
     depth = int(profile.agg(F.max("z")).first()[0]) + 1
-    glass = registration.glass_consensus(registration.glass_votes(profile, p), depth).first()["slice"]
-    objects = field.measure(stack, a, p, replace(o, substrate=float(glass)), segmenter)
+    glass = float(registration.glass_consensus(registration.glass_votes(profile, p), depth).first()["slice"])
+    objects = materialise(field.measure(stack, a, p, replace(o, substrate=glass), segmenter), "measured")
     seen = materialise(matching.with_clipped(catalogue.with_sid(sightings(objects, placed)), p), "sightings")
     pairs = materialise(catalogue.matched(seen, placed, p, a), "matches")
     grouped = catalogue.with_components(seen, pairs)
     merged = materialise(catalogue.catalogue(grouped, placed, p), "catalogue")
+    dome, rings = droplet(stack, placed, glass, a, p, sigma=sigma)
+    if dome is not None and not catalogue.enclosed(merged, dome).first()["reliable"]:
+        dome = None
     return {
         "objects": objects, "catalogue": merged, "views": catalogue.views_long(grouped), "seams": catalogue.seam_report(seen, placed, pairs, p),
-        "features": features(merged.select("uid", "tile", "z", "x", "y", "r"), stack, placed), "tiles": placed,
+        "features": features.matrix(merged, features.record(objects, a, None, p), stack, placed, a, dome, glass, p.n_theta), "tiles": placed, "dome": dome, "rings": rings,
     }

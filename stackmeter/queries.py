@@ -168,9 +168,7 @@ def dome_surface(spark, sf):
 
 @query(_with(("v_objects",), f"SELECT avg(CASE WHEN clear > -0.25e0*r THEN 1e0 ELSE 0e0 END) AS enclosed, avg(CASE WHEN clear > -0.25e0*r THEN 1e0 ELSE 0e0 END) >= 0.9e0 AS reliable FROM sp", _SPATIAL.split(",\n  sq AS")[0]))
 def dome_reliability(spark, sf):
-    inside = scalars.dome_distance(DOME, F.col("x"), F.col("y"), F.col("z")) - F.col("r") > -0.25 * F.col("r")
-    share = F.avg(inside.cast("double"))
-    return _objects_xyz(spark, sf).agg(share.alias("enclosed"), (share >= 0.9).alias("reliable"))
+    return cat.enclosed(_objects_xyz(spark, sf), DOME)
 
 
 @query(_with(("v_rings",), f"SELECT z, {_r('0.5235987755982988e0*(z+1)*(3*radius*radius + (z+1)*(z+1))','volume',1)} FROM v_rings"))

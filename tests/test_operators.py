@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackmeter.functions import scalars
-from stackmeter.operators import catalogue, frames, matching, registration
+from stackmeter.kernels import image
+from stackmeter.operators import catalogue, curves, frames, matching, registration
 from stackmeter.params import Acquisition, Dome, Params
-from stackmeter.plans import outputs
+from stackmeter.plans import mosaic, outputs
 
 
 def test_assignment_is_largest_then_cheapest(spark):
@@ -97,6 +98,111 @@ def test_registration_recovers_offsets(spark):
         assert (r.x, r.y) == pytest.approx((truth[k][0] - low[0], truth[k][1] - low[1]), abs=1e-6)
 
 
+def dense_offsets(edges, start):
+    """Offsets by a dense solve of the same equations, every tile of its component held at its mean place."""
+    names = list(start)
+    a = np.zeros((len(edges), len(names)))
+    for n, (s, t, _, _, w) in enumerate(edges):
+        a[n, names.index(s)], a[n, names.index(t)] = -w, w
+    out = []
+    for k in (0, 1):
+        base = np.array([start[t][k] for t in names])
+        b = np.array([e[2 + k] * e[4] for e in edges]) - a @ base
+        out.append(base + np.linalg.lstsq(a, b, rcond=None)[0])  # the least move
+    return {t: (out[0][i] - out[0].min(), out[1][i] - out[1].min()) for i, t in enumerate(names)}
+
+
+def test_registration_equals_a_dense_solve(spark):
+    rng = np.random.default_rng(1)
+    start = {t: tuple(rng.uniform(0, 900, 2)) for t in range(14)}
+    start[99] = (2000.0, 50.0)  # no pair names it: it stays
+    edges = []
+    for _ in range(40):
+        s, t = (int(v) for v in rng.choice(10, 2, replace=False))
+        edges.append((s, t, *(np.subtract(start[t], start[s]) + rng.normal(0, 3, 2)), float(rng.uniform(0.06, 1))))
+    edges += [(10, 11, 500.0, 3.0, 0.5), (11, 12, 500.0, 3.0, 0.1), (12, 13, 400.0, -3.0, 0.9), (10, 12, 1010.0, 5.0, 0.8)]  # another component
+    edges = [(s, t, float(dx), float(dy), w) for s, t, dx, dy, w in edges]
+    weak = [(0, 13, 9e9, 9e9, 0.04)]  # below the least confidence
+    tiles = spark.createDataFrame([(t, *map(float, at)) for t, at in start.items()], "tile int, x0 double, y0 double")
+    offsets, report = registration.solved_offsets(spark.createDataFrame(edges + weak, "ta int, tb int, dx double, dy double, confidence double"), tiles)
+    want = dense_offsets(edges, start)
+    got = {r.tile: (r.x, r.y) for r in offsets.collect()}
+    assert got.keys() == want.keys() and report["used"] == len(edges)
+    # A component's mean is kept weighted alike by both only up to a shift of its own.
+    for group in (range(10), range(10, 14), [99]):
+        group = list(group)
+        shift = np.subtract(got[group[0]], want[group[0]])
+        assert all(np.allclose(np.subtract(got[t], want[t]), shift, atol=1e-5) for t in group)
+
+
+def test_registration_of_nothing(spark):
+    tiles = spark.createDataFrame([(1, 3.0, 4.0), (2, 5.0, 4.0)], "tile int, x0 double, y0 double")
+    offsets, report = registration.solved_offsets(spark.createDataFrame([], "ta int, tb int, dx double, dy double, confidence double"), tiles)
+    assert report["reliable"] == 0 and {r.tile: (r.x, r.y) for r in offsets.collect()} == {1: (0.0, 0.0), 2: (2.0, 0.0)}
+
+
+def test_registration_of_a_million_pairs(spark):
+    n, m = 60_000, 1_000_000
+    place = lambda t, k: F.pmod(F.xxhash64(F.col(t), F.lit(k)), F.lit(90_000)) / 7.0
+    edges = spark.range(m).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).alias("ta"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n)).alias("tb")).where("ta <> tb")
+    edges = edges.select("ta", "tb", *[(place("tb", k) - place("ta", k)).alias(f"d{a}") for k, a in enumerate("xy")], F.lit(0.5).alias("confidence"))
+    tiles = spark.range(n).withColumnRenamed("id", "tile")
+    offsets, report = registration.solved_offsets(edges, tiles, tolerance=1e-6)
+    assert report["used"] > 0.99 * m and report["residual_max"] < 1e-3
+    off = offsets.select((F.col("x") - place("tile", 0)).alias("e")).agg(F.max("e") - F.min("e")).first()[0]
+    assert off < 1e-2
+
+
+def test_placed_and_mirrored_strips(spark):
+    rng = np.random.default_rng(2)
+    world = image.blur(rng.normal(0, 1, (120, 200)), 1.0)
+    at = {0: (0, 0), 1: (0, 70), 2: (55, 0), 3: (55, 70)}
+    cut = lambda y, x: world[y : y + 65, x : x + 100]
+    rows = [(t, z, 65, 100, (cut(*p) * (1 + t) + 9).reshape(-1).tolist()) for t, p in at.items() for z in range(2)]
+    stack = spark.createDataFrame(rows, frames.FRAME)
+    schema = "tile int, tr int, tc int, x0 double, y0 double, w double, h double"
+    tiles = spark.createDataFrame([(t, y // 55, x // 70, float(x), float(y), 100.0, 65.0) for t, (y, x) in at.items()], schema)
+    got = mosaic.placement(stack, tiles).collect()
+    assert {(r.ta, r.tb, r.axis) for r in got} == {(0, 1, "x"), (2, 3, "x"), (0, 2, "y"), (1, 3, "y")} and all(r.agrees and r.z == 1 for r in got)
+    swapped = spark.createDataFrame([(t, 1 - y // 55, 1 - x // 70, float(70 - x), float(55 - y), 100.0, 65.0) for t, (y, x) in at.items()], schema)
+    assert all(r.ratio < 1 / 3 for r in mosaic.placement(stack, swapped).collect())
+    a, b = world[:20, :30], world[5:25, 4:34]
+    assert image.phase_peak(a, a) == pytest.approx(1, abs=0.02) and image.phase_peak(a, b) > 2 * image.phase_peak(a, world[60:80, 90:120])
+
+
+def test_cap_bootstrap(spark):
+    rng = np.random.default_rng(0)
+    noise = rng.normal(0, 3, 24)
+    rows = [(z, float(np.sqrt(1226**2 - (z * 10.6 - 1100) ** 2) + noise[z])) for z in range(24)]
+    rings = spark.createDataFrame(rows, "z int, radius double")
+    got = curves.cap_bootstrap(rings, 100.0).first()
+    again = curves.cap_bootstrap(rings.repartition(5), 100.0).first()
+    assert got == again and got.draws == 40 and got.n == 24 and 0 < got.radius_sd < 20 and 0 < got.spread_pct < 5
+    assert curves.cap_bootstrap(rings, 100.0, seed=1).first() != got and curves.cap_bootstrap(rings.where("z < 3"), 100.0).count() == 0
+    # The same draws by hand.
+    import hashlib
+
+    cz = []
+    for d in range(1, 41):
+        pick = [int(hashlib.md5(f"0:{d}:{s}".encode()).hexdigest()[:8], 16) % 24 for s in range(1, 25)]
+        z, r = np.array([rows[i] for i in pick]).T
+        slope, _ = np.polyfit(z * 10.6, r**2 + (z * 10.6) ** 2, 1)
+        cz.append(slope / 2)
+    assert got.cz_sd == pytest.approx(np.std(cz), rel=1e-6)
+
+
+def test_seed_axis_rules(spark):
+    rows = [(s, z, y, x, 10.0 if (abs(x - 8) < w and abs(y - 5) < w) else (x * 7 + y * 3) % 5 / 10) for s, w in ((0, 6), (1, 3)) for z in range(9) for y in range(16) for x in range(20)]
+    rows = [(s, z, y, x, -v if z >= 6 else v) for s, z, y, x, v in rows]  # below the sixth slice the picture is another
+    t = spark.createDataFrame(rows, "stack int, z int, y int, x int, v double")
+    canvases = spark.createDataFrame([(0, 80, 64), (1, 80, 64), (2, 10, 20)], "stack int, width int, height int")
+    got = {r.stack: r for r in registration.seed_axis(t, canvases).collect()}
+    assert got[0].cx == pytest.approx(32.0) and got[0].n == 6 * 11 * 11 and got[0].cy == pytest.approx(20.0)
+    assert (got[1].cx, got[1].cy, got[1].n) == (40.0, 32.0, 0) and (got[2].cx, got[2].cy) == (5.0, 10.0)
+    blocks = registration.block_means(spark.createDataFrame([(0, 0, y, x, float(y)) for y in range(9) for x in range(8)], "stack int, z int, y int, x int, v double"))
+    assert sorted((r.y, r.x, r.v) for r in blocks.collect()) == [(0, 0, 1.5), (0, 1, 1.5), (1, 0, 5.5), (1, 1, 5.5)]
+
+
 def test_cap_identity():
     d = Dome()
     height = d.radius - (d.cz - d.glass) * d.anisotropy

@@ -135,6 +135,12 @@ def sampled_slices(depth: int, n: int = 7) -> list[int]:
     return sorted({int(v) for v in np.rint(np.linspace(0, depth - 1, n))})
 
 
+def sampled(depths: DataFrame, depth: str, n: int = 7) -> DataFrame:
+    """``depths`` with a row for each of its evenly spaced slices ``z``, half-even, without repeats."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col(depth) - 1) / float(n - 1), 0).cast("int"))
+    return depths.withColumn("z", F.explode(F.array_distinct(places)))
+
+
 def composite(tile_pixels: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(cx, cy, v, n): feathered weighted mean on the canvas, truncated to 0 .. 255, and the coverage.
 

@@ -124,11 +124,6 @@ _SCALED = f"""a AS (SELECT *, px_um IS NOT NULL AND z_um IS NOT NULL AS calibrat
   0.55e0/(na*na) + px_um/na AS dof_um FROM {_ACQ} t(acq, px_um, z_um, na))"""
 
 
-@query(f"WITH {_SCALED} SELECT acq, calibrated, {_r('anisotropy','anisotropy',6)}, CASE WHEN calibrated THEN 'calibration' ELSE 'assumed' END AS scale_source, {_r('dof_um','dof_um',6)}, {_r('coalesce(dof_um/z_um, 3e0)','dof_slices',6)} FROM a")
-def depth_of_field(spark, sf):
-    return rounded(scalars.with_scales(acquisitions(spark)).select("acq", "calibrated", "anisotropy", "scale_source", "dof_um", "dof_slices"), 6)
-
-
 @query(_with(("v_objects",), f"""SELECT acq, obj, {_r('2*r','diameter_px')}, {_r('r/anisotropy','rz_slices')}, {_r('4.1887902047863905e0*r*r*(r/anisotropy)','volume_px3',3)},
   CAST(round_even(gz, 0) AS INT) AS best_slice, {_r('2*r*px','diameter_um')}, {_r('gz*zz','z_position_um')}, {_r('4.1887902047863905e0*r*r*(r/anisotropy)*px*px*zz','volume_um3',1)}
   FROM v_objects, (SELECT *, CASE WHEN calibrated THEN px_um END AS px, CASE WHEN calibrated THEN z_um END AS zz FROM a)""", _SCALED))
@@ -196,26 +191,12 @@ def progressive_reveal(spark, sf):
 # Filters.
 
 
-@query(_with(("v_objects",), "SELECT obj, r FROM v_objects WHERE r BETWEEN 4e0 AND 80e0 AND 0.5e0 + (obj % 50)/100e0 >= 0.55e0"))
-def size_shape_gate(spark, sf):
-    o = view(spark, sf, "v_objects").withColumn("circ", 0.5 + (F.col("obj") % 50) / F.lit(100.0))
-    return o.where(F.col("r").between(PAR.min_diameter_px / 2, PAR.max_diameter_px / 2) & (F.col("circ") >= PAR.min_circularity)).select("obj", "r")
-
-
 @query(_with(("v_sightings",), "SELECT tile, obj FROM v_sightings WHERE sharp >= 0.25e0 AND edge >= r + 2e0"))
 def focus_gate(spark, sf):
     s = matching.with_clipped(view(spark, sf, "v_sightings"))
     return s.where((F.col("sharp") >= PAR.min_sharpness) & ~F.col("clipped")).select("tile", "obj")
 
 
-@query("""WITH f AS (SELECT r_regionkey AS k, unnest(range(0, 60)) AS z FROM region), d AS (SELECT k, greatest(3, least(60, 40 + k - 3 + 1)) AS lim FROM (SELECT DISTINCT k FROM f))
-  SELECT f.k AS tile, count(*) AS n_slices FROM f JOIN d USING (k) WHERE z < lim GROUP BY 1""")
-def analysed_range(spark, sf):
-    f = table(spark, sf, "region").select(F.col("r_regionkey").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("z"))
-    limit = F.greatest(F.lit(3), F.least(F.lit(60), F.col("tile") + 40 - PAR.substrate_margin + 1))
-    return f.where(F.col("z") < limit).groupBy("tile").agg(F.count(F.lit(1)).alias("n_slices"))
-
-
 # Matching and the catalogue.
 
 _SEAM = """c AS (SELECT s.tile*10000000000 + s.obj AS sid, s.*, s.edge < s.r + 2e0 AS clipped FROM v_sightings s),
@@ -254,13 +235,6 @@ def assigned_matches(spark, sf):
     return rounded(_matched(spark, sf).select("ta", "tb", "sa", "sb", "cost"))
 
 
-@query()
-def assignment_conflicts(spark, sf):
-    """A crowded seam where the greedy choice and a cheaper, smaller matching are both wrong."""
-    rows = [(0, 1, 1, 1, 0.1), (0, 1, 1, 2, 0.2), (0, 1, 2, 1, 0.3), (0, 1, 3, 3, 0.5), (0, 1, 3, 4, 0.1), (0, 1, 4, 3, 0.1), (0, 1, 4, 4, 0.9), (0, 2, 5, 5, 0.7)]
-    return matching.assigned(spark.createDataFrame(rows, "ta int, tb int, sa long, sb long, cost double"))
-
-
 _SEAMS = """seams AS (SELECT p.ta, p.tb, coalesce(m.pairs,0) AS shared, CASE WHEN coalesce(n.n,0)=0 THEN 1e0 ELSE 2e0*coalesce(m.pairs,0)/n.n END AS match_rate, coalesce(m.residual,0e0) AS residual
   FROM v_pairs p LEFT JOIN (SELECT ta,tb,count(*) AS n FROM cand GROUP BY ALL) n USING (ta,tb) LEFT JOIN (SELECT ta,tb,count(*) AS pairs, median(lateral_px) AS residual FROM gate GROUP BY ALL) m USING (ta,tb))"""
 
@@ -479,11 +453,6 @@ def metadata_plane(spark, sf):
     return registration.metadata_plane(s)
 
 
-@query(_with(("v_pixels",), f"SELECT stack, {_r('avg(x)','cx')}, {_r('avg(y)','cy')}, count(*) AS n FROM v_pixels JOIN (SELECT stack, z, median(v) AS m, stddev_pop(v) AS s FROM v_pixels GROUP BY 1, 2) USING (stack, z) WHERE v > m + 0.8e0*s GROUP BY stack"))
-def seed_axis(spark, sf):
-    return rounded(registration.seed_axis(view(spark, sf, "v_pixels")))
-
-
 _OD = """od AS (SELECT stack, z, y, x, -ln(least(greatest((v+120e0)/130e0, 0.00392156862745098e0), 4e0)) AS od, y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 AS core FROM v_pixels)"""
 
 
@@ -686,15 +655,6 @@ def shift_votes(spark, sf):
     return rounded(registration.combined_shifts(_votes(spark, sf), PAR))
 
 
-@query()
-def register_solve(spark, sf):
-    """Offsets solved from pair offsets with known noise; the residuals are checked in the tests."""
-    t = view(spark, sf, "v_tiles")
-    a, b = t.select(F.col("tile").alias("ta"), F.col("x0").alias("ax"), F.col("y0").alias("ay")), t.select(F.col("tile").alias("tb"), F.col("x0").alias("bx"), F.col("y0").alias("by"))
-    edges = matching.neighbour_pairs(t).join(a, "ta").join(b, "tb").select("ta", "tb", (F.col("bx") - F.col("ax") + (F.col("ta") % 3 - 1) * 0.05).alias("dx"), (F.col("by") - F.col("ay")).alias("dy"), F.lit(0.8).alias("confidence"))
-    return rounded(registration.solved_offsets(edges, t, PAR)[0], 3)
-
-
 # Meshes, sorts, sets.
 
 
@@ -724,11 +684,6 @@ def top_largest(spark, sf):
     return view(spark, sf, "v_objects").select("obj", "r").orderBy(F.desc("r"), "obj").limit(4)
 
 
-@query("SELECT unnest([0, 8, 16, 24, 33, 41, 49]) AS z")
-def sampled_slices(spark, sf):
-    return spark.createDataFrame([(z,) for z in frames.sampled_slices(DEPTH)], "z int")
-
-
 @query(_with(("v_outlines",), "SELECT oid, " + ", ".join(f"round(max(r) FILTER (k={k}),3) AS r_{k:02d}" for k in range(48)) + " FROM v_outlines GROUP BY oid"))
 def outline_columns(spark, sf):
     held = view(spark, sf, "v_outlines").where("k < 48").groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("c"))
@@ -834,3 +789,6 @@ def view_names(spark, sf):
 def detection_shape(spark, sf):
     s = view(spark, sf, "v_outlines").groupBy("oid").agg(F.sum("r").alias("area"))
     return rounded(s.select("oid", scalars.circularity(F.col("area"), F.col("area") / 8).alias("circularity"), F.sqrt(F.col("area") / scalars.PI).alias("radius")))
+
+
+from . import scan_queries  # noqa: E402, F401  adds its queries

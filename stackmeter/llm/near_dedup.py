@@ -2,16 +2,18 @@
 
 Shingles are five normalised words (fewer, if the text has fewer).  A shingle weighs its
 count in the text times its inverse document frequency, ``1 + ln((1 + N) / (1 + df))``,
-df being the texts that have it.  A frequency of a few texts says little about how common a
+df being the rows that have it and N all rows, copies included, so that neither depends
+on how rows are laid out.  A frequency of a few rows says little about how common a
 shingle is, so each is drawn towards the mean ``m`` of the document's shared shingles, the
-more the fewer texts it rests on: ``m + (idf - m) * (df - 1) / (df - 1 + PRIOR)``.  A
-shingle of one text alone weighs ``m``.  (Without that, the edits of a copy in a large group
-would weigh several times what the group shares, and copies with a plain similarity of
-0.85 would fall below 0.8.)  The steps:
+more the fewer rows it rests on: ``m + (idf - m) * (df - 1) / (df - 1 + PRIOR)``.  A
+shingle of one row alone weighs ``m``.  (Without that, the edits of a copy in a large group
+would weigh several times what the group shares: with 2000 near copies among 50,000 rows
+an edit would weigh 2.6 times a common shingle, and copies with a plain similarity of 0.9
+would fall below 0.8.  The README has the figures against plain TF-IDF.)  The steps:
 
 1. Document frequencies.  Each task sorts the distinct shingle hashes of a chunk of
    documents and sends every bucket one packed blob of them; a bucket counts its
-   hashes and returns, packed by chunk, those in two or more documents.
+   hashes and returns, packed by chunk, those in two or more rows.
 2. All other shingles can match nothing, so they enter a document's vector as one
    private element of their summed weight, which leaves every weighted Jaccard
    similarity and every sampling probability as it is.  A document with less than
@@ -26,8 +28,8 @@ would weigh several times what the group shares, and copies with a plain similar
    a bucket ends in one class.
 6. Classes are the connected components of the verified links together with exact copies.
 
-Copies of one text are one representative (the least id) from step 4 on; those that stand in
-one batch of rows already before step 1.
+Copies of one text are one representative (the least id) from step 4 on.  Those that stand in
+one batch of rows go through step 1 once, with their number.
 
 Defined results: a null text is an empty one; texts without words are alike only if
 equal; rows that share an id share a class; a row without an id has no class and is
@@ -52,8 +54,8 @@ from . import textkernel as tk
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
-#: Texts that must share a shingle for its frequency to count half; steps on which ``m`` lies, so that weights recur.
-PRIOR, GRID = 10, 0.5
+#: Rows beyond the first that must share a shingle for its frequency to count half; steps on which ``m`` lies, so that weights recur.
+PRIOR, GRID = 3, 0.5
 #: Bytes of texts whose shingles one bucket counts.
 BUCKET_BYTES = 4_000_000
 SEED = 20_240_607
@@ -85,56 +87,60 @@ def _counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return d[first], k[first], np.diff(np.append(first, len(k)))
 
 
-def _distinct(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Of equal texts in a batch the row with the least id."""
+def _distinct(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Of equal texts in a batch the row with the least id, and how many rows it stands for."""
     ids = b.column(0).to_numpy(zero_copy_only=False)
     text = b.column(1).fill_null("").dictionary_encode().indices.to_numpy()
     order = np.lexsort((ids, text))
-    first = np.append(True, text[order][1:] != text[order][:-1])[: len(order)]
-    return b.take(pa.array(np.sort(order[first])))
+    first = np.flatnonzero(np.append(True, text[order][1:] != text[order][:-1])[: len(order)])
+    times = np.diff(np.append(first, len(order)))
+    place = np.argsort(order[first])
+    return b.take(pa.array(order[first][place])), times[place]
 
 
 def _blobs(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, docs, sizes, index, low, high, tf): packed shingle hashes of a chunk of documents.
+    """(bucket, chunk, docs, sizes, index, low, high, tf, many): packed shingle hashes of a chunk of documents.
 
-    One row of each chunk has its document ids and numbers of shingles; the others point into it.
+    One row of each chunk has its document ids and numbers of shingles; the others point into it.  ``many`` has the rows
+    that an entry's text stands for, if one stands for more than itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for b in batches:
-            b = _distinct(b)
+            b, many = _distinct(b)
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for c in tk.chunks(b.column(1), lower=True, accept=tk.NORMAL):
                 doc, h = shingles(c)
                 total = np.bincount(doc, minlength=len(c.rows)).astype(np.uint32)
                 d, k, tf = _counted(doc, h)
-                bucket = ((k >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+                bucket = ((k * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+                rows_of = many[c.rows].astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 wide = np.uint32 if len(c.rows) > 65535 else np.uint16
-                rows = [(chunk % buckets, chunk, ids[c.rows].tobytes(), total.tobytes(), b"", b"", b"", b"")]
+                rows = [(chunk % buckets, chunk, ids[c.rows].tobytes(), total.tobytes(), b"", b"", b"", b"", b"")]
                 for x in np.flatnonzero(np.diff(edges)).tolist():
                     part = order[edges[x] : edges[x + 1]]
                     low = k[part] & _LOW
                     counts = b"" if (tf[part] == 1).all() else tf[part].astype(np.uint32).tobytes()
-                    rows.append((x, chunk, b"", b"", d[part].astype(wide).tobytes(), (low & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint16).tobytes(), counts))
+                    rows.append((x, chunk, b"", b"", d[part].astype(wide).tobytes(), (low & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint16).tobytes(), counts, rows_of[d[part]].tobytes() if (rows_of > 1).any() else b""))
                 chunk += 1
-                cols = list(zip(*rows, strict=True)) or [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64())] + [pa.array(x, pa.binary()) for x in cols[2:]], ["bucket", "chunk", "docs", "sizes", "index", "low", "high", "tf"])
+                cols = list(zip(*rows, strict=True)) or [()] * 9
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())] + [pa.array(x, pa.binary()) for x in cols[2:]], ["bucket", "chunk", "docs", "sizes", "index", "low", "high", "tf", "many"])
 
     known = storage.text_batches(docs).where(F.col("doc_id").isNotNull())
-    return known.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket int, chunk long, docs binary, sizes binary, index binary, low binary, high binary, tf binary")
+    return known.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, chunk long, docs binary, sizes binary, index binary, low binary, high binary, tf binary, many binary")
 
 
 def _unpack(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per entry of some blobs: hash, count, and the number of the blob; the rest stays packed."""
-    low, tf, size = [], [], []
-    for _, _, _, _, lo, hi, counts in parts:
+    """Per entry of some blobs the hash and the rows it stands for, and where each blob begins; the rest stays packed."""
+    low, many, size = [], [], []
+    for _, _, _, _, lo, hi, _, times in parts:
         low.append(np.frombuffer(lo, dtype=np.uint32).astype(np.uint64) | np.frombuffer(hi, dtype=np.uint16).astype(np.uint64) << np.uint64(32))
-        tf.append(np.frombuffer(counts, dtype=np.uint32) if counts else np.ones(len(low[-1]), dtype=np.uint32))
+        many.append(np.frombuffer(times, dtype=np.uint32) if times else np.ones(len(low[-1]), dtype=np.uint32))
         size.append(len(low[-1]))
-    return np.concatenate(low), np.concatenate(tf), np.append(0, np.cumsum(size))
+    return np.concatenate(low), np.concatenate(many), np.append(0, np.cumsum(size))
 
 
 def _index(packed: bytes, entries: int) -> np.ndarray:
@@ -142,19 +148,20 @@ def _index(packed: bytes, entries: int) -> np.ndarray:
 
 
 def _shared(blobs: DataFrame) -> DataFrame:
-    """(chunk, bucket, docs, sizes, index, low, high, df, tf): packed entries of shingles that two or more documents have."""
+    """(chunk, bucket, docs, sizes, index, low, high, df, tf): packed entries of shingles that two or more rows have."""
     names = ["chunk", "bucket", "docs", "sizes", "index", "low", "high", "df", "tf"]
 
     def count(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
-        low, tf, edges = _unpack(parts)
+        low, many, edges = _unpack(parts)
         order = np.argsort(low, kind="stable")
         k = low[order]
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, dtype=np.int64)
         times = np.diff(np.append(first, len(k)))
-        df = np.empty(len(k), dtype=np.uint32)
-        df[order] = np.repeat(times, times)
+        df = np.empty(len(k), dtype=np.int64)
+        if len(k):
+            df[order] = np.repeat(np.add.reduceat(many[order].astype(np.int64), first), times)
         rows = []
-        for n, (chunk, docs, sizes, index, lo, hi, counts) in enumerate(parts):
+        for n, (chunk, docs, sizes, index, lo, hi, counts, _) in enumerate(parts):
             if docs:
                 rows.append((chunk, bucket, docs, sizes, b"", b"", b"", b"", b""))
                 continue
@@ -162,14 +169,14 @@ def _shared(blobs: DataFrame) -> DataFrame:
             keep = df[own] > 1
             if keep.any():
                 kept = [np.frombuffer(x, dtype=t)[keep].tobytes() for x, t in ((lo, np.uint32), (hi, np.uint16))]
-                rows.append((chunk, bucket, b"", b"", _index(index, len(keep))[keep].tobytes(), *kept, df[own][keep].tobytes(), tf[own][keep].tobytes() if counts else b""))
+                rows.append((chunk, bucket, b"", b"", _index(index, len(keep))[keep].tobytes(), *kept, np.minimum(df[own][keep], 2**32 - 1).astype(np.uint32).tobytes(), np.frombuffer(counts, dtype=np.uint32)[keep].tobytes() if counts else b""))
         cols = list(zip(*rows, strict=True)) or [()] * 9
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32())] + [pa.array(x, pa.binary()) for x in cols[2:]], names)
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())] + [pa.array(x, pa.binary()) for x in cols[2:]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts = -1, []
         for b in batches:
-            for row in zip(*(b.column(j).to_pylist() for j in range(8)), strict=True):
+            for row in zip(*(b.column(j).to_pylist() for j in range(9)), strict=True):
                 if row[0] != bucket and parts:
                     yield count(bucket, parts)
                     parts = []
@@ -178,7 +185,7 @@ def _shared(blobs: DataFrame) -> DataFrame:
         if parts:
             yield count(bucket, parts)
 
-    return blobs.mapInArrow(run, "chunk long, bucket int, docs binary, sizes binary, index binary, low binary, high binary, df binary, tf binary")
+    return blobs.mapInArrow(run, "chunk long, bucket long, docs binary, sizes binary, index binary, low binary, high binary, df binary, tf binary")
 
 
 def _entries(rows: list[dict]) -> tuple[np.ndarray, ...]:
@@ -192,7 +199,8 @@ def _entries(rows: list[dict]) -> tuple[np.ndarray, ...]:
         df.append(np.frombuffer(r["df"], dtype=np.uint32).astype(np.float64))
         at.append(_index(r["index"], len(df[-1])).astype(np.int64))
         high = np.frombuffer(r["high"], dtype=np.uint16).astype(np.uint64) << np.uint64(32)
-        h.append(np.frombuffer(r["low"], dtype=np.uint32).astype(np.uint64) | high | np.uint64(r["bucket"]) << np.uint64(48))
+        # 48 bits tell a bucket's shingles apart, with the bucket's number all of them.
+        h.append(tk.mix((np.frombuffer(r["low"], dtype=np.uint32).astype(np.uint64) | high) + tk.mix(np.array([r["bucket"]], dtype=np.uint64) + np.uint64(1))))
         tf.append(np.frombuffer(r["tf"], dtype=np.uint32).astype(np.float64) if r["tf"] else np.ones(len(df[-1])))
     at, h, df, tf = (np.concatenate(x) for x in (at, h, df, tf))
     order = np.argsort(at, kind="stable")
@@ -200,13 +208,13 @@ def _entries(rows: list[dict]) -> tuple[np.ndarray, ...]:
     return docs[at], sizes[at], h[order], df[order], tf[order], at
 
 
-def idf(df: np.ndarray, n_texts: int) -> np.ndarray:
-    return 1 + np.log((1 + n_texts) / (1 + np.minimum(df, n_texts)))
+def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return 1 + np.log((1 + n_docs) / (1 + np.minimum(df, n_docs)))
 
 
-def weights(tf: np.ndarray, df: np.ndarray, n_texts: int) -> tuple[np.ndarray, float]:
-    """Weights of a text's shared shingles, and what one that no other text has weighs."""
-    plain = idf(df, n_texts)
+def weights(tf: np.ndarray, df: np.ndarray, n_docs: int) -> tuple[np.ndarray, float]:
+    """Weights of a document's shared shingles, and what one that no other row has weighs."""
+    plain = idf(df, n_docs)
     mean = max(GRID, round(float((tf * plain).sum() / max(tf.sum(), 1)) / GRID) * GRID)
     return tf * (mean + (plain - mean) * (df - 1) / (df - 1 + PRIOR)), mean
 
@@ -236,12 +244,12 @@ def samples(h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _vectors(shared: DataFrame, n_texts: int) -> DataFrame:
+def _vectors(shared: DataFrame, n_docs: int) -> DataFrame:
     """(doc_id, total, hashes, weights, keys, order) of documents with enough shared weight."""
     fields = "doc_id long, total double, hashes binary, weights binary, keys array<long>, order array<long>"
 
     def vector(doc: int, size: int, h: np.ndarray, df: np.ndarray, tf: np.ndarray) -> tuple | None:
-        w, one = weights(tf, df, n_texts)
+        w, one = weights(tf, df, n_docs)
         alone = (size - tf.sum()) * one
         total = float(w.sum() + alone)
         if w.sum() < THRESHOLD * total * (1 - 1e-9):
@@ -472,13 +480,12 @@ def classes(docs: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     copies = storage.materialise(representatives(docs), "copies")
-    n_docs, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n_texts = max(1, n_docs - copies.count())
+    n_docs, size = docs.agg(F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blobs = _blobs(docs, max(1, -(-size // BUCKET_BYTES))).repartition("bucket").sortWithinPartitions("bucket")
     packed = storage.new_path(spark, "shared")
     shared = storage.materialise(_shared(blobs), "shared", packed)
     storage.release(spark)
-    vectors = storage.materialise(_vectors(shared, n_texts).join(copies.select("doc_id"), "doc_id", "left_anti"), "vectors")
+    vectors = storage.materialise(_vectors(shared, max(1, n_docs)).join(copies.select("doc_id"), "doc_id", "left_anti"), "vectors")
     storage.drop(spark, packed)
     storage.release(spark)
     bands = _bands(vectors)

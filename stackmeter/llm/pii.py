@@ -2,7 +2,8 @@
 
 Base spans are exact patterns.  Beside them, generators of high recall propose spans
 that may overlap; gradient-boosted trees score each from its format and context, and a
-threshold for each generator, calibrated on held-out examples, selects what is added.
+threshold for each generator, calibrated on held-out examples, selects what is added: half
+way between the two kinds where they part, else the least at which precision is kept.
 The trees are fitted at the first call on ``SAMPLE`` made-up examples (a fixed number)
 and become SQL expressions: on the executors everything is built-in Spark functions,
 row by row, without a shuffle.
@@ -161,8 +162,12 @@ def examples(n: int = SAMPLE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             match = mark.join(c[i : i + 4] for i in range(0, 16, 4))
         elif g == 3:
             match = pick([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)} {num(3)} {num(4)}"]) if good else pick([f"{num(6)}-{num(4)}", f"{num(6)}.{num(4)}", f"{pick('0123') * 3}-{pick('0123') * 3}-{num(4)}"])
+        elif good:
+            match = pick([f"00{rng.randint(1, 9)}{num(1)} {num(3)} {num(3)} {num(3)}", f"00{rng.randint(1, 9)}{num(1)}-{num(3)}-{num(4)}", f"00{rng.randint(1, 9)}{num(1)} ({num(2)}) {num(4)} {num(3)}"])
         else:
-            match = f"00{rng.randint(1, 9)}{num(1)} {num(3)} {num(3)} {num(3)}" if good else f"00{rng.randint(1, 9)}{pick(['...', '---', '. . .'])}{num(4)}{'.' * rng.randint(1, 3)}{num(1)}"
+            # Runs of digits as junk prose and part numbers have them, and dotted fillers.
+            match = pick([f"00{rng.randint(1, 9)}{num(rng.randint(8, 17))}", f"00{rng.randint(1, 9)}{pick(['...', '---', '. . .'])}{num(4)}{'.' * rng.randint(1, 3)}{num(1)}"])
+            before = pick([before, idle, word() + " "])
         xs.append(features(g, match, before[-24:], after))
         ys.append(float(good))
     return np.array(xs), np.array(ys)
@@ -192,7 +197,7 @@ def _leaf(tree, row: np.ndarray) -> float:
 
 @lru_cache(maxsize=1)
 def model() -> tuple[list, list[float]]:
-    """The trees, and for each generator the least score at which held-out precision is ``PRECISION``."""
+    """The trees, and for each generator the score from which a proposal is added."""
     x, y = examples()
     half = len(y) // 2
     score, trees = np.zeros(half), []
@@ -209,7 +214,9 @@ def model() -> tuple[list, list[float]]:
         right = np.cumsum(good[order]) / np.arange(1, len(order) + 1)
         ends = np.append(s[order][1:] < s[order][:-1], True)  # a threshold takes all of equal scores
         ok = np.flatnonzero((right >= PRECISION) & ends)
-        limits.append(round(float(s[order][ok[-1]]), 6) if len(ok) else 1e9)
+        limit = float(s[order][ok[-1]]) if len(ok) else 1e9
+        worst, best = s[good > 0].min(initial=np.inf), s[good == 0].max(initial=-np.inf)
+        limits.append(round((worst + best) / 2 if -np.inf < best < worst < np.inf else limit, 6))
     return trees, limits
 
 

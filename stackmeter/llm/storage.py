@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,28 +14,36 @@ __all__ = ["alone", "drop", "fields_of", "materialise", "new_path", "release", "
 
 #: Rows that go to a Python worker at a time: four times ten thousand texts, in Spark and in Python, fill an executor.
 ROWS, _ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Paths of the tables that the running operators have made.
-_MADE: list[list[str]] = []
+
+
+class _Made(threading.local):
+    """Paths of the tables that the operators running in this thread have made, the innermost operator's last."""
+
+    def __init__(self) -> None:
+        self.paths: list[list[str]] = []
+
+
+_MADE = _Made()
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or new_path(df.sparkSession, name)
-    if _MADE:
-        _MADE[-1].append(path)
+    if _MADE.paths:
+        _MADE.paths[-1].append(path)
     return _base.materialise(df, name, path)
 
 
 def alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The result of ``make`` as a table, without the tables that were made on the way."""
     path = new_path(spark, name)
-    _MADE.append([])
+    _MADE.paths.append([])
     try:
         out = _base.materialise(make(), name, path)
     finally:
-        for p in _MADE.pop():
+        for p in _MADE.paths.pop():
             drop(spark, p)
-    if _MADE:
-        _MADE[-1].append(path)
+    if _MADE.paths:
+        _MADE.paths[-1].append(path)
     return out
 
 

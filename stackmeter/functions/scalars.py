@@ -33,6 +33,14 @@ def with_scales(df: DataFrame, a: Acquisition = Acquisition()) -> DataFrame:
     return df.withColumns(_scales(F.col("px_um"), F.col("z_um"), F.col("na"), a))
 
 
+def with_calibration(df: DataFrame, **given: float) -> DataFrame:
+    """Recorded scales overridden by a user's: px_um, z_um or na; ``px_source`` and ``z_source`` then say ``user`` (L)."""
+    if unknown := set(given) - {"px_um", "z_um", "na"}:
+        raise ValueError(f"no such scales: {sorted(unknown)}")
+    named = {c: F.lit("user") for c, of in (("px_source", "px_um"), ("z_source", "z_um")) if of in given}
+    return df.withColumns({k: F.lit(v).cast("double") for k, v in given.items()} | named)
+
+
 def scales(a: Acquisition) -> dict[str, Column]:
     """The same of one acquisition, as constants."""
     return _scales(*[F.lit(v).cast("double") for v in (a.px_um, a.z_um, a.na)], a)

@@ -120,6 +120,17 @@ def recall(objects: DataFrame) -> DataFrame:
     return seen.select(F.coalesce("once", F.lit(0)).alias("once"), F.coalesce("twice", F.lit(0)).alias("twice"), F.when(F.col("twice") >= 10, F.lit(2.0) / (F.col("once") / F.col("twice") + 2)).alias("implied_recall"))
 
 
+def subset(objects: DataFrame, tiles: list[int] | None = None, sources: list[str] | None = None) -> DataFrame:
+    """Objects of some fields and detectors; None stands for all of them."""
+    out = objects if tiles is None else objects.where(F.col("tile").isin(tiles))
+    return out if sources is None else out.where(F.col("source").isin(sources))
+
+
+def source_counts(objects: DataFrame) -> DataFrame:
+    """(source, n): how many objects each detector gave."""
+    return objects.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 def run_summary(objects: DataFrame) -> DataFrame:
     """Counts, quartiles of the diameter, depth range and volume of a run."""
     d = 2 * F.col("r")

@@ -18,9 +18,6 @@ from ..storage import materialise
 from ..functions import scalars
 from ..functions.scalars import edge_distance, inside_tile
 
-#: Tiles are one scan's grid; above this many rows the point-in-tile join is binned.
-SMALL_TILES = 10_000
-
 
 def neighbour_pairs(tiles: DataFrame) -> DataFrame:
     """(ta, tb, axis): each tile with its right and its lower neighbour."""
@@ -69,8 +66,8 @@ def with_clipped(sightings: DataFrame, p: Params = Params()) -> DataFrame:
 def seam_candidates(sightings: DataFrame, tiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ta, tb, side, sid, ...): sightings of one tile that lie in the other tile of a seam."""
     box = lambda t: tiles.select(F.col("tile").alias(t), "x0", "y0", "w", "h")
-    a = sightings.join(F.broadcast(pairs.select("ta", "tb").join(box("tb"), "tb")), F.col("tile") == F.col("ta")).withColumn("side", F.lit("a"))
-    b = sightings.join(F.broadcast(pairs.select("ta", "tb").join(box("ta"), "ta")), F.col("tile") == F.col("tb")).withColumn("side", F.lit("b"))
+    a = sightings.join(pairs.select("ta", "tb").join(box("tb"), "tb"), F.col("tile") == F.col("ta")).withColumn("side", F.lit("a"))
+    b = sightings.join(pairs.select("ta", "tb").join(box("ta"), "ta"), F.col("tile") == F.col("tb")).withColumn("side", F.lit("b"))
     return a.unionByName(b).where(inside_tile(F.col("x"), F.col("y"))).drop("x0", "y0", "w", "h")
 
 

@@ -26,13 +26,14 @@ def spheroid_faces(objects: DataFrame, n_theta: int = 64, n_phi: int = 8) -> Dat
     return grid.select("oid", "j", "k", F.explode(two).alias("f")).select("oid", ((F.col("j") * n_theta + F.col("k")) * 2 + F.col("f.t")).cast("int").alias("fid"), "f.a", "f.b", "f.c")
 
 
-def cap_vertices(spark, cx: float, cy: float, cz: float, radius: float, contact: float, anisotropy: float, n_ring: int = 8, n_theta: int = 24) -> DataFrame:
-    """(ring, k, x, y, z): rings of a spherical cap from its apex to the contact circle."""
-    rho = F.lit(contact / n_ring) * F.col("ring")
-    theta = F.col("k") * (2 * math.pi / n_theta)
-    grid = spark.range(0, (n_ring + 1) * n_theta).select(F.expr(f"cast(id div {n_theta} as int)").alias("ring"), F.expr(f"cast(id % {n_theta} as int)").alias("k"))
-    z = F.lit(cz) - F.sqrt(F.greatest(F.lit(radius**2) - rho * rho, F.lit(0.0))) / anisotropy
-    return grid.select("ring", "k", (F.lit(cx) + rho * F.cos(theta)).alias("x"), (F.lit(cy) + rho * F.sin(theta)).alias("y"), z.alias("z"))
+def cap_vertices(caps: DataFrame, n_ring: int = 8, n_theta: int = 24) -> DataFrame:
+    """``caps`` (any keys, cx, cy, cz, radius, contact, anisotropy) as (keys, ring, k, x, y, z): rings from each apex to its contact circle."""
+    shape = ("cx", "cy", "cz", "radius", "contact", "anisotropy")
+    keys = [c for c in caps.columns if c not in shape]
+    grid = caps.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_ring))).alias("ring")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_theta - 1))).alias("k"))
+    rho, theta = F.col("contact") / n_ring * F.col("ring"), F.col("k") * (2 * math.pi / n_theta)
+    z = F.col("cz") - F.sqrt(F.greatest(F.col("radius") * F.col("radius") - rho * rho, F.lit(0.0))) / F.col("anisotropy")
+    return grid.select(*keys, "ring", "k", (F.col("cx") + rho * F.cos(theta)).alias("x"), (F.col("cy") + rho * F.sin(theta)).alias("y"), z.alias("z"))
 
 
 def with_vertex_base(sizes: DataFrame) -> DataFrame:

@@ -84,13 +84,13 @@ def registered(stack: DataFrame, tiles: DataFrame, p: Params = Params()) -> tupl
     offsets, report = registration.solved_offsets(edges, tiles, p)
     if not report["reliable"]:
         return tiles.withColumn("offset_source", F.lit("stage")), report
-    moved = tiles.drop("x0", "y0").join(F.broadcast(offsets.withColumnsRenamed({"x": "x0", "y": "y0"})), "tile")
+    moved = tiles.drop("x0", "y0").join(offsets.withColumnsRenamed({"x": "x0", "y": "y0"}), "tile")
     return moved.withColumn("offset_source", F.lit("registered")), report
 
 
 def sightings(objects: DataFrame, tiles: DataFrame) -> DataFrame:
     """Objects of all fields in mosaic coordinates, with their distance to the field's edge (DM15)."""
-    at = objects.join(F.broadcast(tiles.select("tile", "x0", "y0", "w", "h")), F.col("stack") == F.col("tile"))
+    at = objects.join(tiles.select("tile", "x0", "y0", "w", "h"), F.col("stack") == F.col("tile"))
     edge = F.least(F.col("x"), F.col("w") - F.col("x"), F.col("y"), F.col("h") - F.col("y"))
     return at.select("tile", F.col("oid").alias("obj"), (F.col("x") + F.col("x0")).alias("x"), (F.col("y") + F.col("y0")).alias("y"), "z", "r", "sharp", "profile", edge.alias("edge"))
 

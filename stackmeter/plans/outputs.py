@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..storage import fields_of
 
 LEAD = ["uid", "oid", "stack", "tile", "source"]
-MICROMETRES = ["diameter_um", "z_position_um", "volume_um3"]
+MICROMETRES = ["x_um", "y_um", "z_um", "radius_um", "diameter_um", "radius_z_um", "area_um2", "volume_um3", "dome_distance_um", "z_position_um"]
 # The curated feature columns, in order.
 CURATED = (
     "uid tile x_mosaic_px y_mosaic_px z_slice appearance_measurable background_clipped_frac focus_sharpness clipped rim_minus_core_od core_rim_separation core_fill_fraction "
@@ -136,3 +136,39 @@ def without_empty_columns(df: DataFrame) -> DataFrame:
     """Columns that are null in every row are left out: what could not be measured is absent, not zero."""
     counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns]).first()
     return df.select(*[c for c in df.columns if counts[c]])
+
+
+# What a payload leaves out, as it follows from other columns or no reader shows it.
+REDUNDANT = ("radial_profile_um", "outlines_px", "z_extent_slices")
+
+
+def trimmed(matrix: DataFrame) -> DataFrame:
+    """A feature matrix as a viewer gets it: without ``REDUNDANT``, numbers to four places, outlines to one, half-even."""
+    kinds = dict(matrix.dtypes)
+    places = lambda c: F.transform(c, lambda v: F.bround(v, 1)) if kinds[c] == "array<double>" else F.bround(c, 4) if kinds[c] == "double" else F.col(c)
+    return matrix.select(*[places(c).alias(c) for c in matrix.columns if c not in REDUNDANT])
+
+
+def data_uri(content: Column, kind: str) -> Column:
+    """Bytes as a link that carries them."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
+
+
+def build_stamp(at: Column) -> Column:
+    """A moment as a build stamp, to the minute, in UTC; a timestamp without a zone is taken as UTC."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm 'UTC'")
+
+
+def payload_lines(matrix: DataFrame, tiles: DataFrame, meta: DataFrame) -> DataFrame:
+    """(part, n, line): JSON of a run's payload, the one row of ``meta`` first, then tiles, then objects in order (M).
+
+    A line an object, so that no task or driver holds them all.
+    """
+    text = lambda df: F.to_json(F.struct(*df.columns))
+    small = trimmed(matrix)
+    parts = [
+        meta.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("n"), text(meta).alias("line")),
+        tiles.select(F.lit(2).alias("part"), F.col("tile").cast("long").alias("n"), text(tiles).alias("line")),
+        small.select(F.lit(3).alias("part"), F.col("uid").cast("long").alias("n"), text(small).alias("line")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).repartitionByRange("part", "n").sortWithinPartitions("part", "n")

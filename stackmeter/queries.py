@@ -226,8 +226,9 @@ def seam_candidates(spark, sf):
 @query(_with(_SV, f"SELECT ta, tb, sa, sb, {_r('lateral_px','lateral_px')}, {_r('axial_slices','axial_slices')}, {_r('cost','cost')} FROM gate", _SEAM))
 def gated_matches(spark, sf):
     t = view(spark, sf, "v_tiles")
-    c = matching.seam_candidates(_sightings(spark, sf), t, matching.neighbour_pairs(t))
-    return rounded(matching.gated_pairs(c, cat.reach(c, PAR), PAR, ACQ))
+    s = _sightings(spark, sf)
+    c = matching.seam_candidates(s, t, matching.neighbour_pairs(t))
+    return rounded(matching.gated_pairs(c, cat.reach(s, PAR), PAR, ACQ))
 
 
 @query(_with(_SV, f"SELECT ta, tb, sa, sb, {_r('cost','cost')} FROM gate", _SEAM))
@@ -319,7 +320,14 @@ def _crowded(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("sid", "tile", (F.col("x") / 20.0).alias("x"), (F.col("y") / 20.0).alias("y"), (F.col("z") / 4.0).alias("z"), "r", "sharp")
 
 
-@query()
+# Tile by tile in order of sharpness: a sighting stays if none that has stayed stands before it within reach.
+_GREEDY = """cr AS (SELECT tile*10000000000 + obj AS sid, tile, x/20e0 AS x, y/20e0 AS y, z/4e0 AS z, r, sharp FROM v_sightings), ra AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY sharp DESC, sid) AS n FROM cr),
+ cf AS (SELECT b.sid, list(a.sid) AS others FROM ra a JOIN ra b ON a.tile = b.tile AND a.n < b.n AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) < 0.5e0*greatest(a.r, b.r) AND abs(a.z-b.z)*2.65e0 < greatest(8.639e0, 0.6e0*greatest(a.r, b.r)) GROUP BY b.sid),
+ rc AS (SELECT ra.tile, n, ra.sid, coalesce(others, CAST([] AS BIGINT[])) AS others FROM ra LEFT JOIN cf USING (sid)),
+ it AS (SELECT DISTINCT tile, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM ra UNION ALL SELECT it.tile, rc.n, CASE WHEN list_has_any(kept, others) THEN kept ELSE list_append(kept, rc.sid) END FROM it JOIN rc ON rc.tile = it.tile AND rc.n = it.n + 1)"""
+
+
+@query(_with(("v_sightings",), "SELECT unnest(kept) AS sid, tile FROM it QUALIFY row_number() OVER (PARTITION BY tile ORDER BY n DESC) = 1", _GREEDY))
 def nms_dedup(spark, sf):
     s = _crowded(spark, sf)
     return matching.greedy_suppression(s, matching.suppression_conflicts(s, 2.65, 3.26, 20.0)).select("sid", "tile")
@@ -525,12 +533,39 @@ def glcm_core_d4(spark, sf):
     return rounded(curves.glcm(_grey(spark, sf), 4), 7)
 
 
-@query()
+def _patterns() -> str:
+    """CTEs of uniform local binary patterns: eight points two pixels away, bilinear, nothing outside the frame."""
+    at = [(round(-2 * math.sin(2 * math.pi * k / 8), 5), round(2 * math.cos(2 * math.pi * k / 8), 5)) for k in range(8)]
+    points = " UNION ALL ".join(f"SELECT {k} AS k, CAST({math.floor(dy)} AS INT) AS oy, CAST({math.floor(dx)} AS INT) AS ox, {dy - math.floor(dy)!r}e0 AS fy, {dx - math.floor(dx)!r}e0 AS fx" for k, (dy, dx) in enumerate(at))
+    corner = lambda j, i: f"coalesce(c{j}{i}.v, 0e0)"
+    joins = " ".join(f"LEFT JOIN v_pixels c{j}{i} ON c{j}{i}.stack = p.stack AND c{j}{i}.z = p.z AND c{j}{i}.y = p.y + oy + {j} AND c{j}{i}.x = p.x + ox + {i}" for j in (0, 1) for i in (0, 1))
+    value = f"(1-fy)*((1-fx)*{corner(0, 0)} + fx*{corner(0, 1)}) + fy*((1-fx)*{corner(1, 0)} + fx*{corner(1, 1)})"
+    return f"""pk AS ({points}), bt AS (SELECT p.stack, p.z, p.y, p.x, k, CASE WHEN {value} >= p.v THEN 1 ELSE 0 END AS b FROM v_pixels p, pk {joins}),
+ cd AS (SELECT stack, z, y, x, CASE WHEN sum(CASE WHEN b <> b2 THEN 1 ELSE 0 END) <= 2 THEN sum(b) ELSE 9 END AS bin FROM (SELECT bt.*, coalesce(lag(b) OVER w, last_value(b) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS b2 FROM bt WINDOW w AS (PARTITION BY stack, z, y, x ORDER BY k)) GROUP BY ALL)"""
+
+
+@query(_with(("v_pixels",), f"SELECT f.stack, f.z, CAST(g.bin AS INT) AS bin, {_r('coalesce(n, 0)/64e0', 'share')} FROM (SELECT DISTINCT stack, z FROM v_pixels) f, (SELECT unnest(range(0, 10)) AS bin) g LEFT JOIN (SELECT stack, z, bin, count(*) AS n FROM cd GROUP BY ALL) c ON c.stack = f.stack AND c.z = f.z AND c.bin = g.bin", _patterns()))
 def lbp_core(spark, sf):
     return rounded(curves.lbp_histogram(_frames(spark, sf)))
 
 
-@query()
+def _plane_rounds(rounds: int = 3) -> str:
+    """CTEs of a plane's trimmed least squares: moments of what is kept, Cramer's rule, robust deviations of all points."""
+    out = ["k0 AS (SELECT *, true AS keep FROM v_pixels)"]
+    for i in range(rounds):
+        out += [
+            f"m{i} AS (SELECT stack, z, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x*x) AS sxx, sum(x*y) AS sxy, sum(y*y) AS syy, sum(v) AS sv, sum(x*v) AS sxv, sum(y*v) AS syv FROM k{i} WHERE keep GROUP BY ALL)",
+            f"d{i} AS (SELECT *, n*(sxx*syy - sxy*sxy) - sx*(sx*syy - sxy*sy) + sy*(sx*sxy - sxx*sy) AS det FROM m{i})",
+            f"c{i} AS (SELECT stack, z, (sv*(sxx*syy - sxy*sxy) - sx*(sxv*syy - sxy*syv) + sy*(sxv*sxy - sxx*syv))/det AS a, (n*(sxv*syy - sxy*syv) - sv*(sx*syy - sxy*sy) + sy*(sx*syv - sxv*sy))/det AS b, (n*(sxx*syv - sxv*sxy) - sx*(sx*syv - sxv*sy) + sv*(sx*sxy - sxx*sy))/det AS c FROM d{i})",
+            f"e{i} AS (SELECT k.stack, k.z, k.y, k.x, k.v, v - a - b*x - c*y AS e FROM k{i} k JOIN c{i} USING (stack, z))",
+            f"f{i} AS (SELECT stack, z, median(e) AS mid FROM e{i} GROUP BY ALL)",
+            f"g{i} AS (SELECT stack, z, median(abs(e - mid)) AS mad FROM e{i} JOIN f{i} USING (stack, z) GROUP BY ALL)",
+            f"k{i + 1} AS (SELECT stack, z, y, x, v, abs(e) < 2.5e0*(1.4826e0*mad + 1e-6) AS keep FROM e{i} JOIN g{i} USING (stack, z))",
+        ]
+    return ", ".join(out)
+
+
+@query(_with(("v_pixels",), f"SELECT stack, z, {_r('a', 'level')}, {_r('b', 'slope_x')}, {_r('c', 'slope_y')}, CAST(count(*) FILTER (keep) AS INT) AS kept, {_r('avg(CASE WHEN v >= 254.5e0 THEN 1e0 ELSE 0e0 END)', 'clipped')} FROM k3 JOIN c2 USING (stack, z) GROUP BY stack, z, a, b, c", _plane_rounds()))
 def plane_background(spark, sf):
     return rounded(curves.plane_background(view(spark, sf, "v_pixels")))
 
@@ -605,7 +640,14 @@ def harmonics(spark, sf):
     return rounded(curves.harmonics(view(spark, sf, "v_outlines")), 6)
 
 
-@query()
+# An ordered pair of corners is an edge of the hull if no corner lies to its right.
+_HULL = f"""pt AS (SELECT oid, k, r, r*cos(k*{_STEP}e0) AS x, r*sin(k*{_STEP}e0) AS y FROM v_outlines), nx AS (SELECT a.*, b.r AS r2, b.x AS x2, b.y AS y2 FROM pt a JOIN pt b ON a.oid = b.oid AND b.k = (a.k + 1) % 64),
+ own AS (SELECT oid, {0.5 * math.sin(2 * math.pi / 64)!r}e0*sum(r*r2) AS area, sum(sqrt((x2-x)*(x2-x) + (y2-y)*(y2-y))) AS per, stddev_pop(r)/avg(r) AS cv FROM nx GROUP BY oid),
+ ed AS (SELECT a.oid, a.x, a.y, b.x AS x2, b.y AS y2 FROM pt a JOIN pt b ON a.oid = b.oid AND a.k <> b.k JOIN pt c ON c.oid = a.oid GROUP BY ALL HAVING min((b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x)) >= -1e-9),
+ hu AS (SELECT oid, abs(sum(x*y2 - x2*y))/2 AS area, sum(sqrt((x2-x)*(x2-x) + (y2-y)*(y2-y))) AS length FROM ed GROUP BY oid)"""
+
+
+@query(_with(("v_outlines",), f"SELECT oid, {_r('own.area/hu.area', 'solidity')}, {_r('length/per', 'convexity')}, CASE WHEN own.area/hu.area < 0.93e0 OR cv > 0.22e0 THEN 1e0 ELSE 0e0 END AS shape_suspect FROM own JOIN hu USING (oid)", _HULL))
 def hull_shape(spark, sf):
     return rounded(curves.hull_shape(view(spark, sf, "v_outlines")))
 
@@ -623,7 +665,20 @@ def ray_mad_filter(spark, sf):
     return rounded(curves.ray_mad_filter(_rays(spark, sf)))
 
 
-@query()
+def _circle_rounds(rounds: int = 10, delta: float = 12.0) -> str:
+    """CTEs of a reweighted circle: about the weighted mean the centre solves a two by two system, the radius is what is left."""
+    out = [f"q0 AS (SELECT z, r*cos(azimuth*{_STEP}e0) AS x, r*sin(azimuth*{_STEP}e0) AS y, 1e0 AS w FROM ry)"]
+    for i in range(rounds):
+        out += [
+            f"s{i} AS (SELECT z, sum(w) AS sw, sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my FROM q{i} GROUP BY z)",
+            f"t{i} AS (SELECT z, any_value(mx) AS mx, any_value(my) AS my, sum(w*dx*dx)/any_value(sw) AS a, sum(w*dx*dy)/any_value(sw) AS b, sum(w*dy*dy)/any_value(sw) AS c, sum(w*dx*(dx*dx+dy*dy))/any_value(sw) AS g, sum(w*dy*(dx*dx+dy*dy))/any_value(sw) AS h, sum(w*(dx*dx+dy*dy))/any_value(sw) AS k FROM (SELECT q.z, w, sw, mx, my, x - mx AS dx, y - my AS dy FROM q{i} q JOIN s{i} USING (z)) GROUP BY z)",
+            f"u{i} AS (SELECT z, mx + ox AS cx, my + oy AS cy, sqrt(k + ox*ox + oy*oy) AS radius FROM (SELECT *, (g*c - h*b)/(2*(a*c - b*b)) AS ox, (h*a - g*b)/(2*(a*c - b*b)) AS oy FROM t{i}))",
+            f"q{i + 1} AS (SELECT z, x, y, e, power({delta}e0/greatest(e, {delta}e0), 2) AS w FROM (SELECT q.z, x, y, abs(sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy)) - radius) AS e FROM q{i} q JOIN u{i} USING (z)))",
+        ]
+    return ", ".join(out)
+
+
+@query(_with(("v_outlines",), f"SELECT CAST(z AS BIGINT) AS z, {_r('cx', 'cx')}, {_r('cy', 'cy')}, {_r('radius', 'radius')}, {_r('median(e)', 'residual')}, median(e) <= 30e0 AS used FROM q10 JOIN u9 USING (z) GROUP BY z, cx, cy, radius", _RAY, _circle_rounds()))
 def huber_circles(spark, sf):
     return rounded(curves.huber_circles(_rays(spark, sf)))
 
@@ -668,11 +723,6 @@ def mesh_faces(spark, sf):
     return mesh.spheroid_faces(view(spark, sf, "v_objects").select(F.col("obj").alias("oid"))).select("oid", "fid", *[F.col(c).cast("int").alias(c) for c in "abc"])
 
 
-@query(f"SELECT ring, k, {_r(f'{_CX} + ring*{DOME.contact_radius / 8!r}e0*cos(k*{2 * math.pi / 24!r}e0)','x',3)}, {_r(f'{_CY} + ring*{DOME.contact_radius / 8!r}e0*sin(k*{2 * math.pi / 24!r}e0)','y',3)}, {_r(f'{_CZ} - sqrt(greatest({_RAD}*{_RAD} - power(ring*{DOME.contact_radius / 8!r}e0,2),0e0))/{_AN}','z',3)} FROM (SELECT CAST(unnest(range(0,9)) AS INT) AS ring), (SELECT CAST(unnest(range(0,24)) AS INT) AS k)")
-def dome_mesh(spark, sf):
-    return rounded(mesh.cap_vertices(spark, DOME.cx, DOME.cy, DOME.cz, DOME.radius, DOME.contact_radius, DOME.anisotropy), 3)
-
-
 @query(_with(("v_outlines",), "SELECT oid, n, (row_number() OVER (ORDER BY oid) - 1)*n AS base FROM (SELECT oid, count(*)*9 AS n FROM v_outlines GROUP BY oid)"))
 def mesh_vertex_base(spark, sf):
     sizes = view(spark, sf, "v_outlines").groupBy("oid").agg((F.count(F.lit(1)) * 9).alias("n"))
@@ -684,10 +734,10 @@ def top_largest(spark, sf):
     return view(spark, sf, "v_objects").select("obj", "r").orderBy(F.desc("r"), "obj").limit(4)
 
 
-@query(_with(("v_outlines",), "SELECT oid, " + ", ".join(f"round(max(r) FILTER (k={k}),3) AS r_{k:02d}" for k in range(48)) + " FROM v_outlines GROUP BY oid"))
+@query(_with(("v_outlines",), "SELECT oid, " + ", ".join(f"round(max(r) FILTER (k={k}),3) AS r_{k:02d}" for k in range(64)) + " FROM v_outlines GROUP BY oid"))
 def outline_columns(spark, sf):
-    held = view(spark, sf, "v_outlines").where("k < 48").groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("c"))
-    return held.select("oid", *[F.round(F.col("c")[k]["r"], 3).alias(f"r_{k:02d}") for k in range(48)])
+    held = view(spark, sf, "v_outlines").groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("c"))
+    return held.select("oid", *[F.round(F.col("c")[k]["r"], 3).alias(f"r_{k:02d}") for k in range(64)])
 
 
 @query("""WITH a AS (SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS l FROM nation WHERE n_nationkey < 20), b AS (SELECT n_name AS key, CAST(CASE WHEN n_nationkey % 4 = 0 THEN 9 ELSE n_regionkey END AS VARCHAR) AS r FROM nation WHERE n_nationkey >= 5)

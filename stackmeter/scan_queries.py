@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import catalogue as cat
-from .operators import curves, frames, matching, registration
-from .plans import features, field, mosaic
+from .operators import curves, frames, matching, mesh, registration
+from .plans import features, field, mosaic, outputs
 from .plans.views import table, view
 from .queries import ACQ, DOME, PAR, _r, _with, query, rounded
 
@@ -201,3 +201,47 @@ def analysed_range(spark, sf):
     stack = view(spark, sf, "v_curves").select(F.col("oid").alias("stack"), "z")
     planes = stack.select("stack").distinct().withColumn("plane", F.col("stack") % 30)
     return field.analysed(stack, planes, PAR).select("stack", "z")
+
+
+@query(_with(("v_tiles",), """SELECT vec_id AS oid, round_even(5e0 + vec_id % 6 + 4e0*CAST(embedding[1] AS DOUBLE), 1) + 0e0 AS first_radius, len(embedding) AS n_radii, round_even(((vec_id*31) % 1190)/10e0/3e0, 4) AS third_of_z FROM embeddings"""))
+def payload_trim(spark, sf):
+    o = _objects(spark, sf).select("oid", F.col("profile").alias("radial_profile_px"), F.col("profile").alias("radial_profile_um"), (F.col("z") / 3).alias("third_of_z"))
+    small = outputs.trimmed(o)
+    return small.select("oid", (F.element_at("radial_profile_px", 1) + 0.0).alias("first_radius"), F.size("radial_profile_px").cast("long").alias("n_radii"), "third_of_z")
+
+
+@query("SELECT n_nationkey AS id, 'data:text/plain;base64,' || base64(encode(n_name)) AS uri FROM nation")
+def data_uris(spark, sf):
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), outputs.data_uri(F.encode("n_name", "UTF-8"), "text/plain").alias("uri"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M UTC') AS built_utc FROM events")
+def build_stamps(spark, sf):
+    return table(spark, sf, "events").select("event_id", outputs.build_stamp(F.col("ts")).alias("built_utc"))
+
+
+@query(f"WITH {_ACQS} SELECT acq, 4.2e0 AS px_um, z_um, {_r('CASE WHEN z_um IS NOT NULL THEN z_um/4.2e0 ELSE 1e0 END', 'anisotropy', 6)}, {_r('0.55e0/(na*na) + 4.2e0/na', 'dof_um', 6)}, 'user' AS px_source FROM acq")
+def calibration_override(spark, sf):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    a = table(spark, sf, "supplier").select(k.alias("acq"), F.when(n % 4 != 0, 3.0 + (k % 13) / 10).alias("px_um"), F.when(n % 3 != 0, 5.0 + k % 7).alias("z_um"), F.when(k % 5 != 0, 0.1 + (k % 4) / 10).alias("na"))
+    return rounded(scalars.with_scales(scalars.with_calibration(a, px_um=4.2)).select("acq", "px_um", "z_um", "anisotropy", "dof_um", "px_source"), 6)
+
+
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'slices' ELSE 'edf' END AS source, count(*) AS n FROM customer WHERE c_nationkey IN (2, 3, 5, 7, 11, 13) GROUP BY 1")
+def subset_counts(spark, sf):
+    """Objects of some fields, counted by detector."""
+    o = table(spark, sf, "customer").select(F.col("c_nationkey").alias("tile"), F.when(F.col("c_custkey") % 3 == 0, "slices").otherwise("edf").alias("source"))
+    return cat.source_counts(cat.subset(o, tiles=[2, 3, 5, 7, 11, 13]))
+
+
+_CAPS = "cap AS (SELECT s_suppkey AS dome, (s_suppkey*7) % 1000 + 0e0 AS cx, (s_suppkey*13) % 800 + 0e0 AS cy, 150e0 AS cz, 1000e0 + s_suppkey % 500 AS radius, 125e0 + s_suppkey % 20 AS glass FROM supplier), cc AS (SELECT *, sqrt(radius*radius - power((cz - glass)*2.65e0, 2)) AS contact FROM cap)"
+
+
+@query(f"""WITH {_CAPS} SELECT dome, ring, k, {_r(f'cx + contact/8*ring*cos(k*{2 * math.pi / 24!r}e0)', 'x', 3)}, {_r(f'cy + contact/8*ring*sin(k*{2 * math.pi / 24!r}e0)', 'y', 3)}, {_r('cz - sqrt(greatest(radius*radius - power(contact/8*ring, 2), 0e0))/2.65e0', 'z', 3)}
+ FROM cc, (SELECT CAST(unnest(range(0, 9)) AS INT) AS ring), (SELECT CAST(unnest(range(0, 24)) AS INT) AS k)""")
+def dome_mesh(spark, sf):
+    k = F.col("s_suppkey")
+    caps = table(spark, sf, "supplier").select(k.alias("dome"), ((k * 7) % 1000).cast("double").alias("cx"), ((k * 13) % 800).cast("double").alias("cy"), F.lit(150.0).alias("cz"), (1000.0 + k % 500).alias("radius"), (125.0 + k % 20).alias("glass"))
+    down = (F.col("cz") - F.col("glass")) * 2.65
+    caps = caps.withColumn("contact", F.sqrt(F.col("radius") * F.col("radius") - down * down)).withColumn("anisotropy", F.lit(2.65)).drop("glass")
+    return rounded(mesh.cap_vertices(caps), 3)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stackmeter.kernels import appearance, image
 from stackmeter.operators import frames as ops
 from stackmeter.params import Acquisition, Dome
-from stackmeter.plans import features
+from stackmeter.plans import features, outputs
 
 
 def plain_dilate(mask, r):
@@ -162,6 +162,19 @@ def test_matrix_of_one_and_of_none(scan):
     assert features.matrix(cat.where("false"), features.record(found), stack, tiles).count() == 0
 
 
+def test_payload(spark, scan):
+    import json
+
+    stack, tiles, found, cat = scan
+    matrix = features.matrix(cat, features.record(found), stack, tiles)
+    meta = spark.range(1).select(F.lit("scan").alias("dataset"), outputs.build_stamp(F.to_timestamp(F.lit("2024-05-06 07:08:59"))).alias("built_utc"))
+    lines = [(r.part, json.loads(r.line)) for r in outputs.payload_lines(matrix, tiles, meta).collect()]
+    assert [p for p, _ in lines] == [1, 2, 2, 2, 3, 3, 3, 3] and lines[0][1] == {"dataset": "scan", "built_utc": "2024-05-06 07:08 UTC"}
+    objects = [x for p, x in lines if p == 3]
+    assert [x["uid"] for x in objects] == [0, 2, 3, 4] and not set(objects[0]) & set(outputs.REDUNDANT) and objects[0]["radial_profile_px"] == [14.0] * 48
+    assert objects[0]["core_od_mean"] == round(objects[0]["core_od_mean"], 4) and "core_od_mean" not in objects[1]
+
+
 def test_rounded_record(spark, scan):
     row = features.rounded_record(features.record(scan[2].withColumn("x", F.lit(1.00005)))).first()
     assert row.x_px in (1.0, 1.0001) and row.x_um == round(1.00005 * 3.7744, 4) and row.radial_profile_um[0] == round(14 * 3.7744, 3)

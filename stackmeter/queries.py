@@ -617,7 +617,17 @@ def focal_peaks(spark, sf):
     return rounded(curves.focal_peaks(view(spark, sf, "v_curves")))
 
 
-@query()
+# Inner maxima; of two nearer than three slices the higher stays, taken in order of height; then prominence is judged.
+_PLANES = """pt AS (SELECT oid, z, v, row_number() OVER w AS i, lag(v) OVER w AS b, lead(v) OVER w AS a FROM v_curves WINDOW w AS (PARTITION BY oid ORDER BY z)), mx AS (SELECT oid, max(v) AS top, max(v) - min(v) AS span FROM v_curves GROUP BY oid HAVING count(*) >= 3 AND max(v) > 1e-12),
+ pk AS (SELECT pt.*, row_number() OVER (PARTITION BY oid ORDER BY v DESC, i DESC) AS n FROM pt JOIN mx USING (oid) WHERE v > b AND v > a),
+ it AS (SELECT DISTINCT oid, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM pk UNION ALL SELECT it.oid, pk.n, CASE WHEN len(list_filter(kept, lambda k: abs(k - pk.i) < 3)) > 0 THEN kept ELSE list_append(kept, pk.i) END FROM it JOIN pk ON pk.oid = it.oid AND pk.n = it.n + 1),
+ st AS (SELECT oid, unnest(kept) AS i FROM it QUALIFY row_number() OVER (PARTITION BY oid ORDER BY n DESC) = 1),
+ hi AS (SELECT k.oid, k.i, coalesce(max(q.i) FILTER (q.i < k.i), 0) AS lo, coalesce(min(q.i) FILTER (q.i > k.i), 1000000) AS up FROM pk k LEFT JOIN pt q ON q.oid = k.oid AND q.v > k.v GROUP BY ALL),
+ pr AS (SELECT k.oid, k.i, k.v - greatest(min(q.v) FILTER (q.i <= k.i), min(q.v) FILTER (q.i >= k.i)) AS h FROM pk k JOIN hi USING (oid, i) JOIN pt q ON q.oid = k.oid AND q.i > lo AND q.i < up GROUP BY k.oid, k.i, k.v),
+ fp AS (SELECT pk.oid, z, h/top AS share, z + CASE WHEN abs(b - 2*v + a) >= 1e-12 THEN least(greatest(0.5e0*(b - a)/(b - 2*v + a), -1e0), 1e0) ELSE 0e0 END AS refined FROM st JOIN pk USING (oid, i) JOIN pr ON pr.oid = pk.oid AND pr.i = pk.i JOIN mx ON mx.oid = pk.oid WHERE h >= greatest(1e-9, 0.15e0*span))"""
+
+
+@query(_with(("v_curves",), f"SELECT oid, CAST(row_number() OVER (PARTITION BY oid ORDER BY share DESC, z) - 1 AS INT) AS rank, z, {_r('share', 'prominence')}, {_r('refined', 'refined')} FROM fp", _PLANES))
 def focal_planes_full(spark, sf):
     return rounded(curves.focal_planes(view(spark, sf, "v_curves")))
 

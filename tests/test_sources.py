@@ -71,7 +71,7 @@ def test_nearest_group_file(spark, tmp_path):
     for name in ("a", "b", "c/d"):
         (tmp_path / name).mkdir(parents=True)
     for name in ("z.gci", "a/m.gci", "a/k.gci", "c/d/e.txt"):
-        (tmp_path / name).write_bytes(b"")
+        (tmp_path / name).write_bytes(b"PK")  # Spark leaves empty files out
     folders = spark.createDataFrame([(f"file:{tmp_path}/{n}",) for n in ("a", "b", "c/d")], "folder string")
     got = {r.folder.rsplit("/", 1)[1]: r.path.removeprefix(f"file:{tmp_path}/") for r in group.nearest(spark, str(tmp_path), folders).collect()}
     assert got == {"a": "a/k.gci", "b": "z.gci"}

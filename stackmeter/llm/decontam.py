@@ -295,7 +295,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
                 new = [pa.array(counts[own], pa.int64()), pa.array([_merge(x) for x in ranges[own]], pa.list_(pa.int64())), pa.array([sorted(x) for x in found[own]], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(list(b.columns) + new, b.schema.names + added)
 
-    return storage.text_batches(docs).select(*[docs[f.name] for f in keep]).mapInArrow(run, schema)
+    return storage.text_batches(docs).select(*[docs[f.name] for f in keep]).mapInArrow(storage.lean(run), schema)
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -339,4 +339,4 @@ def clean(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, window:
                 cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-added]).filter(pa.array(keep))
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(storage.lean(run), schema)

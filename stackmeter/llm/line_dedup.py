@@ -104,7 +104,7 @@ def lines(docs: DataFrame, key: str = "__row", text: str = "text") -> DataFrame:
                     ["doc", "at", "h1", "h2", "words"],
                 )
 
-    return storage.text_batches(docs).select(key, text).mapInArrow(run, f"doc {kind}, at int, h1 long, h2 long, words int")
+    return storage.text_batches(docs).select(key, text).mapInArrow(storage.lean(run), f"doc {kind}, at int, h1 long, h2 long, words int")
 
 
 def suffixes(tables: Tables, docs: DataFrame, key: str = "__row", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -175,7 +175,7 @@ def _neighbours(rows: DataFrame, rounds: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c if k is None else pa.array(np.asarray(c), k) for c, k in zip(cols, kinds, strict=True)], names)
             last, row = (doc[-1:], at[-1:], s0[-1:], prev[-1:], ranks[-1:]), row + len(doc)
 
-    return ranged.select("part", "doc", "at", "s0", "left", "prev", "words", "r").mapInArrow(run, schema)
+    return ranged.select("part", "doc", "at", "s0", "left", "prev", "words", "r").mapInArrow(storage.lean(run), schema)
 
 
 def common(ranks: np.ndarray, old: np.ndarray, left: np.ndarray, prev: np.ndarray, old_prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def _compared(sa: DataFrame, rows: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc", "at", "side", "lines"])
 
-    sides = islands.join(asked, ["of", "s0"]).select("lines", "asks").mapInArrow(cut, "doc long, at int, side int, lines binary")
+    sides = islands.join(asked, ["of", "s0"]).select("lines", "asks").mapInArrow(storage.lean(cut), "doc long, at int, side int, lines binary")
     both = sides.groupBy("doc", "at").agg(*[F.max(F.when(F.col("side") == x, F.col("lines"))).alias(f"x{x}") for x in (0, 1)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,7 @@ def _compared(sa: DataFrame, rows: DataFrame) -> DataFrame:
                 out.append(n if same.all() else int(same.argmin()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], ["doc", "at", "more"])
 
-    return both.mapInArrow(compare, "doc long, at int, more int")
+    return both.mapInArrow(storage.lean(compare), "doc long, at int, more int")
 
 
 def with_prefixes(tables: Tables, rows: DataFrame, rounds: int) -> DataFrame:
@@ -343,7 +343,7 @@ def depths(tables: Tables, array: DataFrame) -> DataFrame:
                 ], [x.split(" ")[0] for x in schema.split(", ")],
             )
 
-    found = tables.put(ordered.mapInArrow(local, schema), "depths")
+    found = tables.put(ordered.mapInArrow(storage.lean(local), schema), "depths")
     ends = {r["part"]: r["state"] for r in found.where("first = 1").select("part", "state").collect()}
     earlier, later = joined_states(ends)
 
@@ -358,7 +358,7 @@ def depths(tables: Tables, array: DataFrame) -> DataFrame:
                             depth[i] = max(depth[i], min(d, reach))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(depth, pa.int32())], ["doc", "at", "words", "depth"])
 
-    return found.select("part", "doc", "at", "words", "depth", "back", "forth").mapInArrow(reached, "doc long, at int, words int, depth int")
+    return found.select("part", "doc", "at", "words", "depth", "back", "forth").mapInArrow(storage.lean(reached), "doc long, at int, words int, depth int")
 
 
 def joined_states(ends: dict[int, list[int]]) -> tuple[dict[int, list], dict[int, list]]:
@@ -404,7 +404,7 @@ def _cover(rows: DataFrame, min_words: int) -> DataFrame:
                     drops.append(mask)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(drops, pa.list_(pa.bool_()))], ["doc", "drop"])
 
-    return held.select("doc", "rows").mapInArrow(run, "doc long, drop array<boolean>")
+    return held.select("doc", "rows").mapInArrow(storage.lean(run), "doc long, drop array<boolean>")
 
 
 def deleted(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "__row", text: str = "text") -> DataFrame:

@@ -130,7 +130,7 @@ def _blobs(docs: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())] + [pa.array(x, pa.binary()) for x in cols[2:]], ["bucket", "chunk", "docs", "sizes", "index", "low", "high", "tf", "many"])
 
     known = storage.text_batches(docs).where(F.col("doc_id").isNotNull())
-    return known.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, chunk long, docs binary, sizes binary, index binary, low binary, high binary, tf binary, many binary")
+    return known.select(F.col("doc_id").cast("long"), "text").mapInArrow(storage.lean(run), "bucket long, chunk long, docs binary, sizes binary, index binary, low binary, high binary, tf binary, many binary")
 
 
 def _unpack(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +185,7 @@ def _shared(blobs: DataFrame) -> DataFrame:
         if parts:
             yield count(bucket, parts)
 
-    return blobs.mapInArrow(run, "chunk long, bucket long, docs binary, sizes binary, index binary, low binary, high binary, df binary, tf binary")
+    return blobs.mapInArrow(storage.lean(run), "chunk long, bucket long, docs binary, sizes binary, index binary, low binary, high binary, df binary, tf binary")
 
 
 def _entries(rows: list[dict]) -> tuple[np.ndarray, ...]:
@@ -275,7 +275,7 @@ def _vectors(shared: DataFrame, n_docs: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], [x.split(" ")[0] for x in fields.split(", ")])
 
     by_chunk = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "docs", "sizes", "index", "low", "high", "df", "tf")).alias("rows"))
-    return by_chunk.mapInArrow(run, fields)
+    return by_chunk.mapInArrow(storage.lean(run), fields)
 
 
 def _bands(vectors: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
             one, two = doc[:-1][same], doc[1:][same]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 
-    near = rows.drop("size").repartitionByRange("key", "next", "doc_id").sortWithinPartitions("key", "next", "doc_id").mapInArrow(neighbours, "a long, b long")
+    near = rows.drop("size").repartitionByRange("key", "next", "doc_id").sortWithinPartitions("key", "next", "doc_id").mapInArrow(storage.lean(neighbours), "a long, b long")
     return star.union(near).distinct()
 
 
@@ -325,7 +325,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
                     keep.append(value[-1] >= THRESHOLD - 1e-6)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(value, pa.float64())], ["a", "b", "similarity"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "ha", "wa", "tb", "hb", "wb").mapInArrow(run, "a long, b long, similarity double")
+    return both.select("a", "b", "ta", "ha", "wa", "tb", "hb", "wb").mapInArrow(storage.lean(run), "a long, b long, similarity double")
 
 
 def _overlaps(hashes: list[bytes], weights: list[bytes]) -> np.ndarray:
@@ -441,7 +441,7 @@ def _rest(bands: DataFrame, pairs: DataFrame, labels: DataFrame, vectors: DataFr
             yield linked(rows)
 
     full = cells.join(vectors.select("doc_id", "total", "hashes", "weights"), "doc_id").select("cell", "doc_id", "label", "total", "hashes", "weights")
-    got = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, similarity double")
+    got = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(storage.lean(run), "a long, b long, similarity double")
     return found.union(storage.materialise(got.dropDuplicates(["a", "b"]), "verified"))
 
 

@@ -210,4 +210,4 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int = C
         if kind is not None:
             yield table(list(rows(packer.finish())))
 
-    return storage.text_batches(source).mapInArrow(run, f"doc_id {key}, {PIECES}")
+    return storage.text_batches(source).mapInArrow(storage.lean(run), f"doc_id {key}, {PIECES}")

@@ -132,7 +132,7 @@ def measures(docs: DataFrame, rules: QualityRules = QualityRules(), text: str =
             got = measure(b.column(0), rules)
             yield pa.RecordBatch.from_arrays(list(b.columns[1:]) + list(got.columns), b.schema.names[1:] + got.schema.names)
 
-    return storage.text_batches(source).mapInArrow(run, ", ".join(x for x in (fields, COLUMNS) if x))
+    return storage.text_batches(source).mapInArrow(storage.lean(run), ", ".join(x for x in (fields, COLUMNS) if x))
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import storage as _base
 from ..storage import drop, fields_of, new_path, release, shared_dir
 
-__all__ = ["alone", "drop", "fields_of", "materialise", "new_path", "release", "shared_dir", "text_batches"]
+__all__ = ["alone", "drop", "fields_of", "lean", "materialise", "new_path", "release", "shared_dir", "text_batches"]
 
 #: Rows that go to a Python worker at a time: four times ten thousand texts, in Spark and in Python, fill an executor.
 ROWS, _ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,3 +59,23 @@ def text_batches(df: DataFrame) -> DataFrame:
     if not 0 < int(conf.get(_ROWS)) <= ROWS:
         conf.set(_ROWS, str(ROWS))
     return df
+
+
+def _trim() -> None:
+    """Give freed memory back to the system; where the C library has no such call it stays with the process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a partition, after which its Python worker, which Spark keeps for later tasks, holds no freed memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped

@@ -147,3 +147,32 @@ def nearest(points: np.ndarray, ids: np.ndarray, at: np.ndarray, own: np.ndarray
             break
         q = min(2 * q, reach)
     return dist, who
+
+
+def first_come(x: np.ndarray, y: np.ndarray, z: np.ndarray, r: np.ndarray, state: np.ndarray, home: np.ndarray, anisotropy: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Greedy suppression of a block's points, which come in their order of rank; 1 kept, -1 dropped, 0 open.
+
+    ``state`` is what is known so far.  A point out of reach of every earlier one that stays is kept.  One of the margin
+    that is open may have rivals outside, so that it and what it reaches stay open, unless a kept one drops them.
+    """
+    state = state.copy()
+    by_x = np.argsort(x, kind="stable")
+    sx, sy, sz, sr, sa, sf = (v[by_x] for v in (x, y, z, r, anisotropy, least))
+    waits = np.zeros(len(x), dtype=bool)
+    widest = float(r.max()) if len(r) else 0.0
+    for i in range(len(x)):
+        if state[i] == -1:
+            continue
+        if state[i] == 0 and home[i] and not waits[i]:
+            state[i] = 1
+        a, b = np.searchsorted(sx, x[i] - 0.5 * widest - 1e-9, "left"), np.searchsorted(sx, x[i] + 0.5 * widest + 1e-9, "right")
+        big = np.maximum(sr[a:b], r[i])
+        dx, dy = sx[a:b] - x[i], sy[a:b] - y[i]
+        hit = (np.sqrt(dx * dx + dy * dy) < 0.5 * big) & (np.abs(sz[a:b] - z[i]) * sa[a:b] < np.maximum(sf[a:b], 0.6 * big))
+        later = by_x[a:b][hit]
+        later = later[later > i]
+        if state[i] == 1:
+            state[later[state[later] == 0]] = -1
+        else:
+            waits[later] = True
+    return state

@@ -330,7 +330,7 @@ _GREEDY = """cr AS (SELECT tile*10000000000 + obj AS sid, tile, x/20e0 AS x, y/2
 @query(_with(("v_sightings",), "SELECT unnest(kept) AS sid, tile FROM it QUALIFY row_number() OVER (PARTITION BY tile ORDER BY n DESC) = 1", _GREEDY))
 def nms_dedup(spark, sf):
     s = _crowded(spark, sf)
-    return matching.greedy_suppression(s, matching.suppression_conflicts(s, 2.65, 3.26, 20.0)).select("sid", "tile")
+    return matching.suppressed(s, 2.65, 3.26).select("sid", "tile")
 
 
 @query()

@@ -38,6 +38,16 @@ def test_suppression_equals_the_sequential_rule(spark):
     assert got == {k[0] for k in kept} and len(kept) < len(rows)
 
 
+def test_suppression_by_blocks_writes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), int(i % 2), float(rng.uniform(0, 400)), float(rng.uniform(0, 90)), float(rng.integers(0, 6)), float(rng.uniform(4, 20)), float(rng.integers(0, 9)) / 10) for i in range(700)]
+    s = spark.createDataFrame(rows, "sid long, tile int, x double, y double, z double, r double, sharp double")
+    want = {r.sid for r in matching.greedy_suppression(s, matching.suppression_conflicts(s, 2.65, 3.26, 20.0)).collect()}
+    monkeypatch.setattr(matching, "BLOCK_POINTS", 10)
+    monkeypatch.setattr(matching, "near_pairs", None)
+    assert {r.sid for r in matching.suppressed(s, 2.65, 3.26).collect()} == want and len(want) < len(rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "sa long, sb long")
     nodes = spark.createDataFrame([(i,) for i in [*range(21), 50, 51, 99]], "sid long")

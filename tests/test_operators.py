@@ -343,3 +343,9 @@ def test_missing_saved_offset_stops(spark):
     saved = spark.createDataFrame([(1, 0.5, 0.0)], "tile int, x0 double, y0 double")
     with pytest.raises(Exception, match="no saved offset for tile 2"):
         reports.with_saved_offsets(tiles, saved).collect()
+
+
+def test_focal_planes_count_a_plateau_by_its_middle(spark):
+    rows = [(1, z, v) for z, v in enumerate([0.0, 1.0, 0.0, 0.0, 5.0, 5.0, 0.0, 2.0, 2.0])] + [(2, z, v) for z, v in enumerate([0.0, 3.0, 0.0])]
+    got = curves.focal_planes(spark.createDataFrame(rows, "oid long, z int, v double")).select("oid", "rank", "z", "prominence", "refined")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 4, 1.0, 4.5), (1, 1, 1, 0.2, 1.0), (2, 0, 1, 1.0, 1.0)]  # the last slices are no top

@@ -19,18 +19,25 @@ def spheroid_vertices(outlines: DataFrame, n_theta: int = 64, n_phi: int = 8) ->
 
 def spheroid_faces(objects: DataFrame, n_theta: int = 64, n_phi: int = 8) -> DataFrame:
     """(oid, fid, a, b, c): two triangles for each cell of the grid."""
-    grid = objects.select("oid", F.explode(F.sequence(F.lit(0), F.lit(n_phi * n_theta - 1))).alias("cell")).select("oid", F.expr(f"cell div {n_theta}").cast("int").alias("j"), (F.col("cell") % n_theta).alias("k"))
-    a = F.col("j") * n_theta + F.col("k")
-    b = F.col("j") * n_theta + (F.col("k") + 1) % n_theta
-    two = F.array(F.struct(F.lit(0).alias("t"), a.alias("a"), b.alias("b"), (a + n_theta).alias("c")), F.struct(F.lit(1).alias("t"), b.alias("a"), (b + n_theta).alias("b"), (a + n_theta).alias("c")))
-    return grid.select("oid", "j", "k", F.explode(two).alias("f")).select("oid", ((F.col("j") * n_theta + F.col("k")) * 2 + F.col("f.t")).cast("int").alias("fid"), "f.a", "f.b", "f.c")
+    cell = F.explode(F.sequence(F.lit(0), F.lit(n_phi * n_theta - 1))).alias("cell")
+    cells = objects.sparkSession.range(1).select(cell).select("cell", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"))
+    j, k = F.expr(f"cell div {n_theta}").cast("int"), F.col("cell") % n_theta
+    a, b = j * n_theta + k, j * n_theta + (k + 1) % n_theta
+    corners = F.when(F.col("t") == 0, F.struct(a.alias("a"), b.alias("b"), (a + n_theta).alias("c"))).otherwise(F.struct(b.alias("a"), (b + n_theta).alias("b"), (a + n_theta).alias("c")))
+    faces = cells.select((F.col("cell") * 2 + F.col("t")).cast("int").alias("fid"), corners.alias("f")).select("fid", "f.a", "f.b", "f.c")  # one grid's, the same for all
+    return _dealt(objects.select("oid")).crossJoin(F.broadcast(faces))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` over all tasks before each becomes many: a small file is read by one task, whatever is made of it."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cap_vertices(caps: DataFrame, n_ring: int = 8, n_theta: int = 24) -> DataFrame:
     """``caps`` (any keys, cx, cy, cz, radius, contact, anisotropy) as (keys, ring, k, x, y, z): rings from each apex to its contact circle."""
     shape = ("cx", "cy", "cz", "radius", "contact", "anisotropy")
     keys = [c for c in caps.columns if c not in shape]
-    grid = caps.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_ring))).alias("ring")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_theta - 1))).alias("k"))
+    grid = _dealt(caps).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_ring))).alias("ring")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_theta - 1))).alias("k"))
     rho, theta = F.col("contact") / n_ring * F.col("ring"), F.col("k") * (2 * math.pi / n_theta)
     z = F.col("cz") - F.sqrt(F.greatest(F.col("radius") * F.col("radius") - rho * rho, F.lit(0.0))) / F.col("anisotropy")
     return grid.select(*keys, "ring", "k", (F.col("cx") + rho * F.cos(theta)).alias("x"), (F.col("cy") + rho * F.sin(theta)).alias("y"), z.alias("z"))

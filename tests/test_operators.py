@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stackmeter.functions import scalars
 from stackmeter.kernels import image
-from stackmeter.operators import catalogue, curves, frames, matching, registration
+from stackmeter.operators import catalogue, curves, frames, matching, mesh, registration
 from stackmeter.params import Acquisition, Dome, Params
 from stackmeter.plans import mosaic, outputs
 
@@ -349,3 +349,13 @@ def test_focal_planes_count_a_plateau_by_its_middle(spark):
     rows = [(1, z, v) for z, v in enumerate([0.0, 1.0, 0.0, 0.0, 5.0, 5.0, 0.0, 2.0, 2.0])] + [(2, z, v) for z, v in enumerate([0.0, 3.0, 0.0])]
     got = curves.focal_planes(spark.createDataFrame(rows, "oid long, z int, v double")).select("oid", "rank", "z", "prominence", "refined")
     assert sorted(map(tuple, got.collect())) == [(1, 0, 4, 1.0, 4.5), (1, 1, 1, 0.2, 1.0), (2, 0, 1, 1.0, 1.0)]  # the last slices are no top
+
+
+def test_meshes_of_one_file_are_made_by_many_tasks(spark):
+    objects = spark.createDataFrame([(i,) for i in range(40)], "oid long").coalesce(1)
+    faces = mesh.spheroid_faces(objects, 4, 2).withColumn("task", F.spark_partition_id())
+    rows = faces.collect()
+    assert len({r.task for r in rows}) > 1 and len(rows) == 40 * 16
+    assert sorted((r.fid, r.a, r.b, r.c) for r in rows if r.oid == 7)[:4] == [(0, 0, 1, 4), (1, 1, 5, 4), (2, 1, 2, 5), (3, 2, 6, 5)]
+    caps = objects.select("oid", *[F.lit(9.0).alias(c) for c in ("cx", "cy", "cz", "radius", "contact", "anisotropy")])
+    assert mesh.cap_vertices(caps).select(F.spark_partition_id().alias("task")).distinct().count() > 1

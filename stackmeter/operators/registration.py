@@ -154,10 +154,19 @@ def metadata_plane(scores: DataFrame) -> DataFrame:
     return mean.agg(F.max_by("z", F.struct("m", -F.col("z"))).alias("plane"))
 
 
-def block_means(pixels: DataFrame, size: int = 4) -> DataFrame:
-    """(stack, z, y, x, v): means of whole squares of ``size`` pixels, a rest at the far edges left out."""
-    own = {"y": F.floor(F.col("y") / size).cast("int"), "x": F.floor(F.col("x") / size).cast("int")}
-    return pixels.groupBy("stack", "z", own["y"].alias("y"), own["x"].alias("x")).agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n")).where(F.col("n") == size * size).drop("n")
+def block_means(pixels: DataFrame, size: int = 4, across: int | None = None) -> DataFrame:
+    """(stack, z, y, x, v): means of whole squares of ``size`` pixels, a rest at the far edges left out.
+
+    ``across`` is their width in ``pixels`` where those already stand for several of a row.
+    """
+    across = across or size
+    own = {"y": F.floor(F.col("y") / size).cast("int"), "x": F.floor(F.col("x") / across).cast("int")}
+    return pixels.groupBy("stack", "z", own["y"].alias("y"), own["x"].alias("x")).agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n")).where(F.col("n") == size * across).drop("n")
+
+
+def first_planes(slices: DataFrame, planes: int = 6) -> DataFrame:
+    """(stack, z): the first ``planes`` of each stack's slices, the only ones that ``seed_axis`` looks at."""
+    return slices.select("stack", "z").distinct().withColumn("n", F.row_number().over(Window.partitionBy("stack").orderBy("z"))).where(F.col("n") <= planes).drop("n")
 
 
 def seed_axis(texture: DataFrame, canvases: DataFrame, k: float = 0.8, planes: int = 6, least: int = 100, size: int = 4) -> DataFrame:
@@ -167,8 +176,7 @@ def seed_axis(texture: DataFrame, canvases: DataFrame, k: float = 0.8, planes: i
     whole.  Of the first ``planes`` slices those count that have ``least`` hot cells, each by their number; the centre
     of the canvas is taken where none has.
     """
-    first = texture.select("stack", "z").distinct().withColumn("n", F.row_number().over(Window.partitionBy("stack").orderBy("z"))).where(F.col("n") <= planes).drop("n")
-    near = texture.join(first, ["stack", "z"])
+    near = texture.join(first_planes(texture, planes), ["stack", "z"])
     stats = near.groupBy("stack", "z").agg(F.median("v").alias("m"), F.stddev_pop("v").alias("s"))
     hot = near.join(stats, ["stack", "z"]).where(F.col("v") > F.col("m") + k * F.col("s"))
     plane = hot.groupBy("stack", "z").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

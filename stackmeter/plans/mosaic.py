@@ -164,7 +164,8 @@ def droplet(stack: DataFrame, tiles: DataFrame, glass: float, a: Acquisition = A
     wide = materialise(canvas(stack.where(F.col("z").isin(planes)), tiles), "canvas")
     if wide.select("z").distinct().count() < 4:
         return None, None
-    small = frames.frames_of(registration.block_means(frames.exploded(wide).withColumnRenamed("value", "v")))
+    upper = wide.join(registration.first_planes(wide), ["stack", "z"], "left_semi")
+    small = frames.frames_of(registration.block_means(frames.exploded(upper).withColumnRenamed("value", "v")))
     texture = frames.exploded(frames.mapped(small, lambda m: np.log1p(image.blur(image.tenengrad(m), sigma / 4)))).withColumnRenamed("value", "v")
     seed = registration.seed_axis(texture, wide.groupBy("stack").agg(F.max("width").alias("width"), F.max("height").alias("height"))).first()
     rings, (cx, cy) = global_dome(wide, float(seed["cx"]), float(seed["cy"]), p, sigma=sigma)

@@ -17,15 +17,19 @@ from .operators import curves, frames, matching, mesh, registration
 from .plans import features, field, mosaic, outputs
 from .plans.views import table, view
 from .queries import ACQ, DOME, PAR, _r, _with, query, rounded
+from .storage import materialise
 
 SIDE, PITCH, ROW = 64, 28, 25
 
 
-def _canvas_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """(stack, y, px): the rows of each frame."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("px"))
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("px"))
+
+
+def _canvas_rows(e: DataFrame, of: DataFrame) -> DataFrame:
+    """(stack, y, px): the rows of the frames ``of`` (vec_id), laid out from the vectors ``e`` (vec_id, px)."""
     n = e.agg(F.count(F.lit(1)).alias("n"))  # one row
-    wanted = e.select(F.col("vec_id").alias("stack")).join(F.broadcast(n)).select("stack", "n", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y"))
+    wanted = of.select(F.col("vec_id").alias("stack")).join(F.broadcast(n)).select("stack", "n", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y"))
     return wanted.withColumn("vec_id", (F.col("stack") + F.col("y")) % F.col("n")).join(e, "vec_id").select(F.col("stack").cast("int").alias("stack"), "y", "px")
 
 
@@ -49,7 +53,8 @@ def _tiles(objects: DataFrame) -> DataFrame:
 def _frames(spark: SparkSession, sf: str, objects: DataFrame) -> DataFrame:
     """One frame a stack, at its object's slice."""
     cells = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("y", "px"))), lambda c: c["px"]))
-    whole = _canvas_rows(spark, sf).groupBy("stack").agg(cells.alias("px")).join(objects.select("stack", "x", "y", scalars.half_even(F.col("z")).cast("int").alias("z")), "stack")
+    e = _vectors(spark, sf)
+    whole = _canvas_rows(e, e).groupBy("stack").agg(cells.alias("px")).join(objects.select("stack", "x", "y", scalars.half_even(F.col("z")).cast("int").alias("z")), "stack")
     dark = F.expr(f"transform(px, (v, i) -> (200.0 + 200.0 * v) * if((i % {SIDE} - x) * (i % {SIDE} - x) + (i div {SIDE} - y) * (i div {SIDE} - y) <= 64.0, 0.55, 1.0))")
     return whole.select("stack", "z", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), dark.alias("px"))
 
@@ -127,8 +132,13 @@ _CANVAS = "px AS (SELECT a.vec_id AS s, y, x, CAST(b.embedding[x + 1] AS DOUBLE)
  f AS (SELECT stack, 4*sum(sx)/sum(n) AS cx, 4*sum(sy)/sum(n) AS cy, sum(n) AS n FROM p GROUP BY stack)
  SELECT stack, {_r('coalesce(cx, 32e0)', 'cx')}, {_r('coalesce(cy, 32e0)', 'cy')}, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT stack FROM b) LEFT JOIN f USING (stack)""")
 def seed_axis(spark, sf):
-    rows = _canvas_rows(spark, sf).select(F.floor(F.col("stack") / 50).cast("int").alias("stack"), (F.col("stack") % 50).alias("z"), "y", F.posexplode("px").alias("x", "v"))
-    small = registration.block_means(rows)
+    stack, z = F.floor(F.col("vec_id") / 50).cast("int").alias("stack"), (F.col("vec_id") % 50).alias("z")
+    e = _vectors(spark, sf)
+    upper = e.select("vec_id", stack, z).join(registration.first_planes(e.select(stack, z)), ["stack", "z"], "left_semi")
+    # A vector's means over four of its pixels travel to the frames instead of the pixels.
+    means = e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(SIDE // 4 - 1)), lambda i: (F.get("px", 4 * i) + F.get("px", 4 * i + 1) + F.get("px", 4 * i + 2) + F.get("px", 4 * i + 3)) / 4).alias("px"))
+    rows = _canvas_rows(means, upper).withColumnRenamed("stack", "vec_id").select(stack, z, "y", "px").repartition("stack", "z")
+    small = materialise(registration.block_means(rows.select("stack", "z", "y", F.posexplode("px").alias("x", "v")), 4, 1), "texture")
     return rounded(registration.seed_axis(small, small.select("stack", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height")).distinct(), 0.2))
 
 

@@ -359,3 +359,13 @@ def test_meshes_of_one_file_are_made_by_many_tasks(spark):
     assert sorted((r.fid, r.a, r.b, r.c) for r in rows if r.oid == 7)[:4] == [(0, 0, 1, 4), (1, 1, 5, 4), (2, 1, 2, 5), (3, 2, 6, 5)]
     caps = objects.select("oid", *[F.lit(9.0).alias(c) for c in ("cx", "cy", "cz", "radius", "contact", "anisotropy")])
     assert mesh.cap_vertices(caps).select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_first_planes_and_means_of_rows(spark):
+    slices = spark.createDataFrame([(s, z) for s, held in ((0, (9, 4, 2, 4)), (1, (7,))) for z in held], "stack int, z int")
+    assert sorted((r.stack, r.z) for r in registration.first_planes(slices, 2).collect()) == [(0, 2), (0, 4), (1, 7)]
+    pixels = [(0, 0, y, x, float(x * x + 3 * y)) for y in range(9) for x in range(8)]
+    halves = [(0, 0, y, b, sum(v for *_, yy, x, v in pixels if yy == y and x // 4 == b) / 4) for y in range(9) for b in range(2)]
+    kind = "stack int, z int, y int, x int, v double"
+    got, want = (sorted(map(tuple, registration.block_means(spark.createDataFrame(rows, kind), *size).collect())) for rows, size in ((halves, (4, 1)), (pixels, (4,))))
+    assert got == want and len(want) == 4

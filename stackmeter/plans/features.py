@@ -32,6 +32,7 @@ MORPHOLOGY = [
     *"outline_area_px2 outline_perimeter_px radius_mean_px radius_std_px radius_cv radius_min_over_max".split(),
     *[f"harmonic_{k}" for k in range(1, 7)], "harmonic_high", "solidity", "convexity", "shape_suspect",
 ]
+HULL = MORPHOLOGY[-3:]
 SPATIAL = "height_above_glass_slices dome_radial_px dome_azimuth_deg dome_radial_frac contact_edge_distance_px nearest_border_is_cap nearest_border_px".split()
 NEIGHBOURS = 5
 
@@ -73,13 +74,18 @@ def rounded_record(df: DataFrame) -> DataFrame:
     return df.select(*[F.bround(c, 4).alias(c) if kinds[c] == "double" else F.transform(c, lambda v: F.bround(v, 3)).alias(c) if kinds[c] == "array<double>" else F.col(c) for c in df.columns])
 
 
-def morphology(outlines: DataFrame, n: int) -> DataFrame:
-    """``uid`` and the columns of ``MORPHOLOGY`` and circularity of outlines (uid, profile) of ``n`` radii (I12 - I14, D14); no row for an outline that has none."""
+def morphology(outlines: DataFrame, n: int, hulls: bool = True) -> DataFrame:
+    """``uid`` and the columns of ``MORPHOLOGY`` and circularity of outlines (uid, profile) of ``n`` radii (I12 - I14, D14); no row for an outline that has none.
+
+    Without ``hulls`` the columns of ``HULL`` are left out.
+    """
     usable = F.size("profile") == n
     fine = outlines.where(usable & (n >= 8) & F.forall("profile", lambda v: v.isNotNull() & ~F.isnan(v)) & (F.aggregate("profile", F.lit(0.0), lambda s, v: s + v) > 0))
     points = fine.select(F.col("uid").alias("oid"), F.posexplode("profile").alias("k", "r"))
-    found = curves.outline_morphology(points, n).join(curves.harmonics(points, n), "oid").join(curves.hull_shape(points, n), "oid", "left")
-    return found.select(F.col("oid").alias("uid"), "circularity", *MORPHOLOGY)
+    found = curves.outline_morphology(points, n).join(curves.harmonics(points, n), "oid")
+    if hulls:
+        found = found.join(curves.hull_shape(points, n), "oid", "left")
+    return found.select(F.col("oid").alias("uid"), "circularity", *[c for c in MORPHOLOGY if hulls or c not in HULL])
 
 
 def halo_discs(elected: DataFrame, widest: float) -> DataFrame:
@@ -120,8 +126,8 @@ def pixels(elected: DataFrame, frames: DataFrame, tiles: DataFrame) -> DataFrame
     return measured.select("uid", "blocks", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
 
 
-def matrix(catalogue: DataFrame, records: DataFrame, frames: DataFrame, tiles: DataFrame, a: Acquisition = Acquisition(), dome: Dome | None = None, glass: float | None = None, n_theta: int = 48) -> DataFrame:
-    """All of ``columns()`` for each object of ``catalogue``.
+def matrix(catalogue: DataFrame, records: DataFrame, frames: DataFrame, tiles: DataFrame, a: Acquisition = Acquisition(), dome: Dome | None = None, glass: float | None = None, n_theta: int = 48, only: list[str] | None = None) -> DataFrame:
+    """All of ``columns()``, or those of ``only``, for each object of ``catalogue`` (H15); what is not asked for is not measured.
 
     ``records`` are ``record``'s rows of the elected views' fields.  Where a block measures what the record has too, the
     block counts: circularity by the outline, the droplet's distance at the mosaic's place.  Without a droplet only the
@@ -129,6 +135,9 @@ def matrix(catalogue: DataFrame, records: DataFrame, frames: DataFrame, tiles: D
     """
     total = catalogue.count()
     k = max(1, min(NEIGHBOURS, total - 1))
+    names = columns(k) if only is None else only
+    asked = lambda *group: not set(names).isdisjoint(group)
+    by_pixels = asked("missing_blocks", *appearance.QUALITY, *appearance.INTENSITY, *appearance.TEXTURE)
     elected = catalogue.join(records.select(F.col("stack").alias("tile"), F.col("oid").alias("obj"), F.col("radial_profile_px").alias("profile")), ["tile", "obj"])
     elected = elected.select("uid", "tile", "x", "y", "z", "r", "profile")
     near = matching.knn(elected, NEIGHBOURS, scalars.scales(a)["anisotropy"], key="uid").withColumnRenamed("mean_distance_knn_px", f"mean_distance_{k}nn_px")
@@ -137,13 +146,15 @@ def matrix(catalogue: DataFrame, records: DataFrame, frames: DataFrame, tiles: D
         place = scalars.with_spatial_features(place, dome)
     else:
         place = place.withColumns({c: F.lit(None).cast("double") for c in [*SPATIAL, "dome_distance_px"]}).withColumn("height_above_glass_slices", F.lit(glass).cast("double") - F.col("z"))
-    shape = morphology(elected.select("uid", "profile"), n_theta).withColumnRenamed("circularity", "outline_circularity").withColumn("has_shape", F.lit(True))
+    shape = morphology(elected.select("uid", "profile"), n_theta, asked(*HULL)).withColumnRenamed("circularity", "outline_circularity").withColumn("has_shape", F.lit(True))
     grid = tiles.select("tile", F.col("tr").alias("tile_row"), F.col("tc").alias("tile_col"))
     own = records.withColumnsRenamed({"stack": "tile", "circularity": "record_circularity", "dome_distance_px": "record_dome_distance_px"}).withColumn("obj", F.col("oid"))
     out = (
         catalogue.drop("sharp").withColumnsRenamed({"x": "x_mosaic_px", "y": "y_mosaic_px"}).drop("z", "r").join(own, ["tile", "obj"]).join(grid, "tile")
-        .join(shape, "uid", "left").join(pixels(elected, frames, tiles), "uid", "left").join(place.drop("x", "y", "z", "r"), "uid", "left").join(near, "uid", "left")
+        .join(shape, "uid", "left").join(place.drop("x", "y", "z", "r"), "uid", "left").join(near, "uid", "left")
     )
+    if by_pixels:
+        out = out.join(pixels(elected, frames, tiles), "uid", "left")
     absent = F.concat(F.when(F.col("has_shape").isNull(), F.array(F.lit("morphology"))).otherwise(F.array().cast("array<string>")), F.coalesce("blocks", F.array(F.lit("intensity"), F.lit("texture"))))
     derived = {
         "circularity": F.coalesce("outline_circularity", "record_circularity"),
@@ -151,4 +162,4 @@ def matrix(catalogue: DataFrame, records: DataFrame, frames: DataFrame, tiles: D
         "missing_blocks": F.when(F.size(absent) > 0, F.array_join(absent, ";")),
         "appearance_measurable": F.coalesce("appearance_measurable", F.lit(0.0)),
     }
-    return out.select(*[derived[c].alias(c) if c in derived else F.col(c) for c in columns(k)])
+    return out.select(*[derived[c].alias(c) if c in derived else F.col(c) for c in names])

@@ -27,10 +27,11 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _canvas_rows(e: DataFrame, of: DataFrame) -> DataFrame:
-    """(stack, y, px): the rows of the frames ``of`` (vec_id), laid out from the vectors ``e`` (vec_id, px)."""
+    """(stack, y, px, ...): the rows of the frames ``of`` (vec_id, ...), laid out from the vectors ``e`` (vec_id, px)."""
     n = e.agg(F.count(F.lit(1)).alias("n"))  # one row
-    wanted = of.select(F.col("vec_id").alias("stack")).join(F.broadcast(n)).select("stack", "n", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y"))
-    return wanted.withColumn("vec_id", (F.col("stack") + F.col("y")) % F.col("n")).join(e, "vec_id").select(F.col("stack").cast("int").alias("stack"), "y", "px")
+    more = [c for c in of.columns if c != "vec_id"]
+    wanted = of.select(F.col("vec_id").alias("stack"), *more).join(F.broadcast(n)).select("stack", "n", *more, F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y"))
+    return wanted.withColumn("vec_id", (F.col("stack") + F.col("y")) % F.col("n")).join(e, "vec_id").select(F.col("stack").cast("int").alias("stack"), "y", "px", *more)
 
 
 def _objects(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,19 +53,20 @@ def _tiles(objects: DataFrame) -> DataFrame:
 
 def _frames(spark: SparkSession, sf: str, objects: DataFrame) -> DataFrame:
     """One frame a stack, at its object's slice."""
+    e = _vectors(spark, sf).withColumn("px", F.transform("px", lambda v: 200.0 + 200.0 * v))
+    places = objects.select(F.col("oid").alias("vec_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), scalars.half_even(F.col("z")).cast("int").alias("z"))
+    dark = F.expr("if(abs(y - cy) <= 8.0, transform(px, (v, x) -> if((x - cx) * (x - cx) + (y - cy) * (y - cy) <= 64.0, v * 0.55, v)), px)")
+    rows = _canvas_rows(e, places).select("stack", "z", "y", dark.alias("px"))
     cells = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("y", "px"))), lambda c: c["px"]))
-    e = _vectors(spark, sf)
-    whole = _canvas_rows(e, e).groupBy("stack").agg(cells.alias("px")).join(objects.select("stack", "x", "y", scalars.half_even(F.col("z")).cast("int").alias("z")), "stack")
-    dark = F.expr(f"transform(px, (v, i) -> (200.0 + 200.0 * v) * if((i % {SIDE} - x) * (i % {SIDE} - x) + (i div {SIDE} - y) * (i div {SIDE} - y) <= 64.0, 0.55, 1.0))")
-    return whole.select("stack", "z", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), dark.alias("px"))
+    return rows.groupBy("stack", "z").agg(cells.alias("px")).select("stack", "z", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), "px")
 
 
-def _matrix(spark: SparkSession, sf: str) -> DataFrame:
+def _matrix(spark: SparkSession, sf: str, only: list[str] | None = None) -> DataFrame:
     objects = _objects(spark, sf)
     tiles = _tiles(objects)
     seen = matching.with_clipped(cat.with_sid(mosaic.sightings(objects, tiles)), PAR)
     merged = cat.catalogue(cat.with_components(seen, _no_pairs(seen)), tiles, PAR)
-    return features.matrix(merged, features.record(objects, ACQ, None, PAR), _frames(spark, sf, objects), tiles, ACQ, DOME, n_theta=SIDE)
+    return features.matrix(merged, features.record(objects, ACQ, None, PAR), _frames(spark, sf, objects), tiles, ACQ, DOME, n_theta=SIDE, only=only)
 
 
 def _no_pairs(seen: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ _WHOLE = {
 @query(f"WITH {_OBJECTS} SELECT {', '.join(_r(_NUMBERS[c], c, 3) if c in _NUMBERS else f'{_WHOLE[c]} AS {c}' for c in _TABULAR)} FROM sq JOIN w USING (v) JOIN cov USING (v) JOIN nn USING (v)")
 def feature_table(spark, sf):
     """The matrix's columns that need no pixels, hulls or arrays."""
-    return rounded(_matrix(spark, sf).select(*_TABULAR), 3)
+    return rounded(_matrix(spark, sf, _TABULAR), 3)
 
 
 @query()
@@ -137,7 +139,7 @@ def seed_axis(spark, sf):
     upper = e.select("vec_id", stack, z).join(registration.first_planes(e.select(stack, z)), ["stack", "z"], "left_semi")
     # A vector's means over four of its pixels travel to the frames instead of the pixels.
     means = e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(SIDE // 4 - 1)), lambda i: (F.get("px", 4 * i) + F.get("px", 4 * i + 1) + F.get("px", 4 * i + 2) + F.get("px", 4 * i + 3)) / 4).alias("px"))
-    rows = _canvas_rows(means, upper).withColumnRenamed("stack", "vec_id").select(stack, z, "y", "px").repartition("stack", "z")
+    rows = _canvas_rows(means, upper.select("vec_id")).withColumnRenamed("stack", "vec_id").select(stack, z, "y", "px").repartition("stack", "z")
     small = materialise(registration.block_means(rows.select("stack", "z", "y", F.posexplode("px").alias("x", "v")), 4, 1), "texture")
     return rounded(registration.seed_axis(small, small.select("stack", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height")).distinct(), 0.2))
 

@@ -162,6 +162,17 @@ def test_matrix_of_one_and_of_none(scan):
     assert features.matrix(cat.where("false"), features.record(found), stack, tiles).count() == 0
 
 
+def test_what_is_not_asked_for_is_not_measured(scan):
+    stack, tiles, found, cat = scan
+    broken = stack.withColumn("px", F.raise_error(F.lit("pixels were read")).cast("array<double>"))
+    names = ["uid", "nn_distance_px", "radius_cv", "circularity"]
+    args = (features.record(found), stack, tiles)
+    got = features.matrix(cat, features.record(found), broken, tiles, only=names)
+    assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(map(tuple, features.matrix(cat, *args).select(*names).collect()))
+    hull = features.matrix(cat, features.record(found), broken, tiles, only=["uid", "solidity"])
+    assert sorted(map(tuple, hull.collect())) == sorted(map(tuple, features.matrix(cat, *args).select("uid", "solidity").collect()))
+
+
 def test_payload(spark, scan):
     import json
 
